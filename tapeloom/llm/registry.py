@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kd_shards, mixing
+from . import bagminhash, kd_shards, mixing, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "op4_kd_shards": kd_shards.op4_kd_shards,
+        "op5_bag_minhash": bagminhash.op5_bag_minhash,
         "op6_entropy_mix": mixing.op6_entropy_mix,
+        "op7_histogram_topk": topk.op7_histogram_topk,
     }
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_histogram_topk": topk.OP7_SQL}

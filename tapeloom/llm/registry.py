@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, kd_shards, mixing, topk
+from . import bagminhash, kd_shards, mixing, secrets, topk, transport
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
+        "op1_transport_streams": transport.op1_transport_streams,
+        "op2_blob_ledger": secrets.op2_blob_ledger,
         "op4_kd_shards": kd_shards.op4_kd_shards,
         "op5_bag_minhash": bagminhash.op5_bag_minhash,
         "op6_entropy_mix": mixing.op6_entropy_mix,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, kd_shards, mixing, secrets, topk, transport
+from . import bagminhash, kd_shards, langid, mixing, pieces, secrets, topk, toxicity, transport
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def queries() -> dict[str, Query]:
         "op5_bag_minhash": bagminhash.op5_bag_minhash,
         "op6_entropy_mix": mixing.op6_entropy_mix,
         "op7_histogram_topk": topk.op7_histogram_topk,
+        "op8_toxicity_cnn": toxicity.op8_toxicity_cnn,
+        "op9_merge_dropout": pieces.op9_merge_dropout,
+        "op10_language_id": langid.op10_language_id,
+        "language_id_pages": langid.language_id_pages,
     }
     return found
 

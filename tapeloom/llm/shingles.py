@@ -38,14 +38,16 @@ def _long_word(b: np.ndarray) -> int:
     return total % (1 << 64)
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A number for each run of bytes other than the six ASCII white-space characters."""
+def word_hashes(data: bytes, first: int | None = None) -> np.ndarray:
+    """A number for each run of bytes other than the six ASCII white-space characters, or for its first bytes."""
     b = np.frombuffer(data, np.uint8)
     if not len(b):
         return np.empty(0, np.uint64)
     word = (b != 32) & ((b < 9) | (b > 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
+    if first is not None:
+        end = np.minimum(end, start + first)
     if not len(start):
         return np.empty(0, np.uint64)
     up, down = _tables()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, kd_shards, langid, mixing, pieces, secrets, topk, toxicity, transport
+from . import bagminhash, kd_shards, langid, mixing, pieces, secrets, tokenids, topk, toxicity, transport
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "op1_transport_streams": transport.op1_transport_streams,
         "op2_blob_ledger": secrets.op2_blob_ledger,
+        "op3_range_coder": tokenids.op3_range_coder,
         "op4_kd_shards": kd_shards.op4_kd_shards,
         "op5_bag_minhash": bagminhash.op5_bag_minhash,
         "op6_entropy_mix": mixing.op6_entropy_mix,

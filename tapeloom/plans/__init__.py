@@ -1,0 +1 @@
+"""Jobs composed of operators."""

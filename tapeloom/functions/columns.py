@@ -93,7 +93,7 @@ def flag_text(array: Column | str) -> Column:
 
 def split_flags(c: Column | str) -> Column:
     """Trimmed, non-empty members of a comma list."""
-    parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), ","), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
@@ -111,7 +111,7 @@ def dimension_list(c: Column | str) -> Column:
     text = F.trim(F.coalesce(col(c).cast("string"), F.lit("")))
     listed = F.from_json(text, "array<string>")
     plain = F.split(text, r"\s*[,|;+]\s*")
-    items = F.transform(F.when(text.startswith("[") & listed.isNotNull(), listed).otherwise(plain), F.trim)
+    items = F.transform(F.when(text.startswith("[") & listed.isNotNull(), listed).otherwise(plain), lambda x: F.trim(x))
     return F.array_distinct(F.filter(items, lambda x: x.isNotNull() & ~F.lower(x).isin(*NULL_WORDS)))
 
 

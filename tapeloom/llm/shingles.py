@@ -40,30 +40,36 @@ def _long_word(b: np.ndarray) -> int:
 
 def word_hashes(data: bytes, first: int | None = None) -> np.ndarray:
     """A number for each run of bytes other than the six ASCII white-space characters, or for its first bytes."""
+    return placed_words(data, first)[0]
+
+
+def placed_words(data: bytes, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers and where each word starts."""
     b = np.frombuffer(data, np.uint8)
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
     if not len(b):
-        return np.empty(0, np.uint64)
+        return none
     word = (b != 32) & ((b < 9) | (b > 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     if first is not None:
         end = np.minimum(end, start + first)
     if not len(start):
-        return np.empty(0, np.uint64)
+        return none
     up, down = _tables()
     out, i = np.empty(len(start), np.uint64), 0
     while i < len(start):
-        first = start[i]
-        j = int(np.searchsorted(end, first + _SEGMENT, side="right"))
+        at = start[i]
+        j = int(np.searchsorted(end, at + _SEGMENT, side="right"))
         if j <= i:
             out[i], i = _long_word(b[start[i] : end[i]]), i + 1
             continue
-        part = (b[first : end[j - 1]].astype(np.uint64) + np.uint64(1)) * up[: end[j - 1] - first]
+        part = (b[at : end[j - 1]].astype(np.uint64) + np.uint64(1)) * up[: end[j - 1] - at]
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)))
-        s, e = start[i:j] - first, end[i:j] - first
+        s, e = start[i:j] - at, end[i:j] - at
         out[i:j] = (sums[e] - sums[s]) * down[s]
         i = j
-    return mix(out + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(out + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
 
 
 def shingles(data: bytes, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -72,12 +78,38 @@ def shingles(data: bytes, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     w = word_hashes(data)
     if not len(w):
         return w, np.empty(0, np.int64)
-    k = min(k, len(w))
+    return np.unique(_windows(w, min(k, len(w))), return_counts=True)
+
+
+def _windows(w: np.ndarray, k: int) -> np.ndarray:
     total, factor = np.zeros(len(w) - k + 1, np.uint64), 1
     for j in range(k):
         total = total + w[j : len(w) - k + 1 + j] * np.uint64(factor)
         factor = factor * 0xD1342543DE82EF95 % (1 << 64)
-    return np.unique(mix(total + np.uint64(k)), return_counts=True)
+    return mix(total + np.uint64(k))
+
+
+def many_shingles(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shingles() of up to 65,535 texts at once: owner, shingle and count, by owner."""
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    w, at = placed_words(b"\n".join(texts))
+    owner = np.searchsorted(starts, at, side="right") - 1
+    parts = []
+    if len(w) >= k:
+        whole = owner[k - 1 :] == owner[: len(owner) - k + 1]
+        parts.append((owner[: len(whole)][whole], _windows(w, k)[whole]))
+    n = np.bincount(owner, minlength=len(texts)) if len(w) else np.zeros(len(texts), np.int64)
+    first = np.concatenate(([0], np.cumsum(n)))
+    for i in np.flatnonzero((n > 0) & (n < k)):
+        parts.append((np.array([i]), _windows(w[first[i] : first[i + 1]], int(n[i]))))
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    own, sh = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(sh)
+    order = order[np.argsort(own[order].astype(np.uint16), kind="stable")]
+    own, sh = own[order], sh[order]
+    new = np.flatnonzero(np.concatenate(([True], (sh[1:] != sh[:-1]) | (own[1:] != own[:-1]))))
+    return own[new], sh[new], np.diff(np.append(new, len(sh)))
 
 
 def overlap(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> float:

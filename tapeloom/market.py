@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,25 @@ SPLIT, AS_OF = "1996-01-01", "1997-06-20"
 
 
 class Market:
-    """Nothing is computed or cached here; every attribute is a lazy plan."""
+    """Every attribute is a lazy plan.  With *keep*, tables that many queries start from are persisted (memory, then disk)
+    when first computed; they can be recomputed from their lineage."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+    KEPT = ("bars", "enriched", "signals", "results", "evaluation", "named_signals", "named_evaluation", "validation", "signal_pool", "plans", "plan_results", "review", "performance")
+
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False) -> None:
+        self.spark, self.sf_dir, self.keep, self.kept = spark, sf_dir, keep, []
+
+    def __getattribute__(self, name: str):
+        value = object.__getattribute__(self, name)
+        if name in Market.KEPT and self.keep and not value.is_cached:
+            value.persist(StorageLevel.MEMORY_AND_DISK)
+            self.kept.append(value)
+        return value
+
+    def release(self) -> None:
+        for df in self.kept:
+            df.unpersist()
+        self.kept.clear()
 
     def table(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)
@@ -133,3 +149,19 @@ class Market:
     @cached_property
     def reviewed(self) -> DataFrame:
         return ledger.position_review(self.positions, self.plans, AS_OF)
+
+
+_latest: dict[tuple[str, str], Market] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str) -> Market:
+    """One Market per application and data set, so that queries run one after another share kept tables; a new data set
+    releases the one before."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _latest:
+        for (app, _), old in _latest.items():
+            if app == key[0]:
+                old.release()
+        _latest.clear()
+        _latest[key] = Market(spark, sf_dir, keep=True)
+    return _latest[key]

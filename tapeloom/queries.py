@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from tapeloom import oracles as o
 from tapeloom.functions import columns as fc
-from tapeloom.market import AS_OF, SPLIT, Market
+from tapeloom.market import AS_OF, SPLIT, Market, shared
 from tapeloom.operators import backtest, candidates, factors, ledger, quality, research, signals, versions
 from tapeloom.sources import normalize, store
 from tapeloom.sources.adapters import ctes
@@ -100,7 +100,7 @@ def oracle(q: Query) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: (lambda spark, sf_dir, q=q: rounded(q.run(Market(spark, sf_dir)))) for n, q in QUERIES.items()}
+    return {n: (lambda spark, sf_dir, q=q: rounded(q.run(shared(spark, sf_dir)))) for n, q in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

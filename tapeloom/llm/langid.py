@@ -8,6 +8,7 @@ posteriors, the host smoothed by its parent and the parent by the whole collecti
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,16 @@ from pyspark.sql import functions as F
 from .common import ship, stored, table
 
 LANGUAGES, UNKNOWN = ("de", "en", "es", "fr"), "und"
-BUCKETS, EVIDENCE, STRENGTH, UNKNOWN_PRIOR, LEAST = 1 << 14, 60.0, 20.0, 0.01, 0.5
+BUCKETS, EVIDENCE, STRENGTH, UNKNOWN_PRIOR, LEAST = 1 << 14, 60.0, 20.0, 0.001, 0.5
+#: Share of a flat distribution in every language, and the level of a trigram in no language.
+FLAT, UNKNOWN_LOG = 0.02, -11.0
+_NO_WORD = re.compile(r"\S*[\d@=_/\\]\S*")
 
 
 def trigrams(text: str) -> np.ndarray:
-    b = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+    """Buckets of the byte trigrams of a text, without words that hold digits or signs of addresses and keys."""
+    words = _NO_WORD.sub(" ", text.lower())
+    b = np.frombuffer(f" {words} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     return ((b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77)) * np.uint32(31) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(18)
 
 
@@ -43,7 +49,7 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
-    """labelled: text, lang.  Log-probabilities, one row per bucket, one column per language and a flat one for
+    """labelled: text, lang.  Log-probabilities, one row per bucket, one column per language and a constant one for
     UNKNOWN; len(languages) * BUCKETS sums come to the driver.  Rows of other or no language, or no text, are left out."""
     ship(labelled.sparkSession)
     rows = labelled.select(code(F.col("lang")).alias("lang"), "text").where(F.col("lang").isin(*languages) & F.col("text").isNotNull())
@@ -52,8 +58,8 @@ def train(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.nda
     for i, lang in enumerate(languages):
         own = sums[sums["lang"] == lang]
         counts[own["bucket"].to_numpy(), i] += own["n"].to_numpy()
-    logs = np.log(counts / counts.sum(axis=0))
-    return np.hstack([logs, np.full((BUCKETS, 1), -np.log(BUCKETS))]).astype(np.float32)
+    logs = np.log((1 - FLAT) * counts / counts.sum(axis=0) + FLAT / BUCKETS)
+    return np.hstack([logs, np.full((BUCKETS, 1), UNKNOWN_LOG)]).astype(np.float32)
 
 
 def code(declared: Column) -> Column:

@@ -26,6 +26,13 @@ from .shingles import mix
 SPACE = "▁"
 _PART = re.compile(r" *[^ \n]+| +|\n")
 _MASK = (1 << 64) - 1
+NEVER, AGENDA_FROM = 1 << 30, 48
+
+
+def _skipped(key: int, piece: int, place: int, below: int) -> bool:
+    """Whether the keyed hash drops the merge into *piece* at *place*."""
+    h = (key + piece * 0xD6E8FEB86659FD93 + place * 0xA0761D6478BD642F) & _MASK
+    return ((h ^ h >> 32) * 0xBF58476D1CE4E5B9 & _MASK) >> 40 < below
 
 
 def default_model() -> str:
@@ -36,14 +43,18 @@ def default_model() -> str:
 
 @dataclass
 class Pieces:
-    """A vocabulary and the parts segmented so far, at most *held* of them."""
+    """A vocabulary and the parts segmented lately: two halves of at most *held*, the older one dropped when the newer is full."""
 
     path: str
     rate: float
     seed: int
     variants: int
-    held: int = 300_000
-    known: dict = field(default_factory=dict)
+    held: int = 150_000
+    new: list = field(default_factory=list)
+    old: list = field(default_factory=list)
+    fresh: int = 0
+    ranks: dict = field(default_factory=dict)
+    merged: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         import sentencepiece
@@ -53,48 +64,82 @@ class Pieces:
         names = [model.id_to_piece(i) for i in range(n)]
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(n)]
         bytes_ = [model.is_byte(i) for i in range(n)]
+        self.new, self.old = [{} for _ in range(self.variants)], [{} for _ in range(self.variants)]
         self.ids = {p: i for i, p in enumerate(names) if not special[i] and not bytes_[i]}
-        self.score = [model.get_score(i) for i in range(n)]
+        scores = sorted({model.get_score(i) for i in range(n)}, reverse=True)
+        places = {x: k for k, x in enumerate(scores)}
+        self.names, self.order = names, [places[model.get_score(i)] for i in range(n)]
+        self.chars = {c: i for c, i in self.ids.items() if len(c) == 1 and c != SPACE} | {" ": self.ids[SPACE]}
+        self.drops = [{} for _ in range(self.variants)]
         self.byte_ids = {int(names[i][1:-1], 16): i for i in range(n) if bytes_[i]}
         self.raw = [b"" if special[i] else bytes([int(p[1:-1], 16)]) if bytes_[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
 
+    def _rank(self, key: int) -> int:
+        """Place of the merge of two pieces (left id in the upper bits) among all pieces, best first; NEVER if there is none."""
+        i = self.ids.get(self.names[key >> 16] + self.names[key & 0xFFFF])
+        rank = NEVER if i is None else self.order[i]
+        self.ranks[key], self.merged[key] = rank, i
+        return rank
+
     def segment(self, part: str, variant: int) -> tuple[int, ...]:
         """Ids of one part; spaces in it are single spaces of the text."""
-        ids, names = [], []
-        for c in part:
-            i = None if c == SPACE else self.ids.get(SPACE if c == " " else c)
-            if i is not None:
-                ids.append(i)
-                names.append(SPACE if c == " " else c)
-            else:
-                for b in c.encode():
-                    ids.append(self.byte_ids[b])
-                    names.append(None)
+        char = self.chars.get
+        ids = [char(c) for c in part]
+        if None in ids:
+            ids = [i for c in part for i in ([char(c)] if char(c) is not None else [self.byte_ids[b] for b in c.encode()])]
+        known, rank, below = self.ranks.get, self._rank, int(self.rate * (1 << 24))
+        key = (self.seed * 0x9E3779B97F4A7C15 + variant * 0xC2B2AE3D27D4EB4F) & _MASK
+        if len(ids) > AGENDA_FROM:
+            return self._agenda(ids, key, below)
+        place, merged, drops = list(range(len(ids))), self.merged, self.drops[variant]
+        open_ = [known(a << 16 | b) for a, b in zip(ids, ids[1:])]
+        if None in open_:
+            open_ = [rank(a << 16 | b) for a, b in zip(ids, ids[1:])]
+        while open_ and (best := min(open_)) != NEVER:
+            k = open_.index(best)
+            i = merged[ids[k] << 16 | ids[k + 1]]
+            if below:
+                at = i << 6 | place[k]
+                drop = drops.get(at)
+                if drop is None:
+                    drop = drops[at] = _skipped(key, i, place[k], below)
+                if drop:
+                    open_[k] = NEVER
+                    continue
+            ids[k] = i
+            del ids[k + 1], place[k + 1], open_[k]
+            if k:
+                r = known(ids[k - 1] << 16 | i)
+                open_[k - 1] = rank(ids[k - 1] << 16 | i) if r is None else r
+            if k < len(open_):
+                r = known(i << 16 | ids[k + 1])
+                open_[k] = rank(i << 16 | ids[k + 1]) if r is None else r
+        return tuple(ids)
+
+    def _agenda(self, ids: list[int], key: int, below: int) -> tuple[int, ...]:
+        """The same for long parts, with a heap."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        vocabulary, score, below = self.ids, self.score, int(self.rate * (1 << 24))
-        key = (self.seed * 0x9E3779B97F4A7C15 + variant * 0xC2B2AE3D27D4EB4F) & _MASK
         agenda: list = []
 
         def offer(left: int, right: int) -> None:
-            a, b = names[left], names[right]
-            if a is not None and b is not None and (i := vocabulary.get(a + b)) is not None:
-                heapq.heappush(agenda, (-score[i], left, right, i, a, b))
+            pair = ids[left] << 16 | ids[right]
+            r = self.ranks.get(pair)
+            r = self._rank(pair) if r is None else r
+            if r != NEVER:
+                heapq.heappush(agenda, (r, left, right, pair))
 
         for left in range(n - 1):
             offer(left, left + 1)
         while agenda:
-            _, left, right, i, a, b = heapq.heappop(agenda)
-            if names[left] != a or after[left] != right or right >= n or names[right] != b:
+            _, left, right, pair = heapq.heappop(agenda)
+            if after[left] != right or right >= n or ids[right] < 0 or ids[left] << 16 | ids[right] != pair:
                 continue
-            if below:
-                h = (key + i * 0xD6E8FEB86659FD93 + left * 0xA0761D6478BD642F) & _MASK
-                h = (h ^ h >> 32) * 0xBF58476D1CE4E5B9 & _MASK
-                if h >> 40 < below:
-                    continue
-            ids[left], names[left], names[right] = i, a + b, None
+            i = self.merged[pair]
+            if below and _skipped(key, i, left, below):
+                continue
+            ids[left], ids[right] = i, -1
             nxt = after[left] = after[right]
-            ids[right] = -1
             if nxt < n:
                 before[nxt] = left
                 offer(left, nxt)
@@ -102,21 +147,25 @@ class Pieces:
                 offer(before[left], left)
         return tuple(i for i in ids if i >= 0)
 
+    def _look(self, part: str, variant: int) -> bytes:
+        """Ids of a part that the newer half of the memory lacks."""
+        found = self.old[variant].get(part) or np.array(self.segment(part, variant), np.uint16).tobytes()
+        self.new[variant][part] = found
+        self.fresh += 1
+        if self.fresh >= self.held:
+            self.old, self.new, self.fresh = self.new, [{} for _ in range(self.variants)], 0
+        return found
+
     def encode(self, text: str, doc: int) -> np.ndarray:
         parts = _PART.findall(" " + text) if text else []
         if not parts:
             return np.empty(0, np.uint16)
         start = mix(np.array([(doc * 0x9E3779B97F4A7C15 + self.seed) & _MASK], np.uint64))
         turn = (mix(start + np.arange(len(parts), dtype=np.uint64)) % np.uint64(self.variants)).tolist()
-        known, out = self.known, []
-        for key in zip(parts, turn):
-            found = known.get(key)
-            if found is None:
-                if len(known) >= self.held:
-                    known.clear()
-                found = known[key] = self.segment(*key)
-            out += found
-        return np.array(out, np.uint16)
+        new, look, out = self.new, self._look, []
+        for part, v in zip(parts, turn):
+            out.append(new[v].get(part) or look(part, v))
+        return np.frombuffer(b"".join(out), np.uint16)
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
@@ -175,11 +224,11 @@ def op9_merge_dropout(spark: SparkSession, sf_dir: str, rate: float = 0.1, seed:
         p = pieces(model, rate, seed, variants)
         for frame in frames:
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
-                ids = p.encode(text, int(doc))
+            for doc, key, text in zip(frame["doc_id"], frame["key"], frame["text"]):
+                ids = p.encode(text, int(key))
                 back = p.decode(ids)
                 rows.append((doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(back.encode()), back == text))
             yield pd.DataFrame(rows, columns=["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "lossless"])
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     return docs.mapInPandas(run, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, decoded_crc32 bigint, lossless boolean")

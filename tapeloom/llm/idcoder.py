@@ -15,7 +15,7 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 2048, 2048
+BLOCK, LANES = 2048, 1024
 MAGIC = b"TLCM\x01"
 BITS, SPACING, RATE, WEIGHT_RATE = 14, 64, 4, 4
 TOTAL = 1 << BITS
@@ -162,7 +162,7 @@ def _decode_blocks(streams: np.ndarray, start: np.ndarray, lengths: np.ndarray)
 
     def shift(at: np.ndarray) -> None:
         at = at[span[at] < _U(1 << 32)]
-        code[at] = code[at] << _U(16) | streams[at_word[at]]
+        code[at] = code[at] << _U(16) | streams[np.minimum(at_word[at], len(streams) - 1)]
         at_word[at] += 1
         span[at] <<= _U(16)
 

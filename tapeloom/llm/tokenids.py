@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import ship, stored, table
 from .idcoder import BLOCK, LANES, read_segment, write_segment
 
-END, SEGMENT, HELD = 1, BLOCK * LANES, 400_000
+END, SEGMENT, HELD = 1, BLOCK * LANES, 150_000
 
 
 def default_tokenizer() -> str:

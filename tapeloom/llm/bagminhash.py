@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,25 +93,25 @@ def band_keys(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _chunks(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def _chunks(lengths: list[int], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about *most* bytes."""
     a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(lengths):
+        size += n
         if size >= most or i - a > 60_000:
             yield a, i + 1
             a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+    if a < len(lengths):
+        yield a, len(lengths)
 
 
 def _sign(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is not None else b"" for t in batch.column(2).to_pylist()]
+            data = batch.column(2)
             totals, keys = [np.empty(0, np.int64)], [np.empty((0, bands), np.int64)]
-            for a, b in _chunks(texts):
-                owner, f, n = many_shingles(texts[a:b], words)
+            for a, b in _chunks(pc.binary_length(data).to_pylist()):
+                owner, f, n = many_shingles(data.slice(a, b - a).to_pylist(), words)
                 totals.append(np.bincount(owner, weights=n, minlength=b - a).astype(np.int64))
                 keys.append(band_keys(signatures(owner, f, n, b - a, bands * rows), bands, rows))
             total, key = np.concatenate(totals), np.concatenate(keys)

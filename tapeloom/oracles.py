@@ -6,9 +6,8 @@ from tapeloom.operators.backtest import DEFAULT_DAYS, HOLDING_DAYS
 from tapeloom.operators.candidates import ACTIONS, INVALID, PLAN_PRICES, RECOMMENDATION_WEIGHT, RISK_MULTIPLIER, RISK_TEXT, SETTLEMENT
 from tapeloom.operators.factors import FLOW_INPUTS
 from tapeloom.operators.research import ADVICE_POINTS, STATUS_POINTS
-from tapeloom.operators.signals import RULES
+from tapeloom.operators.signals import FIRST_BRANCH, RULES
 from tapeloom.operators.versions import DEFAULTS, PARAMS
-from tapeloom.sources.adapters import ctes
 
 
 def flag_list(*pairs: tuple[str, str], base: str = "[]") -> str:
@@ -137,8 +136,6 @@ OVERRIDES = {"min_amount_ma5": 0.0, "min_main_net_amount_ratio": 0.05}
 
 
 def default_rule_sql(name: str) -> str:
-    from tapeloom.operators.signals import FIRST_BRANCH
-
     values = {k: float(v) for k, v in (DEFAULTS[name] | OVERRIDES).items()} | {"branch": f"'{FIRST_BRANCH.get(name, '')}'"}
     return rule_sql(name, values)
 

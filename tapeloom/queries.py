@@ -118,7 +118,6 @@ _rel = "volume_ratio_5 close_position_20"
 add("w04_relative_levels", lambda m: m.factors.select("trade_date", "code", *_rel.split(), "above_ma5", "above_ma10", "above_ma20"), "SELECT trade_date, code, volume_ratio_5, close_position_20, above_ma5, above_ma10, above_ma20 FROM d_factors", _rel)
 add("w06_industry_strength", lambda m: m.industry, "SELECT * FROM d_industry", "pct_change industry_return_3d industry_return_5d industry_amount_ratio_5 rank_pct_change rank_return_3d rank_return_5d industry_strength_score")
 add("w07_market_regime", lambda m: m.regime, "SELECT * FROM d_regime", "close pct_chg index_trend_score limit_up_open_times_avg highest_streak sentiment_score total_score")
-_events = "SELECT user_id, event_type, event_id FROM events"
 add("w08_dedup_keep_last", lambda m: factors.dedup_last(m.table("events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id"), "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL")
 add("w08_dedup_keep_first", lambda m: factors.dedup_last(m.table("events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id", first=True), "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 add("w09_rank_candidates", lambda m: candidates.rank_candidates(m.signals.where("strategy_name = 'trend_pullback'").withColumn("score", c("signal_strength")), 20).select("trade_date", "code", "score", "rank"), "SELECT * FROM (SELECT trade_date, code, signal_strength AS score, row_number() OVER (PARTITION BY trade_date ORDER BY round(signal_strength, 9) DESC, code) AS rank FROM d_signals WHERE strategy_name = 'trend_pullback') WHERE rank <= 20", "score")
@@ -158,7 +157,6 @@ add("p24_evaluate_versions", lambda m: m.evaluation, "SELECT * FROM d_evaluation
 add("p25_classify_oos", lambda m: m.validation.select("strategy_name", "strategy_version", "overfit_risk", "validation_status"), "SELECT strategy_name, strategy_version, overfit_risk, validation_status FROM d_validation")
 add("p27_position_status", lambda m: m.positions.select("code", ledger.position_status(c("floating_pnl_pct")).alias("position_status")))
 add("p28_performance_comment", lambda m: m.performance.select("trade_date", "code", "side", "performance_comment"))
-_dims = {"a,b ,a": "a", '["x", "y"]': "j", "u|v;w+z": "p", "nan": "n"}
 add("p29_strategy_dimension", lambda m: m.signal_pool.select("trade_date", "code", F.explode(fc.dimension_list("strategy_names")).alias("strategy_name")), "SELECT trade_date, code, unnest(string_split(strategy_names, ',')) AS strategy_name FROM d_signal_pool")
 add("p30_signals_from_backtest", lambda m: backtest.signals_from_backtest(m.results), "SELECT signal_date AS trade_date, code, strategy_name, strategy_version, signal_strength, '' AS entry_reason, '' AS risk_flags FROM d_results", SIGNAL_D)
 
@@ -181,7 +179,6 @@ add("f07_filter_active_versions", lambda m: research.filter_active_versions(m.na
 _elig = "SELECT e.strategy_name, e.strategy_version FROM d_named_evaluation e LEFT JOIN d_validation v USING (strategy_name, strategy_version) WHERE recommendation NOT IN ('pause', 'reduce_or_pause') AND coalesce(validation_status, '') NOT IN ('failed_oos', 'unstable') AND coalesce(overfit_risk, '') <> 'high'"
 _elig_df = lambda m: research.eligible_candidate_keys(m.named_evaluation, m.validation)
 add("f08_eligible_candidate_keys", _elig_df, _elig)
-_simple = "SELECT 'trend_pullback' AS strategy_name, 'v1' AS strategy_version"
 _simple_df = lambda m: m.evaluation.where("strategy_name = 'trend_pullback'").select("strategy_name", "strategy_version")
 add("f09_filter_plans_by_candidates", lambda m: research.filter_plans_by_candidates(m.plans.withColumn("plan_id", F.concat_ws("-", "trade_date", "code")), _simple_df(m)).select("plan_id", "strategy_names"), "SELECT concat_ws('-', trade_date, code) AS plan_id, strategy_names FROM d_plans WHERE contains(',' || strategy_names || ',', ',trend_pullback,')")
 add("f10_filter_validation", lambda m: research.filter_validation(m.validation).select("strategy_name", "strategy_version", "validation_status"), "SELECT strategy_name, strategy_version, validation_status FROM d_validation WHERE overfit_risk IN ('high', 'medium') OR validation_status IN ('failed_oos', 'unstable')")

@@ -18,9 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Arrow batches sent to Python workers, where the session has Spark's own defaults: small ones keep workers small.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application."""
+    """Send this package to the executors' Python workers, once per application, and keep their batches small."""
     sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    for key, (default, own) in BATCH.items():
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, own)
     if getattr(sc, "_tapeloom_shipped", False):
         return
     to = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "tapeloom_package.zip"

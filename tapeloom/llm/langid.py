@@ -2,7 +2,8 @@
 
 Text: hashed letter trigrams, multinomial likelihood per language learned from all labelled rows by grouped
 aggregation; the mean log-likelihood counts for at most EVIDENCE trigrams, since neighbouring trigrams depend
-on each other.  Declared language: its confusion with the text decision.  Address suffix and host: shares of text
+on each other.  Words with digits or signs of keys and addresses are cut out; their share of the words speaks for no
+language.  Declared language: its confusion with the text decision.  Address suffix and host: shares of text
 posteriors, the host smoothed by its parent and the parent by the whole collection.
 """
 
@@ -21,19 +22,29 @@ LANGUAGES, UNKNOWN = ("de", "en", "es", "fr"), "und"
 BUCKETS, EVIDENCE, STRENGTH, UNKNOWN_PRIOR, LEAST = 1 << 14, 60.0, 20.0, 0.001, 0.5
 #: Share of a flat distribution in every language, and the level of a trigram in no language.
 FLAT, UNKNOWN_LOG = 0.02, -11.0
+#: Evidence for no language of a text whose words are all cut out, in nats; in proportion for a part of them.
+CUT = 30.0
 _SIGNS, _SPACES = np.isin(np.arange(256), list(b"0123456789@=_/\\")), np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Buckets of the byte trigrams of a text, without words that hold digits or signs of addresses and keys."""
+def evidence(text: str) -> tuple[np.ndarray, float]:
+    """Buckets of the byte trigrams of a text and the share of its words left out of them.  Words that hold digits or
+    signs of addresses and keys are cut out, every run of white space is one blank; no other word: no trigram."""
     b = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)
+    space, share = _SPACES[b], 0.0
+    keep = np.append(~(space[1:] & space[:-1]), True)
     if (sign := _SIGNS[b]).any():
-        word = np.cumsum(_SPACES[b])
+        word = np.cumsum(space)
         drop = np.zeros(int(word[-1]) + 1, bool)
         drop[word[sign]] = True
-        b = np.where(drop[word], np.uint8(32), b)
-    b = b.astype(np.uint32)
-    return ((b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77)) * np.uint32(31) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(18)
+        share = float(drop.sum() / (np.count_nonzero(keep & space) - 1))
+        keep &= ~drop[word]
+    b = np.where(space, np.uint8(32), b)[keep].astype(np.uint32)
+    return ((b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77)) * np.uint32(31) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(18), share
+
+
+def trigrams(text: str) -> np.ndarray:
+    return evidence(text)[0]
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,9 +107,9 @@ def identify(records: DataFrame, model: np.ndarray, languages: tuple[str, ...] =
     """records: key, text, declared, host, suffix.  Returns key, language, posterior, text_language, keep.
 
     keep: the text has a letter, and the language found is one of *languages* with posterior >= *least*.  Null and empty
-    texts and texts without letters are und and not kept.  Null declared, host or suffix give no evidence (a null host
-    takes the collection's prior).  Ties go to the first language.  Rows repeat as given; an empty table gives
-    an empty result.
+    texts, texts without letters and texts of cut words alone (keys, addresses) are und and not kept.  Null declared,
+    host or suffix give no evidence (a null host takes the collection's prior).  Ties go to the first language.  Rows
+    repeat as given; an empty table gives an empty result.
     """
     spark, width = records.sparkSession, len(languages) + 1
     ship(spark)
@@ -109,12 +120,18 @@ def identify(records: DataFrame, model: np.ndarray, languages: tuple[str, ...] =
     def likelihood(texts: pd.Series) -> pd.Series:
         m, out = shared.value, []
         for t in texts:
-            grams = trigrams(t)
-            out.append(m[grams].mean(axis=0, dtype=np.float64) * min(len(grams), EVIDENCE))
+            grams, cut = evidence(t)
+            if not len(grams):
+                out.append(None)
+                continue
+            ll = m[grams].mean(axis=0, dtype=np.float64) * min(len(grams), EVIDENCE)
+            ll[-1] += CUT * cut
+            out.append(ll)
         return pd.Series(out)
 
     text = F.coalesce("text", F.lit(""))
     rows = records.select("key", code(F.col("declared")).alias("declared"), F.lower("host").alias("host"), F.lower("suffix").alias("suffix"), text.rlike(r"\p{L}").alias("letters"), likelihood(text).alias("ll"))
+    rows = rows.withColumn("letters", F.col("letters") & F.col("ll").isNotNull())
     prior = F.array(*[F.lit((1 - UNKNOWN_PRIOR) / (width - 1))] * (width - 1), F.lit(UNKNOWN_PRIOR))
     rows = rows.withColumn("text_p", _normal(F.zip_with("ll", F.transform(prior, F.ln), lambda a, b: a + b)))
     rows = stored(rows.withColumns({"text_language": F.when(F.col("letters"), names[(F.array_position("text_p", F.array_max("text_p")) - 1).cast("int")]).otherwise(UNKNOWN), "parent": parent(F.col("host"))}))

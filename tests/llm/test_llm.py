@@ -1,5 +1,6 @@
 """Training-data operators: edge cases, brute force and round trips on small tables."""
 
+import base64
 import collections
 import hashlib
 import zlib
@@ -308,6 +309,22 @@ def test_language_id(spark, docs, odd, none):
     assert lied.join(docs.select("doc_id", "lang"), F.col("key.doc_id") == F.col("doc_id")).where("language = lang").count() > 0.9 * docs.count()
 
 
+def test_language_id_rejects_junk(spark, docs):
+    model = langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = np.random.default_rng(5)
+    keys = [rng.bytes(n) for n in (8, 8, 16, 200, 8)]
+    junk = [" ".join(k.hex() for k in keys), " ".join(base64.b64encode(k).decode() for k in keys), "a8f3 9c2b 0d1e 77aa 4f10 c3d9 e021 5b6c", "QUJD2Rk= 9fKs8Qz1 Zm9v+2Fy", " ".join(f"{x:04x}" for x in rng.integers(0, 65536, 64))]
+    junk += ["это русский текст без слов других языков https://example.com/a/long/address?of=1 и https://example.org/another/long_address/2 конец", "xqzvk kjwqx zzkpv qwxjk vbnxz kkqxz a1b2c3 d4=e5"]
+    short = ['Öachen 7844238401328224 token = "b64b244acde2e3b0aa8f051af1ec018ebaba3"', "+1 (017) 555-5036 Thtiti, to enining.", "Re. Esea 4566095658496433 of at.", "The onou ou in.\n\n\n   "]
+    texts = [(-1 - i, t, None, None) for i, t in enumerate(junk)] + [(1000 + i, t, None, None) for i, t in enumerate(short)]
+    both = docs.select("doc_id", "text", "lang", "source").where("doc_id < 1000").unionByName(spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string"))
+    got = {r.key.doc_id: r for r in langid.identify(langid.document_records(both), model).collect()}
+    for i, t in enumerate(junk):
+        assert not got[-1 - i].keep and got[-1 - i].language == "und", t
+    assert all(r.keep for k, r in got.items() if k >= 0)
+    assert len(langid.trigrams("a1 b2")) == 0 and (langid.trigrams("one a1 b2\n  two") == langid.trigrams("one two")).all()
+
+
 # Pipeline
 def test_pipeline(spark, odd, none):
     import corpus_pipeline

@@ -263,6 +263,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _among(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows whose node and doc_id, null or not, are in *chosen*."""
+    chosen = chosen.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"))
+    return rows.join(chosen, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), n_shingles, kept (doc_id == class_id).
 
@@ -279,7 +285,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILA
     signed = stored(data.mapInArrow(_sign(words, bands, rows), "doc_id bigint, node binary, n bigint, bands array<bigint>"))
     first = _small(stored(signed.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"))))
 
-    met = signed.join(first, ["node", "doc_id"], "left_semi").select("node", F.explode("bands").alias("key"))
+    met = _among(signed, first).select("node", F.explode("bands").alias("key"))
     shared = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
     shared = _small(shared)
     members = stored(met.join(shared, "key"))
@@ -287,7 +293,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILA
     groups = stored(members.join(heads, "key").select("head", "node").distinct())
     wanted = stored(first.join(groups.select("node").distinct(), "node").select("doc_id", "node"))
     wanted = _small(wanted)
-    own = data.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"])
+    own = _among(data, wanted).dropDuplicates(["doc_id", "node"])
     bags = stored(own.mapInPandas(_bags(words), "node binary, bag binary, times binary"))
 
     sizes = stored(groups.groupBy("head").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block))

@@ -206,6 +206,17 @@ def test_near_duplicates_brute_force(spark, docs, odd, none):
     assert bagminhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    base = [f"w{i}" for i in range(200)]
+    one, two, three = [" ".join([*base, *(f"v{k}" for k in range(n))]) for n in (0, 40, 85)]
+    other = " ".join(f"x{i}" for i in range(90))
+    texts = [(1, one), (None, two), (2, three), (None, other), (None, other + " y"), (None, "alone here")]
+    linked = [shingles.overlap(*shingles.shingles(a.encode()), *shingles.shingles(b.encode())) >= 0.8 for a, b in ((one, two), (two, three), (one, three))]
+    assert linked == [True, True, False]
+    got = bagminhash.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.class_size) for r in got) == [(0, 0, 1), (0, 0, 2), (0, 0, 2), (0, 1, 3), (1, 1, 3), (2, 1, 3)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51), (52, 51)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}

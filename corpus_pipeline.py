@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import bagminhash, langid, mixing, pieces, secrets
-from tapeloom.llm.common import stored, table
+from tapeloom.llm.common import numbered, stored, sub_groups, table
 
 MARK = "[SECRET]"
 
@@ -20,10 +20,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class of near-duplicates."""
-    classes = bagminhash.near_duplicates(docs)
-    gone = stored(classes.where("not kept").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """One row of each class of near-duplicates: the one of least id (null last), digest of the text and other columns."""
+    found = stored(bagminhash.labelled(docs).select("doc_id", "digest", "times", "label"))
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("_first"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("digest") == F.col("_first.digest"))
+    chosen = found.join(first, "label").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "times", is_first.alias("_kept"))
+    gone = stored(chosen.where(~F.col("_kept") | (F.col("times") > 1)))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (bagminhash.digest(F.col("text")) == F.col("_digest"))
+    kept = docs.join(gone, same, "left_anti")
+    again = gone.where("_kept")
+    if again.isEmpty():
+        return kept
+    twins = docs.join(again, same, "left_semi").groupBy("doc_id", bagminhash.digest(F.col("text")).alias("_digest"))
+    return kept.unionByName(twins.agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
 
 
 def _masked(text: Column, spans: Column) -> Column:
@@ -56,9 +65,24 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    copies = mixing.entropy_mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(stored(copies), F.col("doc_id").eqNullSafe(F.col("_id")))
+    """Every document as often as the mix takes it.
+
+    Copies are joined back by id, text and source.  Rows that agree in these take the same copies, and some of them, in
+    order of their other columns, one more."""
+    keys = ["doc_id", "_content", "source"]
+    rows = docs.withColumn("_content", F.xxhash64("text"))
+    mixed = mixing.entropy_mix(rows, carry=("_content", "source"))
+    dealt = mixed.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.min("copies").alias("_whole"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("_more"))
+    dealt = stored(dealt.where("_whole + _more > 0"))
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("_content") == F.col("_content_")) & F.col("source").eqNullSafe(F.col("source_"))
+    joined = rows.join(dealt.where("_more = 0"), same).withColumn("_copies", F.col("_whole"))
+    uneven = dealt.where("_more > 0")
+    if not uneven.isEmpty():
+        twins = rows.join(uneven, same).withColumn("_key", F.struct(*keys))  # nulls in a struct are equal
+        sub = F.pmod(F.xxhash64(*docs.columns), F.lit(sub_groups(0, 1))).cast("int")
+        twins = numbered(twins, ["_key"], docs.columns, sub, "_place")
+        joined = joined.unionByName(twins.withColumn("_copies", F.col("_whole") + (F.col("_place") < F.col("_more")).cast("long")).select(*joined.columns))
+    joined = joined.where("_copies > 0")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 

@@ -278,10 +278,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILA
     Fewer words than *words*: one shingle.  Rows repeated in doc_id and text count as one document.  Empty table: empty
     result.  Other columns are ignored.
     """
+    rows_ = labelled(docs, words, similar, bands, rows, block)
+    least = rows_.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return rows_.join(least, "label").select("doc_id", "class_id", "class_size", F.col("n").alias("n_shingles"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def digest(text: Column) -> Column:
+    """MD5 of a text; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def labelled(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """One row per document, that is per doc_id and text: doc_id, digest of the text, n shingles, times (its rows), label
+    of its class."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    digest = F.unhex(F.md5(text.cast("binary")))
-    data = docs.select("doc_id", digest.alias("node"), text.cast("binary").alias("data"))
+    data = docs.select("doc_id", digest(text).alias("node"), text.cast("binary").alias("data"))
     signed = stored(data.mapInArrow(_sign(words, bands, rows), "doc_id bigint, node binary, n bigint, bands array<bigint>"))
     first = _small(stored(signed.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"))))
 
@@ -305,11 +317,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILA
     rows_ = cells.join(bags, "node").repartition("head", "cell").sortWithinPartitions("head", "cell")
     found = stored(rows_.select("head", F.col("cell").cast("bigint").alias("cell"), "node", "bag", "times").mapInPandas(_cells(similar), "a binary, b binary"))
     labels = components(found if links is None else found.union(links))
-    rest = F.when(F.col("n") > 0, F.col("node")).otherwise(F.unhex(F.md5(F.concat(F.lit("alone "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))))
-    rows_ = signed.select("doc_id", "node", "n").distinct().withColumn("node", rest)
-    rows_ = rows_.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
-    least = rows_.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows_.join(least, "label").select("doc_id", "class_id", "class_size", F.col("n").alias("n_shingles"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    alone = F.unhex(F.md5(F.concat(F.lit("alone "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.hex("digest"))))
+    rows_ = signed.groupBy("doc_id", F.col("node").alias("digest"), "n").agg(F.count(F.lit(1)).alias("times"))
+    rows_ = rows_.withColumn("node", F.when(F.col("n") > 0, F.col("digest")).otherwise(alone))
+    return rows_.join(labels, "node", "left").select("doc_id", "digest", "n", "times", F.coalesce("label", "node").alias("label"))
 
 
 def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

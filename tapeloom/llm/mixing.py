@@ -67,16 +67,16 @@ def _last_word(plan: DataFrame, cap: float) -> DataFrame:
     return best.select(*SOURCE, "b.size", "b._fix")
 
 
-def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 17) -> DataFrame:
+def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """Mix documents to target token shares of their sources.
 
     Size: words of the text (null: 0).  Sources rank by code point, null last, and take *weights* in turn.
-    Returns doc_id, size, source_size, target, taken, copies, rate.  Same input and seed: same result.  A
+    Returns doc_id, size, source_size, target, taken, copies, rate, and the columns *carry* of docs.  Same input and seed: same result.  A
     source without words gets target 0; its documents are taken once, with no words.  Rows of equal size in a
-    source tie for the last copies by keyed hash of doc_id.  Empty table: empty result.
+    source tie for the last copies by keyed hash of doc_id, then by *carry*.  Empty table: empty result.
     """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = stored(docs.select("doc_id", F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), size.alias("size")))
+    rows = stored(docs.select("doc_id", F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), size.alias("size"), *carry))
     hist = stored(rows.groupBy(*SOURCE, "size").agg(F.count(F.lit(1)).alias("n")))
     sizes = hist.groupBy(*SOURCE).agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.greatest(F.max("size"), F.lit(1)).alias("largest"))
     targets = stored(capped_targets(sizes, weights, cap))
@@ -97,9 +97,9 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), c
     before = Window.partitionBy(*group).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     subs = salted.groupBy(*group, "_sub").agg(F.count(F.lit(1)).alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
     subs = subs.join(plan.drop("n"), group)
-    place = F.row_number().over(Window.partitionBy(*group, "_sub").orderBy("_key", "doc_id")) + F.col("_before")
+    place = F.row_number().over(Window.partitionBy(*group, "_sub").orderBy("_key", "doc_id", *carry)) + F.col("_before")
     out = salted.join(subs, [*group, "_sub"]).withColumn("copies", F.col("whole") + (place <= F.col("_extra")).cast("long"))
-    return out.select("doc_id", "size", F.col("source_size").cast("long"), "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
+    return out.select("doc_id", "size", F.col("source_size").cast("long"), "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate", *carry)
 
 
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -365,6 +365,46 @@ def test_pipeline(spark, odd, none):
             stage(spark, table, sf).count()
 
 
+REPEATED = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def repeated(spark):
+    """Ids that repeat with other texts, rows without an id, and rows repeated in id and text."""
+    base = " ".join(f"w{i}" for i in range(100))
+    texts = [(1, base, "a"), (1, "another text of the same id", "b"), (2, base + " end", "b"), (None, base, "a"), (None, "c " * 30, "a"), (None, "c " * 30, "a"), (None, "only once and without an id", "b"), (None, "", "b"), (None, "  ", "b"), (4, "twice the same row", "a"), (4, "twice the same row", "b"), (4, "twice the same row", "b"), (5, None, "a")]
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in texts], REPEATED).repartition(3)
+
+
+def test_near_dedup_keeps_one_row_of_a_class(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.near_dedup(spark, repeated(spark), DIR)
+    assert got.columns == [c.split()[0] for c in REPEATED.split(", ")]
+    base = " ".join(f"w{i}" for i in range(100))
+    want = [(1, base, "a"), (1, "another text of the same id", "b"), (None, "c " * 30, "a"), (None, "only once and without an id", "b"), (None, "", "b"), (None, "  ", "b"), (4, "twice the same row", "a"), (5, None, "a")]
+    assert sorted(map(str, ((r.doc_id, r.text, r.source) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_source_mixing_takes_each_row_by_itself(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(2)
+    more = [(None if i % 3 else i % 5, "t " * int(rng.integers(1, 9)) + str(i % 40), "en", "abc"[i % 4] if i % 4 < 3 else None, i) for i in range(300)]
+    more += [(7, "same row here", "en", "a", i % 2) for i in range(60)]
+    table = spark.createDataFrame(more, REPEATED).repartition(3)
+    mixed = mixing.entropy_mix(table).select("doc_id", "size", "source_size", "target", "copies").collect()
+    got = corpus_pipeline.source_mixing(spark, table, DIR).collect()
+    assert len(got) == sum(r.copies for r in mixed)
+    total = collections.Counter()
+    for _, text, _, source, _ in more:
+        total[source] += len(text.split())
+    target = {r.source_size: r.target for r in mixed}
+    assert len(target) == len(total)
+    for source, size in total.items():
+        assert abs(sum(len(r.text.split()) for r in got if r.source == source) - target[size]) <= 5
+    assert {tuple(r) for r in got} <= set(more) and max(collections.Counter(map(tuple, got)).values()) <= 3 * 30
+
+
 def test_crc_of_ids():
     ids = np.array([1, 2, 3], np.uint16)
     assert zlib.crc32(ids.astype("<u4").tobytes()) == zlib.crc32(np.array([1, 2, 3], "<u4").tobytes())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import bagminhash, langid, mixing, pieces, secrets
+from tapeloom.llm.bagminhash import _small as few
 from tapeloom.llm.common import numbered, stored, sub_groups, table
 
 MARK = "[SECRET]"
@@ -75,7 +76,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     dealt = mixed.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.min("copies").alias("_whole"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("_more"))
     dealt = stored(dealt.where("_whole + _more > 0"))
     same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("_content") == F.col("_content_")) & F.col("source").eqNullSafe(F.col("source_"))
-    joined = rows.join(dealt.where("_more = 0"), same).withColumn("_copies", F.col("_whole"))
+    joined = rows.join(few(dealt.where("_more = 0")), same).withColumn("_copies", F.col("_whole"))
     uneven = dealt.where("_more > 0")
     if not uneven.isEmpty():
         twins = rows.join(uneven, same).withColumn("_key", F.struct(*keys))  # nulls in a struct are equal

@@ -1,11 +1,12 @@
 """Adaptive context-mixing range coder for sequences of 16-bit token ids.
 
 Ids are cut into blocks of equal length; each block has its own model, coder and CRC-32, so blocks decode alone.  All
-blocks of a segment run side by side as numpy lanes.  Per id: order-2, order-1 and order-0 tables each predict an
-id; a four-way symbol says which prediction holds.  Its distribution mixes three adaptive distributions (chosen by the
-confidence of order 2, of order 1, and by nothing), weighted by how well each did lately.  An unpredicted id is coded by an
-adaptive distribution of its upper bits, then its lower twelve bits.  The coder keeps 48 bits of low and range and emits
-16-bit words; carries are settled at the end.
+blocks of a segment run side by side as numpy lanes.  Per id, tables of order 2 and order 1 each predict the id that
+last followed their context; whether the order-2 prediction holds, the order-1 prediction, or neither, is one symbol.
+Its distribution mixes two adaptive ones, chosen by the confidence of order 2 and of order 1, with a weight that
+follows which of them did better lately.  An id that neither predicts is coded by its order-0 distribution, which every
+block starts from and which the segment's head holds.  The coder keeps 48 bits of low and range and emits 16-bit
+words; carries are settled at the end.
 """
 
 from __future__ import annotations
@@ -15,225 +16,215 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 2048, 1024
-MAGIC = b"TLCM\x01"
-BITS, SPACING, RATE, WEIGHT_RATE = 14, 64, 4, 4
-TOTAL = 1 << BITS
-ONE_BITS, TWO_BITS, LOW_BITS = 9, 11, 12
+BLOCK, LANES = 2048, 4096
+MAGIC, HEAD = b"TLCM\x02", "<5sIIQII"
+BITS, ZERO_BITS, RATE, WEIGHT_BITS, WEIGHT_RATE = 14, 16, 4, 8, 4
+TOTAL, ZERO_TOTAL, LEAST = 1 << BITS, 1 << ZERO_BITS, 32
+ONE_BITS, TWO_BITS = 9, 11
+SURE, MOST_SURE = 1 << 16, 3
 _U = np.uint64
-
-
-def _targets(symbols: int) -> np.ndarray:
-    """Where the inner bounds of a distribution move when a symbol is seen."""
-    j = np.arange(1, symbols)
-    return np.array([np.where(j <= s, j * SPACING, TOTAL - (symbols - j) * SPACING) for s in range(symbols)], np.int32)
-
-
-FOUR, SIXTEEN = _targets(4), _targets(16)
+_NARROW = _U(1 << 32)
 
 
 class _Model:
-    """Adaptive state of n lanes."""
+    """Adaptive state of n lanes: predictions of both orders, their confidence, and the mixed distribution."""
 
     def __init__(self, n: int):
-        even = lambda k: (np.arange(1, k) * (TOTAL // k)).astype(np.int32)
-        self.one = np.zeros(n << ONE_BITS, np.int32)
-        self.two = np.zeros(n << TWO_BITS, np.int32)
-        self.by_two = np.tile(even(4), (n * 4, 1))
-        self.by_one = np.tile(even(4), (n * 4, 1))
-        self.by_none = np.tile(even(4), (n, 1))
-        self.upper = np.tile(even(16), (n, 1))
-        self.skill = np.full((3, n), TOTAL // 4, np.int32)
-        self.zero, self.votes = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.lane = np.arange(n)
-
-    def predict(self, n: int) -> np.ndarray:
-        """Look the contexts of the first n lanes up; mixed inner bounds of the four-way symbol."""
-        lane = self.lane[:n]
-        last, before = self.last[:n], self.before[:n]
-        self.at_one = (lane << ONE_BITS) + ((last * 40503 >> 5) & (1 << ONE_BITS) - 1)
-        self.at_two = (lane << TWO_BITS) + (((last * 40503 ^ before * 30011) >> 4) & (1 << TWO_BITS) - 1)
-        one, two = self.one[self.at_one], self.two[self.at_two]
-        self.one_id, self.two_id = one & 0xFFFF, two & 0xFFFF
-        self.one_sure, self.two_sure = one >> 16, two >> 16
-        self.row_two, self.row_one = lane * 4 + self.two_sure, lane * 4 + self.one_sure
-        self.a, self.b, self.c = self.by_two[self.row_two], self.by_one[self.row_one], self.by_none[:n]
-        w = self.skill[:, :n, None]
-        return (self.a * w[0] + self.b * w[1] + self.c * w[2]) // (w[0] + w[1] + w[2])
-
-    def symbol(self, ids: np.ndarray) -> np.ndarray:
-        n = len(ids)
-        return np.where(ids == self.two_id, 0, np.where(ids == self.one_id, 1, np.where(ids == self.zero[:n], 2, 3)))
-
-    def learn(self, ids: np.ndarray, s: np.ndarray) -> None:
-        n, lane = len(ids), self.lane[: len(ids)]
-        aim = FOUR[s]
-        for k, (own, rows, table) in enumerate(((self.a, self.row_two, self.by_two), (self.b, self.row_one, self.by_one), (self.c, slice(0, n), self.by_none))):
-            edge = np.empty((n, 5), np.int32)
-            edge[:, 0], edge[:, 1:4], edge[:, 4] = 0, own, TOTAL
-            flat = edge.reshape(-1)
-            p = flat[lane * 5 + s + 1] - flat[lane * 5 + s]
-            self.skill[k, :n] += (p - self.skill[k, :n] >> WEIGHT_RATE) + 1
-            table[rows] = own + (aim - own >> RATE)
-        for table, at, old, sure in ((self.one, self.at_one, self.one_id, self.one_sure), (self.two, self.at_two, self.two_id, self.two_sure)):
-            same = ids == old
-            keep = same | (sure > 1)
-            table[at] = np.where(keep, old, ids) | np.where(same, np.minimum(sure + 1, 3), np.where(keep, sure - 1, 1)) << 16
-        same = ids == self.zero[:n]
-        votes = self.votes[:n] + np.where(same, 1, -1)
-        new = votes < 0
-        self.zero[:n] = np.where(new, ids, self.zero[:n])
-        self.votes[:n] = np.where(new, 1, votes)
-        self.before[:n], self.last[:n] = self.last[:n], ids
-
-
-def _bounds(inner: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n, k = inner.shape
-    edge = np.empty((n, k + 2), np.int64)
-    edge[:, 0], edge[:, 1:-1], edge[:, -1] = 0, inner, TOTAL
-    flat, at = edge.reshape(-1), np.arange(n) * (k + 2) + s
-    return flat[at].astype(_U), flat[at + 1].astype(_U)
+        self.one, self.two = np.zeros(n << ONE_BITS, np.int32), np.zeros(n << TWO_BITS, np.int32)
+        first = [TOTAL // 8, TOTAL // 16]
+        self.by_two = [np.full(n * 4, p, np.int32) for p in first]
+        self.by_one = [np.full(n * 8, p, np.int32) for p in first]
+        self.weight = np.full(n, 1 << WEIGHT_BITS - 1, np.int32)
+        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.bases = [self.lane << ONE_BITS, self.lane << TWO_BITS, self.lane << 2, self.lane << 3]
+
+    def shrink(self, n: int) -> None:
+        """Only the first n lanes go on."""
+        self.bases = [b[:n] for b in self.bases]
+        self.weight, self.last, self.before = self.weight[:n], self.last[:n], self.before[:n]
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """Look the contexts up; the two inner bounds of the symbol."""
+        one, two, four, eight = self.bases
+        self.at_one = (self.last * 40503 >> 5 & (1 << ONE_BITS) - 1) + one
+        self.at_two = ((self.last * 40503 ^ self.before * 30011) >> 4 & (1 << TWO_BITS) - 1) + two
+        self.e_one, self.e_two = self.one.take(self.at_one), self.two.take(self.at_two)
+        self.id_one, self.id_two = self.e_one & 0xFFFF, self.e_two & 0xFFFF
+        self.row_two = four + (self.e_two >> 16)
+        self.row_one = eight + (self.e_one >> 15 & ~1 | (self.id_one == self.id_two))
+        self.a = [t.take(self.row_two) for t in self.by_two]
+        self.b = [t.take(self.row_one) for t in self.by_one]
+        p, q = (b + ((a - b) * self.weight >> WEIGHT_BITS) for a, b in zip(self.a, self.b))
+        return p, p + 1 + ((TOTAL - 2 - p) * q >> BITS)
+
+    def learn(self, ids: np.ndarray, hit_two: np.ndarray, hit_one: np.ndarray) -> None:
+        """hit_two: order 2 was right; hit_one: order 1 was right and order 2 was not."""
+        better = np.where(hit_two, self.a[0] > self.b[0], self.a[0] < self.b[0])
+        self.weight += (better.astype(np.int32) << WEIGHT_BITS) - self.weight >> WEIGHT_RATE
+        for table, row, own in ((self.by_two, self.row_two, self.a), (self.by_one, self.row_one, self.b)):
+            table[0][row] = own[0] + (np.where(hit_two, TOTAL - LEAST, LEAST) - own[0] >> RATE)
+            table[1][row] = np.where(hit_two, own[1], own[1] + (np.where(hit_one, TOTAL - LEAST, LEAST) - own[1] >> RATE))
+        for table, at, e, old in ((self.one, self.at_one, self.e_one, self.id_one), (self.two, self.at_two, self.e_two, self.id_two)):
+            other = np.where(e >= 2 * SURE, e - SURE, ids + SURE)
+            table[at] = np.where(old == ids, np.minimum(e + SURE, old + MOST_SURE * SURE), other)
+        self.before, self.last = self.last, ids.astype(np.int64)
+
+
+def order_zero(counts: np.ndarray) -> np.ndarray:
+    """Counts of ids as shares of ZERO_TOTAL, at least 1 where an id occurs."""
+    seen = np.flatnonzero(counts)
+    share = np.zeros(len(counts), np.int64)
+    if len(seen):
+        share[seen] = np.maximum(1, counts[seen] * (ZERO_TOTAL - len(seen)) // counts.sum())
+        share[seen[counts[seen].argmax()]] += ZERO_TOTAL - share.sum()
+    return share
+
+
+def _bounds(share: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(share)[:-1])).astype(_U)
 
 
 def _lengths(total: int) -> np.ndarray:
     return np.minimum(BLOCK, total - np.arange(0, total, BLOCK))
 
 
-def _encode_blocks(grid: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """grid: one row of ids per block.  16-bit words per block."""
-    lanes, steps = len(lengths), int(lengths.max())
-    model = _Model(lanes)
+def _encode_blocks(grid: np.ndarray, lengths: np.ndarray, share: np.ndarray) -> list[np.ndarray]:
+    """grid: one column of ids per block.  16-bit words per block."""
+    lanes, steps = len(lengths), int(lengths[0])
+    model, begin, width = _Model(lanes), _bounds(share), share.astype(_U)
     low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 48, _U)
-    words, used = np.zeros((lanes, 2 * steps + 4), np.int32), np.zeros(lanes, np.int64)
-
-    def shift(at: np.ndarray) -> None:
-        at = at[span[at] < _U(1 << 32)]
-        words[at, used[at]] = (low[at] >> _U(32)).astype(np.int32)
-        used[at] += 1
-        low[at] = (low[at] & _U(0xFFFFFFFF)) << _U(16)
-        span[at] <<= _U(16)
+    words, lit = [], []
+
+    def shift(n: int) -> bool:
+        short = span[:n] < _NARROW
+        row, on = np.zeros(lanes, np.uint32), np.zeros(lanes, bool)
+        row[:n], on[:n] = low[:n] >> _U(32), short
+        words.append(row)
+        lit.append(on)
+        low[:n] = np.where(short, (low[:n] & _U(0xFFFFFFFF)) << _U(16), low[:n])
+        span[:n] = np.where(short, span[:n] << _U(16), span[:n])
+        return bool((span[:n] < _NARROW).any())
 
-    every = np.arange(lanes)
     for t in range(steps):
         n = lanes if lengths[-1] > t else lanes - 1
-        ids = grid[:n, t].astype(np.int32)
-        mixed = model.predict(n)
-        s = model.symbol(ids)
-        begin, end = _bounds(mixed, s)
+        if n < len(model.weight):
+            model.shrink(n)
+        ids = grid[t, :n].astype(np.int32)
+        p, q = model.predict()
+        hit_two = ids == model.id_two
+        hit_one = (ids == model.id_one) & ~hit_two
+        hit = hit_two | hit_one
+        start, stop = np.where(hit_two, 0, np.where(hit_one, p, q)), np.where(hit_two, p, np.where(hit_one, q, TOTAL))
         unit = span[:n] >> _U(BITS)
-        low[:n] += unit * begin
-        span[:n] = unit * (end - begin)
-        if len(at := np.flatnonzero(s == 3)):
-            shift(at)
-            own = model.upper[at]
-            top = ids[at] >> LOW_BITS
-            begin, end = _bounds(own, top)
-            unit = span[at] >> _U(BITS)
-            low[at] += unit * begin
-            unit = unit * (end - begin) >> _U(LOW_BITS)
-            low[at] += unit * (ids[at] & (1 << LOW_BITS) - 1).astype(_U)
-            span[at] = unit
-            model.upper[at] = own + (SIXTEEN[top] - own >> RATE)
-            shift(at)
-        shift(every[:n])
-        model.learn(ids, s)
+        low[:n] += unit * start.astype(_U)
+        own = unit * (stop - start).astype(_U)
+        unit = own >> _U(ZERO_BITS)
+        low[:n] += np.where(hit, _U(0), unit * begin.take(ids))
+        span[:n] = np.where(hit, own, unit * width.take(ids))
+        while shift(n):
+            pass
+        model.learn(ids, hit_two, hit_one)
     for _ in range(3):
-        words[every, used] = (low >> _U(32)).astype(np.int32)
-        used += 1
+        words.append((low >> _U(32)).astype(np.uint32))
+        lit.append(np.ones(lanes, bool))
         low = (low & _U(0xFFFFFFFF)) << _U(16)
-    for k in range(words.shape[1] - 1, 0, -1):
-        words[:, k - 1] += words[:, k] >> 16
-    words &= 0xFFFF
-    return [w[:u].astype("<u2") for w, u in zip(words, used)]
-
-
-def _decode_blocks(streams: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """streams: all words; start: where each block's begin.  One row of ids per block."""
-    lanes, steps = len(lengths), int(lengths.max())
-    model = _Model(lanes)
-    grid = np.zeros((lanes, steps), np.uint16)
-    streams = np.concatenate([streams, np.zeros(4, streams.dtype)]).astype(_U)
-    at_word = start.astype(np.int64).copy()
+    lit = np.array(lit).T
+    flat = np.array(words).T[lit]
+    while len(at := np.flatnonzero(flat >> 16)):
+        carry = flat[at] >> 16
+        flat[at] &= 0xFFFF
+        flat[at - 1] += carry
+    return np.split(flat.astype("<u2"), np.cumsum(lit.sum(axis=1))[:-1])
+
+
+def _decode_blocks(streams: np.ndarray, start: np.ndarray, lengths: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """streams: all words; start: where each block's begin.  One column of ids per block."""
+    lanes, steps = len(lengths), int(lengths[0])
+    model, begin, width = _Model(lanes), _bounds(share), share.astype(_U)
+    named = np.repeat(np.arange(len(share), dtype=np.int32), share)
+    grid = np.zeros((steps, lanes), np.uint16)
+    streams = np.concatenate([streams, np.zeros(4, streams.dtype)])
+    end, at_word = len(streams) - 1, start.astype(np.int64)
     code, span = np.zeros(lanes, _U), np.full(lanes, 1 << 48, _U)
     for _ in range(3):
-        code = code << _U(16) | streams[at_word]
+        code = code << _U(16) | streams.take(at_word, mode="clip")
         at_word += 1
 
-    def shift(at: np.ndarray) -> None:
-        at = at[span[at] < _U(1 << 32)]
-        code[at] = code[at] << _U(16) | streams[np.minimum(at_word[at], len(streams) - 1)]
-        at_word[at] += 1
-        span[at] <<= _U(16)
-
-    every = np.arange(lanes)
     for t in range(steps):
         n = lanes if lengths[-1] > t else lanes - 1
-        mixed = model.predict(n)
-        unit = span[:n] >> _U(BITS)
-        s = (code[:n, None] >= mixed.astype(_U) * unit[:, None]).sum(axis=1)
-        begin, end = _bounds(mixed, s)
-        code[:n] -= unit * begin
-        span[:n] = unit * (end - begin)
-        ids = np.where(s == 0, model.two_id, np.where(s == 1, model.one_id, model.zero[:n]))
-        if len(at := np.flatnonzero(s == 3)):
-            shift(at)
-            own = model.upper[at]
-            unit = span[at] >> _U(BITS)
-            top = (code[at][:, None] >= own.astype(_U) * unit[:, None]).sum(axis=1)
-            begin, end = _bounds(own, top)
-            code[at] -= unit * begin
-            unit = unit * (end - begin) >> _U(LOW_BITS)
-            rest = code[at] // unit
-            code[at] -= unit * rest
-            span[at] = unit
-            ids[at] = top << LOW_BITS | rest.astype(np.int64)
-            model.upper[at] = own + (SIXTEEN[top] - own >> RATE)
-            shift(at)
-        shift(every[:n])
-        ids = ids.astype(np.int32)
-        grid[:n, t] = ids
-        model.learn(ids, s)
+        if n < len(model.weight):
+            model.shrink(n)
+            code, span, at_word = code[:n], span[:n], at_word[:n]
+        p, q = model.predict()
+        unit = span >> _U(BITS)
+        low_p, low_q = unit * p.astype(_U), unit * q.astype(_U)
+        hit_two, missed = code < low_p, code >= low_q
+        hit_one = ~(hit_two | missed)
+        code = code - np.where(hit_two, _U(0), np.where(hit_one, low_p, low_q))
+        own = np.where(hit_two, low_p, np.where(hit_one, low_q - low_p, unit * _U(TOTAL) - low_q))
+        unit = own >> _U(ZERO_BITS)
+        place = code // np.maximum(unit, _U(1))
+        ids = named.take(np.minimum(place, _U(ZERO_TOTAL - 1)).astype(np.int64), mode="clip")
+        code = np.where(missed, code - unit * begin.take(ids), code)
+        span = np.where(missed, unit * width.take(ids), own)
+        while (short := span < _NARROW).any():
+            code = np.where(short, code << _U(16) | streams.take(at_word, mode="clip"), code)
+            span = np.where(short, span << _U(16), span)
+            at_word = np.minimum(at_word + short, end)
+            if not span.all():
+                raise ValueError("damaged block")
+        ids = np.where(missed, ids, np.where(hit_two, model.id_two, model.id_one))
+        grid[t, :n] = ids
+        model.learn(ids, hit_two, hit_one)
     return grid
 
 
-def write_segment(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes:
-    """A self-contained segment: documents, their token counts, and coded blocks with their checksums."""
+def write_segment(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
+    """A self-contained segment: documents (an id may be None), their token counts, the order-0 distribution, and coded blocks
+    with their checksums."""
     ids = np.ascontiguousarray(ids, "<u2")
-    lengths = _lengths(len(ids))
-    table = zlib.compress(np.array(doc_ids, "<i8").tobytes() + np.array(counts, "<u4").tobytes(), 1)
+    lengths, share = _lengths(len(ids)), order_zero(np.bincount(ids, minlength=1 << 16))
+    null = np.array([d is None for d in doc_ids], np.uint8)
+    table = zlib.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(counts, "<u4").tobytes() + null.tobytes(), 1)
+    seen = np.flatnonzero(share)
+    zero = zlib.compress(np.diff(seen, prepend=0).astype("<u2").tobytes() + share[seen].astype("<u4").tobytes(), 6)
     parts, sizes, sums = [], [], []
     for a in range(0, len(lengths), LANES):
         own = lengths[a : a + LANES]
         flat = ids[a * BLOCK : a * BLOCK + int(own.sum())]
         grid = np.zeros((len(own), BLOCK), np.uint16)
         grid.reshape(-1)[: len(flat)] = flat
-        coded = _encode_blocks(grid, own)
+        coded = _encode_blocks(np.ascontiguousarray(grid.T), own, share)
         parts += [c.tobytes() for c in coded]
         sizes += [len(c) for c in coded]
         sums += [zlib.crc32(grid[i, :n].tobytes()) for i, n in enumerate(own)]
-    head = struct.pack("<5sIIQI", MAGIC, len(doc_ids), len(lengths), len(ids), len(table))
-    return b"".join([head, table, np.array(sizes, "<u4").tobytes(), np.array(sums, "<u4").tobytes(), *parts])
+    head = struct.pack(HEAD, MAGIC, len(doc_ids), len(lengths), len(ids), len(table), len(zero))
+    return b"".join([head, table, zero, np.array(sizes, "<u4").tobytes(), np.array(sums, "<u4").tobytes(), *parts])
 
 
-def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Document ids, token counts and ids of a segment; ValueError if a checksum fails."""
-    magic, docs, blocks, total, size = struct.unpack_from("<5sIIQI", data)
+    magic, docs, blocks, total, size, zero = struct.unpack_from(HEAD, data)
     if magic != MAGIC:
         raise ValueError("not a segment")
-    at = struct.calcsize("<5sIIQI")
+    at = struct.calcsize(HEAD)
     table = zlib.decompress(data[at : at + size])
-    doc_ids, counts = np.frombuffer(table[: 8 * docs], "<i8"), np.frombuffer(table[8 * docs :], "<u4")
+    doc_ids, counts, null = np.frombuffer(table, "<i8", docs), np.frombuffer(table, "<u4", docs, 8 * docs), np.frombuffer(table, np.uint8, docs, 12 * docs)
     at += size
+    seen = zlib.decompress(data[at : at + zero])
+    share, n = np.zeros(1 << 16, np.int64), len(seen) // 6
+    share[np.cumsum(np.frombuffer(seen, "<u2", n), dtype=np.int64)] = np.frombuffer(seen, "<u4", n, 2 * n)
+    at += zero
     sizes, sums = np.frombuffer(data, "<u4", blocks, at), np.frombuffer(data, "<u4", blocks, at + 4 * blocks)
     words = np.frombuffer(data, "<u2", offset=at + 8 * blocks)
     start, lengths, out = np.cumsum([0, *sizes.tolist()]), _lengths(total), []
     for a in range(0, blocks, LANES):
         own = lengths[a : a + LANES]
         first, stop = start[a], start[a + len(own)]
-        grid = _decode_blocks(words[first:stop], start[a : a + len(own)] - first, own)
+        grid = np.ascontiguousarray(_decode_blocks(words[first:stop], start[a : a + len(own)] - first, own, share).T)
         for i, n in enumerate(own):
             if zlib.crc32(grid[i, :n].tobytes()) != sums[a + i]:
                 raise ValueError(f"checksum of block {a + i}")
             out.append(grid[i, :n])
-    return doc_ids, counts, np.concatenate(out) if out else np.empty(0, np.uint16)
+    return [None if none else int(d) for d, none in zip(doc_ids, null)], counts, np.concatenate(out) if out else np.empty(0, np.uint16)

@@ -6,6 +6,9 @@ of doc_id; a segment holds whole documents, about SEGMENT ids, and decodes alone
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +20,12 @@ from pyspark.sql import functions as F
 from .common import ship, stored, table
 from .idcoder import BLOCK, LANES, read_segment, write_segment
 
-END, SEGMENT, HELD = 1, BLOCK * LANES, 150_000
+END, SEGMENT, HELD = 1, BLOCK * LANES, 200_000
+#: Parts that keep their letters under the tokenizer's normalisation, without the apostrophes and marks that it treats in ways of their own.
+_PLAIN = re.compile("(?:[a-zß-öø-ɏ0-9]|[!-/:-@[-`{-~](?<![<']))+")
+_WORDS = re.compile("[a-zß-öø-ɏ]+|[0-9]|[!-/:-@[-`{-~]+")
+#: Bytes that are no printable Latin-1 characters go by the characters from 256 on.
+_NAMED = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 def default_tokenizer() -> str:
@@ -26,28 +34,67 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Memory(dict):
+    """Values found lately, in two halves of at most *held*: the older half goes when the newer is full."""
+
+    def __init__(self, held: int) -> None:
+        self.held, self.old = held, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        self[key] = value = self.old[key]
+        return value
+
+    def lacks(self, keys: set[bytes]) -> list[bytes]:
+        return [k for k in keys if k not in self and k not in self.old]
+
+    def turn(self) -> None:
+        if len(self) > self.held:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordIds:
-    """Ids by white-space-free part: the tokenizer drops white space and never looks across it, so every part is
-    encoded once and remembered, at most HELD of them."""
+    """Ids by white-space-free part: the tokenizer drops white space and never looks across it, and does not tell upper
+    case from lower.  A part of Latin letters, digits and ASCII signs falls into the words of the tokenizer's pattern, which
+    its model takes one by one; any other part goes through the whole tokenizer.  Parts and words are remembered."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.parts, self.words = Tokenizer.from_file(path), Memory(HELD), Memory(HELD)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text, END appended."""
-        parts = [t.encode("utf-8").split() for t in texts]
-        if len(self.known) > HELD:
-            self.known.clear()
-        new = list({p for own in parts for p in own} - self.known.keys())
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u2").tobytes()
-        end, get = END.to_bytes(2, "little"), self.known.__getitem__
+        raw = [t.encode() for t in texts]
+        parts = [(r if b"<|" in r else r.lower()).split() for r in raw]  # marks of special tokens are as written
+        self.parts.turn()
+        self.words.turn()
+        self._learn(self.parts.lacks({p for own in parts for p in own}))
+        end, get = END.to_bytes(2, "little"), self.parts.__getitem__
         return [b"".join(map(get, own)) + end for own in parts]
 
+    def _learn(self, new: list[bytes]) -> None:
+        parts, word, odd = self.parts, self._word, []
+        known, old = self.words, self.words.old
+        for p in new:
+            t = p.decode().lower()
+            if _PLAIN.fullmatch(t) is None:
+                odd.append(p)
+                continue
+            parts[p] = b"".join([known.get(w) or old.get(w) or word(w) for w in _WORDS.findall(t)])
+        for a in range(0, len(odd), 4096):
+            some = odd[a : a + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
+                parts[p] = struct.pack(f"<{len(e.ids)}H", *e.ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word of the pattern, its bytes named as the model's alphabet names them."""
+        named = word if word.isascii() else word.encode().decode("latin-1").translate(_NAMED)
+        ids = [t.id for t in self.tokenizer.model.tokenize(named)]
+        found = self.words[word] = struct.pack(f"<{len(ids)}H", *ids)
+        return found
+
 
 _tokenizers: dict[str, WordIds] = {}
 
@@ -67,8 +114,8 @@ def _encode(path: str):
             part = int(frame["part"].iloc[0]) if len(frame) else part
             for a in range(0, len(frame), 256):
                 few = frame.iloc[a : a + 256]
-                for doc, ids in zip(few["doc_id"], words.batch(few["text"].tolist())):
-                    held.append((doc, ids))
+                for doc, null, ids in zip(few["doc_id"], few["null"], words.batch(few["text"].tolist())):
+                    held.append((None if null else doc, ids))
                     size += len(ids) // 2
                 if size >= SEGMENT:
                     yield segment()
@@ -82,12 +129,13 @@ def _encode(path: str):
 def write_ids(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """Encode every whole text (null: empty) and write segments in ascending doc_id order.
 
-    Returns the written table.  Rows repeated in doc_id are kept, by text hash; null ids come first and are stored as
-    -1; an empty table writes no segment.
+    Returns the written table.  Rows repeated in doc_id are kept, by text hash; null ids come first and stay null; texts of
+    any length are encoded whole; an empty table writes no segment; other columns are ignored.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("null"), "text", F.spark_partition_id().alias("part"))
     coded = rows.mapInPandas(_encode(tokenizer or default_tokenizer()), "part int, segment int, first bigint, n_tokens bigint, data binary")
     return stored(coded, path, codec="none")
 
@@ -100,7 +148,7 @@ def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             raw = ids.astype("<u2")
             for a in range(0, len(doc_ids), 1024):
                 own = range(a, min(a + 1024, len(doc_ids)))
-                yield pd.DataFrame({"part": part, "doc_id": doc_ids[own.start : own.stop], "local": first + at[own.start : own.stop], "ids": [raw[at[i] : at[i + 1]].tobytes() for i in own]})
+                yield pd.DataFrame({"part": part, "doc_id": pd.array(doc_ids[own.start : own.stop], "Int64"), "local": first + at[own.start : own.stop], "ids": [raw[at[i] : at[i + 1]].tobytes() for i in own]})
 
 
 def read_ids(segments: DataFrame) -> DataFrame:

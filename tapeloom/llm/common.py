@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,14 +44,37 @@ def ship(spark: SparkSession) -> None:
     sc._tapeloom_shipped = True
 
 
+def trim() -> None:
+    """Give memory that a Python task no longer uses back to the system; workers live on for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no such call in other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below ``spark.checkpoint.dir``, one parent per application, which goes when the driver ends.  A session
+    that names none gets a temporary one if it runs on this machine alone; on a cluster that is an error."""
+    sc, root = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tapeloom-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(root)
+    own = f"{root.rstrip('/')}/tapeloom-{sc.applicationId}"
+    if getattr(sc, "_tapeloom_folder", None) != own:
+        sc._tapeloom_folder = own
+        atexit.register(remove, sc, own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def remove(sc: SparkContext, path: str) -> None:
+    """Delete a folder of the shared store, if the application still runs."""
+    if sc._jsc is None:
+        return
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, path: str | None = None, codec: str = "zstd") -> DataFrame:
@@ -56,6 +85,25 @@ def stored(df: DataFrame, path: str | None = None, codec: str = "zstd") -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, other: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """Join *rows* with *other*, which has one row per key, so that no task gets all rows of a frequent key.
+
+    Keys of more than max(1,000, a hundred-thousandth) of the rows, so at most 100,000 of them, are joined by broadcast, the rest by
+    shuffle.  how: inner or left.  Null keys match nothing.  *hot*: the frequent keys, where they are known."""
+    hot = frequent(rows, key) if hot is None else hot
+    if hot.isEmpty():
+        return rows.join(other, key, how)
+    hot = F.broadcast(hot)
+    some = F.broadcast(other.join(hot, key, "left_semi"))
+    return rows.join(hot, key, "left_semi").join(some, key, how).unionByName(rows.join(hot, key, "left_anti").join(other, key, how))
+
+
+def frequent(rows: DataFrame, key: str) -> DataFrame:
+    """Keys of more than max(1,000, a hundred-thousandth) of the rows; a table is stored once, so count it from there."""
+    limit = max(1_000, rows.count() // 100_000)
+    return stored(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(key))
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; a null text counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

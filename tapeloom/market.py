@@ -19,7 +19,7 @@ class Market:
     """Every attribute is a lazy plan.  With *keep*, tables that many queries start from are persisted (memory, then disk)
     when first computed; they can be recomputed from their lineage."""
 
-    KEPT = ("bars", "enriched", "signals", "results", "evaluation", "named_signals", "named_evaluation", "validation", "signal_pool", "plans", "plan_results", "review", "performance")
+    KEPT = ("bars", "enriched", "signals", "results", "evaluation", "named_signals", "named_evaluation", "validation", "default_validation", "signal_pool", "plans", "plan_results", "review", "performance")
 
     def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False) -> None:
         self.spark, self.sf_dir, self.keep, self.kept = spark, sf_dir, keep, []
@@ -104,6 +104,10 @@ class Market:
     def validation(self) -> DataFrame:
         return research.walk_forward(self.named_signals, self.bars, self.named, SPLIT)
 
+    @cached_property
+    def default_validation(self) -> DataFrame:
+        return research.walk_forward(self.signals, self.bars, self.signals.select("strategy_name", "strategy_version").distinct(), SPLIT)
+
     @cached_property
     def pool(self) -> DataFrame:
         return candidates.select_candidates(self.enriched, self.basic, self.regime)
@@ -151,17 +155,28 @@ class Market:
         return ledger.position_review(self.positions, self.plans, AS_OF)
 
 
-_latest: dict[tuple[str, str], Market] = {}
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files of a data set: other files, another state."""
+    jvm, found = spark.sparkContext._jvm, []
+    root = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+_latest: dict[tuple[str, str], tuple[tuple, Market]] = {}
 
 
 def shared(spark: SparkSession, sf_dir: str) -> Market:
-    """One Market per application and data set, so that queries run one after another share kept tables; a new data set
-    releases the one before."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _latest:
-        for (app, _), old in _latest.items():
+    """One Market per application and data set, so that queries run one after another share kept tables.  Another data set, or
+    other files in it, releases the one before."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), state(spark, sf_dir)
+    if key not in _latest or _latest[key][0] != now:
+        for (app, _), (_, old) in _latest.items():
             if app == key[0]:
                 old.release()
         _latest.clear()
-        _latest[key] = Market(spark, sf_dir, keep=True)
-    return _latest[key]
+        _latest[key] = now, Market(spark, sf_dir, keep=True)
+    return _latest[key][1]

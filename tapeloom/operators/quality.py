@@ -40,16 +40,34 @@ def quality_checks(bars: DataFrame) -> DataFrame:
     return _report(df, [("empty_data", "error", (c("n") == 0).cast("int")), ("required_columns", "error", F.lit(0)), ("null_values", "warning", c("nulls")), ("duplicated_rows", "warning", c("dups")), ("invalid_price_relation", "warning", c("relation")), ("non_positive_price", "warning", c("non_positive")), ("negative_volume_amount", "warning", c("negative")), ("trade_date_format", "warning", c("dates")), ("code_format", "warning", c("codes"))])
 
 
-def missing_rate_checks(df: DataFrame, groups: dict[str, tuple[list[str], float]]) -> DataFrame:
-    """Share of rows with any null among a group's columns, against the group's threshold; absent columns count as null."""
-    out = []
-    for name, (columns, most) in groups.items():
+def missing_rate_checks(df: DataFrame, groups: dict[str, tuple[list[str], float, str]]) -> DataFrame:
+    """Rows with any null among a group's columns that are there, their share, and a warning above the group's threshold.
+
+    groups: check name to columns, threshold, and the status where none of the columns is there (warning: every row counts; info: none).
+    An empty table is info with a count of 0."""
+    parts, facts = {"_n": F.count(F.lit(1))}, []
+    for name, (columns, most, absent) in groups.items():
         have = [x for x in columns if x in df.columns]
-        hit = F.exists(F.array(*[c(x).isNull() for x in have]), lambda x: x) if len(have) == len(columns) else F.lit(True)
-        out.append((name, most, F.try_divide(_sum(hit), F.count(F.lit(1)))))
-    one = df.agg(*[x.alias(n) for n, _, x in out])
-    rows = F.array(*[F.struct(F.lit(n).alias("check_name"), c(n).alias("missing_rate"), F.when(holds(c(n) > most), "warning").otherwise("ok").alias("status")) for n, most, _ in out])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+        hit = F.exists(F.array(*[c(x).isNull() for x in have]), lambda x: x) if have else F.lit(absent == "warning")
+        parts[name] = _sum(hit)
+        facts.append((name, F.when(c(name) > most * c("_n"), "warning").otherwise("ok") if have else F.lit(absent)))
+    one = df.agg(*[x.alias(k) for k, x in parts.items()])
+    rows = [F.struct(F.lit(k).alias("check_name"), F.when(c("_n") == 0, "info").otherwise(status).alias("status"), c(k).cast("bigint").alias("issue_count"), F.try_divide(c(k), c("_n")).alias("missing_rate")) for k, status in facts]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def table_status(df: DataFrame, name: str) -> DataFrame:
+    """One row: a warning if the optional table is empty."""
+    empty = F.count(F.lit(1)) == 0
+    return df.agg(F.lit(name).alias("check_name"), F.when(empty, "warning").otherwise("ok").alias("status"), empty.cast("bigint").alias("issue_count"))
+
+
+def diagnostics_check(diagnostics: DataFrame, factors: DataFrame, most: int = 3) -> DataFrame:
+    """One row: a warning if *most* factors or more are mostly missing or nothing was diagnosed; info where there are no factors."""
+    high = diagnostics.agg(F.count(F.lit(1)).alias("n"), _sum(c("status") == "high_missing").alias("k")) if "status" in diagnostics.columns else diagnostics.agg(F.lit(0).alias("n"), F.lit(0).alias("k"))
+    rows = factors.agg(F.count(F.lit(1)).alias("rows"))
+    status = F.when(c("rows") == 0, "info").when((c("n") == 0) | (c("k") >= most), "warning").otherwise("ok")
+    return high.join(F.broadcast(rows), F.lit(True)).select(F.lit("factor_diagnostics_high_missing").alias("check_name"), status.alias("status"), F.when(c("rows") == 0, 0).otherwise(c("k")).cast("bigint").alias("issue_count"))
 
 
 def factor_diagnostics(factors: DataFrame, names: list[str], scopes: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ one scan serves every version and date.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.columns import MAIN_BOARD, clip, flag_text, flags, holds, to_bool, zero
@@ -137,6 +138,8 @@ RULES: dict[str, tuple] = {
     "volume_dryup_breakout": (_volume_dryup_breakout, "breakout", True, "volume picks up after a quiet phase and price breaks upward"),
     "relative_strength_pullback": (_relative_strength_pullback, "pullback", True, "stronger than its industry, in a mild pullback"),
 }
+#: Fixed value: the rules that are on by default.
+ENABLED = ("trend_pullback", "breakout_volume", "support_rebound")
 FIRST_BRANCH = {"moneyflow_accumulation": "v1_main_inflow"}
 
 
@@ -180,14 +183,39 @@ def _signal(columns: list[str], name: str, p: Params, version: Column) -> Column
     return F.when(keep, F.struct(F.lit(name).alias("strategy_name"), version.alias("strategy_version"), strength.alias("signal_strength"), F.lit(reason).alias("entry_reason"), text.alias("risk_flags")))
 
 
-def run_strategies(factors: DataFrame, names: list[str], params: dict | None = None, version: str = "v1") -> DataFrame:
-    """Signals of several rules with their defaults and *params* on top, in one pass over the factors."""
+Rule = Callable[[DataFrame], DataFrame]
+
+
+def enabled_rules(config: dict[str, dict] | None = None) -> list[str]:
+    """Rules in use: those on by default, unless *config* says otherwise by rule: {"enabled": bool}."""
+    return [n for n in RULES if (config or {}).get(n, {}).get("enabled", n in ENABLED)]
+
+
+def run_strategies(factors: DataFrame, rules: list[str | Rule] | None = None, params: dict | None = None, version: str = "v1", config: dict[str, dict] | None = None) -> DataFrame:
+    """Signals of several rules with their defaults and *params* on top, in one pass over the factors.
+
+    rules: names, or functions of the factors for rules of the caller's own; without it, those that are enabled.  A caller's rule
+    may leave columns out: its version is then v1, its strength 0.  A key that repeats keeps its strongest signal."""
+    rules = enabled_rules(config) if rules is None else rules
+
     def given(name: str) -> Params:
         values = DEFAULTS[name] | (params or {}) | {"branch": FIRST_BRANCH.get(name, "")}
         return lambda k: F.lit(float(values[k]) if isinstance(values[k], bool) else values[k])
 
-    found = F.array_compact(F.array(*[_signal(factors.columns, n, given(n), F.lit(version)) for n in names]))
-    return factors.select("trade_date", "code", F.explode(found).alias("s")).select("trade_date", "code", "s.*")
+    own = [r(factors) for r in rules if callable(r)]
+    names = [r for r in rules if not callable(r)]
+    if names or not own:
+        found = [_signal(factors.columns, n, given(n), F.lit(version)) for n in names or RULES]
+        found = F.array_compact(F.array(*found)) if names else F.slice(F.array(*found), 1, 0)
+        built = factors.select("trade_date", "code", F.explode(found).alias("s")).select("trade_date", "code", "s.*")
+        if not own:
+            return built
+        own.insert(0, built)
+    filled = {"strategy_version": F.lit("v1"), "signal_strength": F.lit(0.0)}
+    own = [d.select(*[F.coalesce(c(x), filled.get(x, F.lit(None))).alias(x) if x in d.columns else filled.get(x, F.lit(None).cast("string")).alias(x) for x in SIGNALS]) for d in own]
+    both = reduce(DataFrame.unionByName, own).withColumn("signal_strength", F.coalesce(c("signal_strength").try_cast("double"), F.lit(0.0)))
+    first = Window.partitionBy(*SIGNALS[:4]).orderBy(F.desc("signal_strength"), "entry_reason", "risk_flags")
+    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 def rule(factors: DataFrame, name: str, params: dict | None = None, version: str = "v1") -> DataFrame:
@@ -195,17 +223,40 @@ def rule(factors: DataFrame, name: str, params: dict | None = None, version: str
     return run_strategies(factors, [name], params, version)
 
 
+def loosest(low: dict, high: dict, branches: set[str]) -> Params:
+    """Parameters under which a rule holds wherever one of its versions does: the least lower bound, the greatest upper bound.
+    Bounds of a fall are lower bounds by meaning; a switch that one version leaves off is off."""
+    branch = next(iter(branches)) if len(branches) == 1 else ""
+
+    def value(k: str) -> Column:
+        if k == "branch":
+            return F.lit(branch)
+        upper = k.startswith("max_") and not k.startswith("max_down_")
+        return F.lit((high if upper else low)[f"p_{k}"]).cast("double")
+
+    return value
+
+
 def all_versions(factors: DataFrame, versions: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Signals of every version on every date in one scan of the factors.
 
-    The version table is a driver-built list of a few hundred rows and is broadcast; only rows whose rule holds leave the
-    join."""
-    names = names or list(RULES)
+    A row first meets each rule once, with the loosest bounds of that rule's versions; only rows that pass meet the versions of
+    the rule, by a broadcast join on its name.  The version table is a driver-built list of a few hundred rows."""
+    names = [n for n in names or list(RULES) if n in RULES]
+    own = versions.where(c("strategy_name").isin(*names))
+    params = [k for k in own.columns if k.startswith("p_")]
+    bounds = own.groupBy("strategy_name").agg(F.collect_set("branch").alias("branches"), F.struct(*[F.min(k).alias(k) for k in params]).alias("low"), F.struct(*[F.max(k).alias(k) for k in params]).alias("high")).collect()
+
+    def may_hold(r) -> Column:
+        name, board = r["strategy_name"], RULES[r["strategy_name"]][2]
+        keep, _, _ = RULES[name][0](loosest(r["low"].asDict(), r["high"].asDict(), set(r["branches"])))
+        return F.when(holds(keep & main_board(factors.columns)) if board else holds(keep), F.lit(name))
+
+    rules = F.array_compact(F.array(*map(may_hold, bounds))) if bounds else F.array().cast("array<string>")
     get = lambda k: c("branch") if k == "branch" else c(f"p_{k}")
-    own = versions.where(c("strategy_name").isin(*names)).withColumnRenamed("strategy_name", "_rule")
-    joined = factors.join(F.broadcast(own), F.lit(True))
+    met = factors.withColumn("_rule", F.explode(rules)).join(F.broadcast(own.withColumnRenamed("strategy_name", "_rule")), "_rule")
     signal = F.coalesce(*[F.when(c("_rule") == n, _signal(factors.columns, n, get, c("strategy_version"))) for n in names])
-    return joined.select("trade_date", "code", signal.alias("s")).where("s is not null").select("trade_date", "code", "s.*")
+    return met.select("trade_date", "code", signal.alias("s")).where("s is not null").select("trade_date", "code", "s.*")
 
 
 def latest_slice(df: DataFrame) -> DataFrame:

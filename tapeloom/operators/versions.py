@@ -50,11 +50,11 @@ SEARCH: dict[str, tuple[int, dict, dict[str, list[float]]]] = {
 PARAMS = sorted({p for d in DEFAULTS.values() for p in d})
 
 
-def named_versions(overrides: dict | None = None) -> list[dict]:
+def named_versions(overrides: dict | None = None, named: dict[str, dict[str, dict]] = NAMED) -> list[dict]:
     """Rows name, version, branch and all parameters; the version's own name is its branch.
 
-    *overrides* go on top of every version, for data in other units."""
-    return [_row(rule, v, v, changes | (overrides or {})) for rule, versions in NAMED.items() for v, changes in versions.items()]
+    *overrides* go on top of every version, for data in other units.  A version of *named* with "enabled": False is left out."""
+    return [_row(rule, v, v, changes | (overrides or {})) for rule, versions in named.items() for v, changes in versions.items() if changes.get("enabled", True)]
 
 
 def grid(search: dict = SEARCH, overrides: dict | None = None, limit_rules: int | None = None, limit_each: int | None = None) -> list[dict]:

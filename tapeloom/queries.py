@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ add("w06_industry_strength", lambda m: m.industry, "SELECT * FROM d_industry", "
 add("w07_market_regime", lambda m: m.regime, "SELECT * FROM d_regime", "close pct_chg index_trend_score limit_up_open_times_avg highest_streak sentiment_score total_score")
 add("w08_dedup_keep_last", lambda m: factors.dedup_last(m.table("events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id"), "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL")
 add("w08_dedup_keep_first", lambda m: factors.dedup_last(m.table("events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id", first=True), "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
-add("w09_rank_candidates", lambda m: candidates.rank_candidates(m.signals.where("strategy_name = 'trend_pullback'").withColumn("score", c("signal_strength")), 20).select("trade_date", "code", "score", "rank"), "SELECT * FROM (SELECT trade_date, code, signal_strength AS score, row_number() OVER (PARTITION BY trade_date ORDER BY round(signal_strength, 9) DESC, code) AS rank FROM d_signals WHERE strategy_name = 'trend_pullback') WHERE rank <= 20", "score")
+add("w09_rank_candidates", lambda m: candidates.rank_candidates(m.signals.groupBy("trade_date", "code").agg(F.max("signal_strength").alias("score")), 20).select("trade_date", "code", "score", "rank"), "SELECT * FROM (SELECT trade_date, code, score, row_number() OVER (PARTITION BY trade_date ORDER BY round(score, 9) DESC, code) AS rank FROM (SELECT trade_date, code, max(signal_strength) AS score FROM d_signals GROUP BY ALL)) WHERE rank <= 20", "score")
 add("w10_top_n_per_strategy", lambda m: research.top_n_per_strategy(m.named_evaluation).select("strategy_name", "strategy_version", "evaluation_score", "place"), "SELECT * FROM (SELECT strategy_name, strategy_version, evaluation_score, row_number() OVER (PARTITION BY strategy_name ORDER BY evaluation_score DESC NULLS LAST, strategy_version) AS place FROM d_named_evaluation) WHERE place <= 3", "evaluation_score")
 add("w11_forward_returns", lambda m: backtest.forward_returns(m.bars).select("trade_date", "code", *[f"{x}_{k}d" for k in (1, 3, 5) for x in ("exit_close", "low")]), "SELECT trade_date, code, " + ", ".join(f"lead(close, {k}) OVER w AS exit_close_{k}d, CASE WHEN lead(1, {k}) OVER w = 1 THEN min(low) OVER (PARTITION BY code ORDER BY trade_date ROWS BETWEEN CURRENT ROW AND {k} FOLLOWING) END AS low_{k}d" for k in (1, 3, 5)) + " FROM bars WINDOW w AS (PARTITION BY code ORDER BY trade_date)", " ".join(f"{x}_{k}d" for k in (1, 3, 5) for x in ("exit_close", "low")))
 add("w12_latest_per_group", lambda m: quality.latest_per_group(m.industry, "industry_code").select("industry_code", "trade_date", "industry_strength_score"), "SELECT industry_code, max(trade_date) AS trade_date, arg_max(industry_strength_score, trade_date) AS industry_strength_score FROM d_industry GROUP BY industry_code", "industry_strength_score")
@@ -165,9 +166,9 @@ for _i, _n in enumerate(signals.RULES, 1):
     add(f"g{_i:02d}_{_n}", lambda m, n=_n: signals.rule(m.enriched, n, o.OVERRIDES), f"SELECT * FROM d_signals WHERE strategy_name = '{_n}'", SIGNAL_D)
 add("g10_run_strategies", lambda m: m.signals, "SELECT * FROM d_signals", SIGNAL_D)
 add("g11_historical_signals", lambda m: m.named_signals, "SELECT * FROM d_named_signals", SIGNAL_D)
-add("j18_versions_x_factors", lambda m: signals.all_versions(m.enriched, m.grid, ["trend_pullback", "breakout_volume"]).select("trade_date", "code", "strategy_name", "strategy_version", "signal_strength"), "SELECT trade_date, code, strategy_name, strategy_version, signal_strength FROM (" + " UNION ALL ".join(o.rule_sql(n, {p: f"p_{p}" for p in versions.PARAMS} | {"branch": "branch"}, f"d_enriched JOIN v_grid ON strategy_name = '{n}'", "strategy_version") for n in ("trend_pullback", "breakout_volume")) + ")", SIGNAL_D)
-_active = "SELECT strategy_name, strategy_version FROM d_named_evaluation WHERE recommendation IN ('enable_observation', 'observe')"
-_act = lambda m: m.named_evaluation.where(c("recommendation").isin("enable_observation", "observe"))
+add("j18_versions_x_factors", lambda m: signals.all_versions(m.enriched, m.grid).select("trade_date", "code", "strategy_name", "strategy_version", "signal_strength"), "SELECT trade_date, code, strategy_name, strategy_version, signal_strength FROM (" + " UNION ALL ".join(o.rule_sql(n, {p: f"p_{p}" for p in versions.PARAMS} | {"branch": "branch"}, f"d_enriched JOIN v_grid ON strategy_name = '{n}'", "strategy_version") for n in signals.RULES) + ")", SIGNAL_D)
+_active = "SELECT strategy_name, strategy_version FROM d_named_evaluation WHERE recommendation <> 'pause'"
+_act = lambda m: m.named_evaluation.where(c("recommendation") != "pause")
 add("g12_active_signals", lambda m: signals.latest_slice(signals.all_versions(m.enriched, research.filter_active_versions(m.named, _act(m)))), f"SELECT * FROM d_named_signals s WHERE (strategy_name, strategy_version) IN ({_active}) AND trade_date = (SELECT max(trade_date) FROM d_named_signals WHERE (strategy_name, strategy_version) IN ({_active}))", SIGNAL_D)
 add("f01_filter_main_board", lambda m: signals.filter_main_board(m.basic), f"SELECT * FROM stock_basic WHERE {o._BOARD} AND NOT contains(upper(name), 'ST')")
 add("f02_tradable_universe", lambda m: signals.tradable_universe(m.enriched, versions.DEFAULTS["oversold_rebound"] | o.OVERRIDES, True).select("trade_date", "code", "close"), "SELECT trade_date, code, close FROM d_enriched WHERE " + (o._TRADABLE + " AND NOT ((coalesce(pct_chg_3d, 0) <= -0.1 AND coalesce(pct_chg_5d, 0) <= -0.16) OR coalesce(pct_chg_10d, 0) <= -0.25) AND " + o._BOARD).format(min_amount_ma5=0, min_turnover_rate=0.3), "close")
@@ -179,9 +180,29 @@ add("f07_filter_active_versions", lambda m: research.filter_active_versions(m.na
 _elig = "SELECT e.strategy_name, e.strategy_version FROM d_named_evaluation e LEFT JOIN d_validation v USING (strategy_name, strategy_version) WHERE recommendation NOT IN ('pause', 'reduce_or_pause') AND coalesce(validation_status, '') NOT IN ('failed_oos', 'unstable') AND coalesce(overfit_risk, '') <> 'high'"
 _elig_df = lambda m: research.eligible_candidate_keys(m.named_evaluation, m.validation)
 add("f08_eligible_candidate_keys", _elig_df, _elig)
-_simple_df = lambda m: m.evaluation.where("strategy_name = 'trend_pullback'").select("strategy_name", "strategy_version")
-add("f09_filter_plans_by_candidates", lambda m: research.filter_plans_by_candidates(m.plans.withColumn("plan_id", F.concat_ws("-", "trade_date", "code")), _simple_df(m)).select("plan_id", "strategy_names"), "SELECT concat_ws('-', trade_date, code) AS plan_id, strategy_names FROM d_plans WHERE contains(',' || strategy_names || ',', ',trend_pullback,')")
-add("f10_filter_validation", lambda m: research.filter_validation(m.validation).select("strategy_name", "strategy_version", "validation_status"), "SELECT strategy_name, strategy_version, validation_status FROM d_validation WHERE overfit_risk IN ('high', 'medium') OR validation_status IN ('failed_oos', 'unstable')")
+#: Eligible keys of the rules with their defaults: the plans name those versions.
+DERIVED["d_default_validation"] = o.walk_forward_sql("SELECT * FROM d_signals", SPLIT, "(SELECT DISTINCT strategy_name, strategy_version FROM d_signals)")
+DERIVED["d_eligible"] = "SELECT e.strategy_name, e.strategy_version FROM d_evaluation e LEFT JOIN d_default_validation v USING (strategy_name, strategy_version) WHERE recommendation NOT IN ('pause', 'reduce_or_pause') AND coalesce(validation_status, '') NOT IN ('failed_oos', 'unstable') AND coalesce(overfit_risk, '') <> 'high'"
+_default_keys = lambda m: research.eligible_candidate_keys(m.evaluation, m.default_validation)
+
+
+def _of_eligible(table: str) -> str:
+    """Rows of *table* with an eligible key; all of them if no row has one."""
+    hit = f"list_has_any(string_split(strategy_names, ','), (SELECT coalesce(list(strategy_name), []) FROM d_eligible))"
+    return f"SELECT * FROM {table} WHERE {hit} OR NOT (SELECT coalesce(bool_or({hit}), false) FROM {table})"
+
+
+add(
+    "f09_filter_plans_by_candidates",
+    lambda m: research.filter_plans_by_candidates(m.plans.withColumn("plan_id", F.concat_ws("-", "trade_date", "code")), _default_keys(m)).select("plan_id", "strategy_names"),
+    f"SELECT concat_ws('-', trade_date, code) AS plan_id, strategy_names FROM ({_of_eligible('d_plans')})",
+)
+_STATUS = "CASE WHEN train_valid_count < 1 THEN 'insufficient_train_samples' WHEN validation_valid_count < 1 THEN 'insufficient_validation_samples' WHEN train_avg_return_3d > 0 AND validation_avg_return_3d < 0 THEN 'failed_oos' WHEN return_decay < -0.03 OR win_rate_decay < -0.15 THEN 'unstable' WHEN validation_avg_return_3d >= 0 AND validation_win_rate_3d >= 0.5 THEN 'passed_oos' ELSE 'needs_more_observation' END"
+add(
+    "f10_filter_validation",
+    lambda m: research.filter_validation(research.validate(m.validation, 1, 1)).select("strategy_name", "strategy_version", "validation_status"),
+    f"SELECT * FROM (SELECT strategy_name, strategy_version, {_STATUS} AS validation_status FROM d_validation) WHERE validation_status IN ('failed_oos', 'unstable', 'needs_more_observation')",
+)
 
 # Joins
 ENRICHED_D = FACTOR_D + " turnover_rate turnover_rate_f volume_ratio_daily_basic pe_ttm pb total_mv circ_mv up_limit down_limit net_mf_amount main_net_amount main_net_amount_ratio big_net_amount small_net_amount moneyflow_score industry_strength_score industry_return_3d industry_return_5d industry_amount_ratio_5 limit_up_distance limit_down_distance"
@@ -198,7 +219,7 @@ add("j07_asof_regime", lambda m: factors.asof_regime(_days(m), m.regime), "SELEC
 add("j08_latest_price_asof", lambda m: ledger.latest_price_asof(m.bars, AS_OF), f"SELECT code, arg_max(close, trade_date) AS latest_price FROM bars WHERE trade_date <= DATE '{AS_OF}' GROUP BY code", "latest_price")
 add("j09_latest_plan_asof", lambda m: ledger.latest_plan_asof(m.plans, AS_OF), f"SELECT code, arg_max_null(stop_loss, trade_date) AS planned_stop_loss, arg_max_null(take_profit_1, trade_date) AS planned_take_profit_1, arg_max_null(take_profit_2, trade_date) AS planned_take_profit_2 FROM d_plans WHERE trade_date <= DATE '{AS_OF}' GROUP BY code", "planned_stop_loss planned_take_profit_1 planned_take_profit_2")
 add("j10_holding_window_join", lambda m: m.plan_results.where("is_valid").select("plan_id", "entry_date", "exit_date", "holding_days", "max_drawdown"), "SELECT plan_id, entry_date, exit_date, holding_days, max_drawdown FROM d_plan_results WHERE is_valid", "max_drawdown")
-add("j17_bars_for_plans", lambda m: backtest.bars_for_plans(m.bars, m.plans.where("trade_date >= '1998-06-01'")).select("trade_date", "code", "close"), "SELECT trade_date, code, close FROM bars WHERE code IN (SELECT code FROM d_plans WHERE trade_date >= DATE '1998-06-01')", "close")
+add("j17_bars_for_plans", lambda m: backtest.bars_for_plans(m.bars, m.plans).select("trade_date", "code", "close"), "SELECT trade_date, code, close FROM bars WHERE code IN (SELECT code FROM d_plans)", "close")
 add("j19_evaluation_with_performance", lambda m: research.evaluation_with_performance(m.evaluation, backtest.signal_performance(m.results)).select("strategy_name", "strategy_version", "evaluation_score", "win_rate_1d", "avg_return_5d"), f"SELECT e.strategy_name, e.strategy_version, evaluation_score, win_rate_1d, avg_return_5d FROM d_evaluation e LEFT JOIN ({o.performance_sql('SELECT * FROM d_results')}) p USING (strategy_name, strategy_version)", "evaluation_score win_rate_1d avg_return_5d")
 _issue = lambda m: quality.compare_providers(m.bars, m.table("bars_b"))
 _ISSUES = "SELECT a.trade_date, a.code, 'row' AS field, CAST(NULL AS DOUBLE) AS left_value, CAST(NULL AS DOUBLE) AS right_value, CAST(NULL AS DOUBLE) AS relative_diff, 'missing_right' AS status FROM bars a LEFT JOIN bars_b b USING (trade_date, code) WHERE b.close IS NULL UNION ALL SELECT a.trade_date, a.code, 'close', a.close, b.close, abs(a.close - b.close) / greatest(abs(a.close), abs(b.close), 1e-12), 'warning' FROM bars a JOIN bars_b b USING (trade_date, code) WHERE abs(a.close - b.close) / greatest(abs(a.close), abs(b.close), 1e-12) > 0.01"
@@ -353,7 +374,12 @@ add("c02_candidates_from_signals", lambda m: m.signal_pool.select(*POOL.split(),
 add("c03_historical_plans", lambda m: m.plans.groupBy("trade_date").agg(F.count(F.lit(1)).alias("plan_count"), F.count_if(c("action") != "watch").alias("active_count"), F.avg("close").alias("avg_close")), "SELECT trade_date, count(*) AS plan_count, count_if(action <> 'watch') AS active_count, avg(close) AS avg_close FROM d_plans GROUP BY trade_date", "avg_close")
 add("c04_signal_backtest", lambda m: m.results, "SELECT * FROM d_results", BACKTEST_D)
 add("c05_plan_backtest", lambda m: _real(m.plan_results.drop("strategy_type"), "holding_days"), "SELECT * EXCLUDE (watch, strategy_type) FROM d_plan_results", PLAN_RESULT_D + " holding_days")
-add("c06_grid", lambda m: m.grid.select("strategy_name", "strategy_version", "p_min_pct_chg_5d").join(m.bars.agg(F.count(F.lit(1)).alias("bars")), F.lit(True)), "SELECT strategy_name, strategy_version, p_min_pct_chg_5d, (SELECT count(*) FROM bars) AS bars FROM v_grid", "p_min_pct_chg_5d")
+#: How much of the data each version of the grid selects: the grid itself is a list made on the driver.
+add(
+    "c06_grid",
+    lambda m: m.grid.select("strategy_name", "strategy_version").join(signals.all_versions(m.enriched, m.grid).groupBy("strategy_name", "strategy_version").agg(F.count(F.lit(1)).alias("n")), ["strategy_name", "strategy_version"], "left").na.fill(0, ["n"]),
+    "SELECT strategy_name, strategy_version, coalesce(n, 0) AS n FROM v_grid LEFT JOIN (SELECT strategy_name, strategy_version, count(*) AS n FROM (" + o.all_versions_sql("v_grid") + ") GROUP BY ALL) USING (strategy_name, strategy_version)",
+)
 add("c07_parameter_search", lambda m: m.searched, "SELECT * FROM d_searched", EVAL_D)
 add("c18_version_backtest", lambda m: m.named_evaluation, "SELECT * FROM d_named_evaluation", EVAL_D)
 add("c08_walk_forward", lambda m: m.validation, "SELECT * FROM d_validation", VALID_D)
@@ -361,20 +387,50 @@ add("c09_plan_backtest_job", lambda m: backtest.plan_performance(m.plan_results,
 
 
 def _rerun(m: Market) -> DataFrame:
-    kept = research.filter_plans_by_candidates(m.expanded, _simple_df(m)).select("plan_id")
-    return backtest.plan_performance(m.plan_results.join(kept, "plan_id", "left_semi"))
-
-
-add("c11_rerun_plans", _rerun, o.plan_performance_sql("SELECT * FROM d_plan_results WHERE contains(',' || strategy_names || ',', ',trend_pullback,')"), PLAN_PERF_D)
+    """Stored plans of eligible candidates backtested again, their performance, and admission on top of it."""
+    kept = research.filter_plans_by_candidates(m.expanded, _default_keys(m)).select("plan_id")
+    performance = backtest.plan_performance(m.plan_results.join(kept, "plan_id", "left_semi"))
+    return _real(research.strategy_admission(m.evaluation, m.named_evaluation, m.validation, performance), "trade_plan_valid_count")
+
+
+_again = {"d_plan_performance": "d_again_performance", "d_exploded": "d_again_exploded", "d_buys": "d_again_buys", "d_plan_admission": "d_again_plan_admission"}
+DERIVED["d_again"] = _of_eligible("d_plan_results")
+DERIVED["d_again_performance"] = o.plan_performance_sql("SELECT * FROM d_again")
+for _k in ("d_exploded", "d_buys", "d_plan_admission", "d_admission"):
+    DERIVED[_again.get(_k, "d_again_admission")] = re.sub("|".join(rf"\b{x}\b" for x in _again), lambda x: _again[x.group()], DERIVED[_k])
+add("c11_rerun_plans", _rerun, "SELECT * FROM d_again_admission", "evaluation_score oos_stability_score admission_score " + PLAN_ADM_D)
 add("c17_factor_build", lambda m: m.enriched.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.avg("moneyflow_score").alias("flow"), F.avg("industry_strength_score").alias("industry"), F.count_if("is_limit_up_close").alias("limit_ups")).join(m.regime.select("trade_date", "market_regime"), "trade_date", "left"), "SELECT e.*, r.market_regime FROM (SELECT trade_date, count(*) AS n, avg(moneyflow_score) AS flow, avg(industry_strength_score) AS industry, count_if(is_limit_up_close) AS limit_ups FROM d_enriched GROUP BY trade_date) e LEFT JOIN d_regime r ON e.trade_date = r.trade_date", "flow industry")
 _CHECKS = {"null_values": "(SELECT " + " + ".join(f"count_if({x} IS NULL)" for x in quality.REQUIRED) + " FROM bars)", "duplicated_rows": "(SELECT coalesce(sum(k), 0) FROM (SELECT count(*) AS k FROM bars GROUP BY trade_date, code) WHERE k > 1)", "invalid_price_relation": "(SELECT count_if(high < low OR open < low OR open > high OR close < low OR close > high) FROM bars)", "non_positive_price": "(SELECT count_if(open <= 0) + count_if(high <= 0) + count_if(low <= 0) + count_if(close <= 0) FROM bars)", "negative_volume_amount": "(SELECT count_if(volume < 0) + count_if(amount < 0) FROM bars)", "trade_date_format": "0", "code_format": "(SELECT count_if(NOT regexp_full_match(code, '\\d{6}')) FROM bars)"}
 _REPORT = "SELECT check_name, CASE WHEN issue_count > 0 THEN bad ELSE 'ok' END AS status, issue_count FROM (SELECT 'empty_data' AS check_name, 'error' AS bad, CAST((SELECT count(*) = 0 FROM bars) AS BIGINT) AS issue_count UNION ALL SELECT 'required_columns', 'error', CAST(0 AS BIGINT) UNION ALL " + " UNION ALL ".join(f"SELECT '{k}', 'warning', CAST({v} AS BIGINT)" for k, v in _CHECKS.items()) + ")"
 add("a19_quality_checks", lambda m: quality.quality_checks(m.bars), _REPORT)
 add("a28_quality_status", lambda m: quality.quality_status(quality.quality_checks(m.bars)), f"SELECT *, CASE WHEN error_count > 0 THEN 'error' WHEN warning_count > 0 THEN 'warning' ELSE 'ok' END AS overall_status FROM (SELECT count_if(status = 'error') AS error_count, count_if(status = 'warning') AS warning_count FROM ({_REPORT}))")
-_groups = {"enriched": (["volume_ratio_daily_basic", "total_mv", "circ_mv"], 0.3), "moneyflow": (["moneyflow_score", "main_net_amount", "main_net_amount_ratio"], 0.5), "industry": (["industry_strength_score", "industry_strength_level"], 0.5)}
-_RATES = " UNION ALL ".join(f"SELECT '{k}' AS check_name, r AS missing_rate, CASE WHEN r > {t} THEN 'warning' ELSE 'ok' END AS status FROM (SELECT avg(CAST({' OR '.join(f'{x} IS NULL' for x in cols)} AS DOUBLE)) AS r FROM d_enriched)" for k, (cols, t) in _groups.items())
+#: Columns, thresholds and what an absence of all columns means.
+_groups = {
+    "enriched_daily_factors_missing_rate": (["volume_ratio_daily_basic", "total_mv", "circ_mv"], 0.3, "info"),
+    "moneyflow_factors_missing_rate": (["moneyflow_score", "main_net_amount", "main_net_amount_ratio"], 0.5, "warning"),
+    "industry_strength_missing_rate": (["industry_strength_score", "industry_strength_level"], 0.5, "warning"),
+}
+_RATES = " UNION ALL ".join(
+    f"SELECT '{k}' AS check_name, CASE WHEN n = 0 THEN 'info' WHEN k > {most} * n THEN 'warning' ELSE 'ok' END AS status, CAST(k AS BIGINT) AS issue_count, k / nullif(n, 0) AS missing_rate FROM (SELECT count(*) AS n, count_if({' OR '.join(f'{x} IS NULL' for x in cols)}) AS k FROM d_enriched)"
+    for k, (cols, most, _) in _groups.items()
+)
 add("a20_missing_rate_checks", lambda m: quality.missing_rate_checks(m.enriched, _groups), _RATES, "missing_rate")
-add("c19_data_quality_job", lambda m: quality.quality_checks(m.bars).select("check_name", "status").unionByName(quality.missing_rate_checks(m.enriched, _groups).select("check_name", "status")), f"SELECT check_name, status FROM ({_REPORT}) UNION ALL SELECT check_name, status FROM ({_RATES})")
+_tables = {"moneyflow_table_status": "moneyflow", "stock_industry_map_status": "industry_map"}
+_STATES = " UNION ALL ".join(f"SELECT '{k}' AS check_name, CASE WHEN count(*) = 0 THEN 'warning' ELSE 'ok' END AS status, CAST(count(*) = 0 AS BIGINT) AS issue_count FROM {t}" for k, t in _tables.items())
+
+
+def _quality_job(m: Market) -> DataFrame:
+    parts = [quality.quality_checks(m.bars), quality.missing_rate_checks(m.enriched, _groups).drop("missing_rate"), *[quality.table_status(m.table(t), k) for k, t in _tables.items()]]
+    parts.append(quality.diagnostics_check(quality.factor_diagnostics(m.enriched, _diag), m.enriched))
+    return reduce(DataFrame.unionByName, parts)
+
+
+add(
+    "c19_data_quality_job",
+    _quality_job,
+    f"SELECT * FROM ({_REPORT}) UNION ALL SELECT check_name, status, issue_count FROM ({_RATES}) UNION ALL SELECT * FROM ({_STATES}) UNION ALL "
+    f"SELECT 'factor_diagnostics_high_missing', CASE WHEN k >= 3 THEN 'warning' ELSE 'ok' END, CAST(k AS BIGINT) FROM (SELECT count_if(status = 'high_missing') AS k FROM ({_DIAG}))",
+)
 add("c21_signal_backtest_job", lambda m: backtest.signal_performance(m.results, ("strategy_name",)), o.performance_sql("SELECT * FROM d_results", "strategy_name"), PERF_D)
 add("a17_outcome_distribution", lambda m: quality.outcome_distribution(m.plan_results.withColumn("exit_reason", F.coalesce("exit_reason", F.lit(""))), ["exit_reason", "invalid_reason"]), "SELECT coalesce(exit_reason, '') AS exit_reason, invalid_reason, count(*) AS n FROM d_plan_results GROUP BY ALL")
 add("a26_holding_distributions", lambda m: quality.holding_distributions(m.plan_results), "SELECT 'holding' AS kind, strategy_names, CAST(holding_days AS VARCHAR) AS value, count(*) AS n, CAST(NULL AS DOUBLE) AS avg_return FROM d_plan_results WHERE is_valid GROUP BY ALL UNION ALL SELECT 'exit', strategy_names, exit_reason, count(*), NULL FROM d_plan_results WHERE is_valid GROUP BY ALL UNION ALL SELECT 'max_days', NULL, CAST(max_holding_days AS VARCHAR), count_if(is_valid), avg(CASE WHEN is_valid THEN return_pct END) FROM d_plan_results GROUP BY max_holding_days", "avg_return")
@@ -420,4 +476,49 @@ add("s19_replace_scope", lambda m: store.replace_scope(_half(m, False), _half(m,
 add("s20_upsert_run_scoped", lambda m: store.upsert_run_scoped(_half(m, False), _half(m, True), ["k"]), _UP, "v")
 add("s21_delete_run", lambda m: store.delete_run(_half(m, False).withColumn("run_id", c("run_id").cast("string")), "7"), f"SELECT k, CAST(run_id AS VARCHAR) AS run_id, v FROM ({_OLD}) WHERE run_id <> 7", "v")
 add("s23_trading_dates", lambda m: store.trading_dates(m.table("calendar"), m.spark, "1995-01-01", "1996-12-31"), "SELECT cal_date AS trade_date FROM calendar WHERE cal_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'")
-add("s24_active_config", lambda m: m.named_evaluation.where("recommendation = 'enable_observation'").select("strategy_name", "strategy_version", "recommendation"), "SELECT strategy_name, strategy_version, recommendation FROM d_named_evaluation WHERE recommendation = 'enable_observation'")
+
+
+def _trades_csv(m: Market) -> DataFrame:
+    """Trades written as CSV text and read back."""
+    path = store.scratch(m.spark)
+    m.trades.drop("name").write.option("header", True).csv(path)
+    return store.read_trades_csv(m.spark, path).select("trade_date", "trade_time", "code", "side", "price", "volume", "amount")
+
+
+def _replaced(m: Market) -> DataFrame:
+    """A table written twice: the second write is all that is left."""
+    path = store.scratch(m.spark)
+    store.replace_all(m.table("calendar"), path)
+    store.replace_all(m.bars.select("trade_date", "code", "close"), path)
+    return store.read_table(m.spark, path)
+
+
+def _active_config(m: Market) -> DataFrame:
+    path = store.scratch(m.spark)
+    store.write_active_config(m.named_evaluation.select("strategy_name", "strategy_version", "recommendation"), path, value="reduce_or_pause")
+    return store.read_active_config(m.spark, path)
+
+
+def _steady(factors_: DataFrame) -> DataFrame:
+    """A rule of the caller's own."""
+    kept = factors_.where((c("pct_chg_5d") > 0.02) & c("above_ma20") & (F.abs("pct_chg_1d") < 0.01))
+    return kept.select("trade_date", "code", F.lit("steady").alias("strategy_name"), (c("pct_chg_5d") * 100).alias("signal_strength"))
+
+
+add("s02_read_trades_csv", _trades_csv, "SELECT trade_date, trade_time, code, side, price, volume, amount FROM actual_trades", "price volume amount")
+add("s22_replace_all", _replaced, "SELECT trade_date, code, close FROM bars", "close")
+add("s24_active_config", _active_config, "SELECT strategy_name, strategy_version, recommendation FROM d_named_evaluation WHERE recommendation = 'reduce_or_pause'")
+add(
+    "x01_own_rules",
+    lambda m: signals.run_strategies(m.enriched, ["trend_pullback", _steady], o.OVERRIDES).select("trade_date", "code", "strategy_name", "strategy_version", "signal_strength"),
+    "SELECT trade_date, code, strategy_name, strategy_version, signal_strength FROM d_signals WHERE strategy_name = 'trend_pullback' UNION ALL SELECT trade_date, code, 'steady', 'v1', pct_chg_5d * 100 FROM d_enriched WHERE pct_chg_5d > 0.02 AND above_ma20 AND abs(pct_chg_1d) < 0.01",
+    SIGNAL_D,
+)
+add("x02_enabled_rules", lambda m: signals.run_strategies(m.enriched, params=o.OVERRIDES, config={"support_rebound": {"enabled": False}, "low_vol_trend": {"enabled": True}}), "SELECT * FROM d_signals WHERE strategy_name IN ('trend_pullback', 'breakout_volume', 'low_vol_trend')", SIGNAL_D)
+_optional = ["trade_date", "code", "close", "turnover_rate", "is_suspended", "moneyflow_score", "industry_code"]
+add(
+    "x04_optional_tables",
+    lambda m: factors.enrich_factors(m.factors, None, m.table("stock_limits"), None, m.flow, None, None).select(*_optional, "up_limit"),
+    "SELECT trade_date, code, close, CAST(NULL AS DOUBLE) AS turnover_rate, false AS is_suspended, moneyflow_score, CAST(NULL AS VARCHAR) AS industry_code, up_limit FROM d_enriched",
+    "close moneyflow_score up_limit",
+)

@@ -43,7 +43,8 @@ FROM (SELECT trade_date, avg(close) AS close FROM {bars} GROUP BY trade_date) d"
 FROM {bars} b JOIN {stock_limits} l ON b.trade_date = l.trade_date AND b.code = l.code
 WHERE b.close >= l.up_limit OR b.close <= l.down_limit""",
     "suspend_daily": "SELECT trade_date, code, 'S' AS suspend_type FROM {bars} WHERE volume < 20",
-    "daily_basic": """SELECT trade_date, code, volume / 100 AS turnover_rate, volume / 120 AS turnover_rate_f, CAST(NULL AS DOUBLE) AS volume_ratio,
+    "daily_basic": """SELECT trade_date, code, volume / 100 AS turnover_rate, volume / 120 AS turnover_rate_f,
+  CASE WHEN volume < 60 THEN NULL ELSE volume / avg(volume) OVER (PARTITION BY code ORDER BY trade_date ROWS 5 PRECEDING) END AS volume_ratio,
   close / 10 AS pe_ttm, close / 100 AS pb, amount * 10 AS total_mv, amount * 8 AS circ_mv FROM {bars}""",
     "actual_trades": """SELECT ship_date AS trade_date, '10:00:00' AS trade_time, code, '' AS name,
   CASE WHEN rf = 'N' THEN 'sell' ELSE 'buy' END AS side, avg(price) AS price, sum(qty) AS volume, sum(price * qty) AS amount

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from functools import reduce
 
@@ -71,10 +72,23 @@ def trading_dates(calendar: DataFrame | None, spark: SparkSession, start: str, e
 
 
 def write_active_config(rows: DataFrame, path: str, column: str = "recommendation", value: str = "enable_observation") -> DataFrame:
+    """Write the rows whose *column* has *value* as JSON lines, and return them."""
     out = rows.where(c(column) == value)
-    out.coalesce(1).write.mode("overwrite").json(path)
+    out.write.mode("overwrite").json(path)
     return out
 
 
+def read_active_config(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("strategy_name string, strategy_version string, recommendation string").json(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in the folder all machines share; a temporary one only where Spark runs on this machine alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{(root or tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/tapeloom-{uuid.uuid4().hex}"
+
+
 def order_output(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*keys)

@@ -5,8 +5,8 @@ seeded by feature and block, whose points have a time, a signature slot and a he
 counts if its height is below w, so two bags share the earliest point of a slot with a probability equal to
 their weighted Jaccard similarity.  Points later than the last slot to be filled are never made.
 
-Flow: equal texts collapse to one node.  Nodes that share a band meet in a bucket; the bucket's head is its member of
-least keyed hash, and buckets of one head form one group, so a pair that shares several bands meets once or twice.  A
+Flow: equal texts collapse to one node.  Nodes that share a band meet in a bucket; the bucket's head is the least keyed
+hash of its members, and buckets of one head form one group, so a pair that shares several bands meets once or twice.  A
 group of up to BLOCK nodes is compared whole.  A larger one is first compared with a few heads; what those links join
 needs no more comparing among itself, and all other pairs meet in cells of two blocks.  Inside a cell all overlaps
 are exact, from one matrix product over shared shingles, and only links that keep the components are returned.  No
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, stored, table
+from .common import ship, spread_join, stored, table, trim
 from .components import components
 from .shingles import many_shingles, mix, overlap, shingles
 
@@ -93,12 +93,12 @@ def band_keys(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _chunks(lengths: list[int], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about *most* bytes."""
+def _chunks(lengths: list[int], most: int = 1 << 19, bags: int = 400) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about *most* bytes and at most *bags* texts, since each bag costs some 1,500 points whatever its size."""
     a = size = 0
     for i, n in enumerate(lengths):
         size += n
-        if size >= most or i - a > 60_000:
+        if size >= most or i + 1 - a >= bags:
             yield a, i + 1
             a, size = i + 1, 0
     if a < len(lengths):
@@ -118,6 +118,7 @@ def _sign(words: int, bands: int, rows: int):
             offsets = np.concatenate(([0], np.cumsum(np.where(total > 0, bands, 0)))).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[total > 0].reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total), column], ["doc_id", "node", "n", "bands"])
+        trim()
 
     return run
 
@@ -139,6 +140,7 @@ def _bags(words: int):
         for frame in frames:
             both = [shingles(bytes(t), words) for t in frame["data"]]
             yield pd.DataFrame({"node": frame["node"], "bag": [packed(f) for f, _ in both], "times": [n.astype(np.uint32).tobytes() for _, n in both]})
+        trim()
 
     return run
 
@@ -211,6 +213,8 @@ def _cells(similar: float):
             yield pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
         if len(held) > 1:
             yield links()
+        held.clear()
+        trim()
 
     return run
 
@@ -221,6 +225,7 @@ def _verify(similar: float):
             bags = [[unpacked(x) if "bag" in c else np.frombuffer(x, np.uint32) for x in frame[c]] for c in ("bag_a", "times_a", "bag_b", "times_b")]
             sims = np.array([overlap(a, na.astype(np.int64), b, nb.astype(np.int64)) for a, na, b, nb in zip(*bags)])
             yield frame.loc[sims >= similar - 1e-12, ["a", "b"]] if len(frame) else pd.DataFrame({"a": [], "b": []})
+        trim()
 
     return run
 
@@ -229,13 +234,18 @@ def _drawn(turn: int) -> Column:
     return F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("node")))
 
 
-def _star_links(groups: DataFrame, bags: DataFrame, heads: int, similar: float) -> DataFrame:
-    """Links between the members of large groups and a few members drawn from each."""
+def _star_links(groups: DataFrame, bags: DataFrame, heads: int, similar: float, salts: int = 64) -> DataFrame:
+    """Links between the members of large groups and a few members drawn from each.
+
+    The drawn members' bags are dealt out *salts* times, so that a group's pairs lie in as many parts; that is fewer rows than
+    the group has members."""
     drawn = groups.groupBy("head").agg(*[_drawn(i).alias(f"h{i}") for i in range(heads)])
     drawn = drawn.select("head", F.explode(F.array_distinct(F.array(*[f"h{i}.node" for i in range(heads)]))).alias("b"))
-    pairs = groups.select("head", F.col("node").alias("a")).join(drawn, "head").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = groups.select("head", F.col("node").alias("a")).join(drawn, "head").where("a != b").select("a", "b").distinct()
     side = lambda s: bags.select(F.col("node").alias(s), F.col("bag").alias(f"bag_{s}"), F.col("times").alias(f"times_{s}"))
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify(similar), "a binary, b binary"))
+    dealt = side("b").join(drawn.select("b").distinct(), "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+    return stored(salted.join(side("a"), "a").join(dealt, ["b", "salt"]).drop("salt").mapInPandas(_verify(similar), "a binary, b binary"))
 
 
 def _in_cells(groups: DataFrame, labels: DataFrame | None, block: int) -> DataFrame:
@@ -263,12 +273,6 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _among(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows whose node and doc_id, null or not, are in *chosen*."""
-    chosen = chosen.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"))
-    return rows.join(chosen, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-
-
 def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), n_shingles, kept (doc_id == class_id).
 
@@ -278,9 +282,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILA
     Fewer words than *words*: one shingle.  Rows repeated in doc_id and text count as one document.  Empty table: empty
     result.  Other columns are ignored.
     """
-    rows_ = labelled(docs, words, similar, bands, rows, block)
+    rows_ = stored(labelled(docs, words, similar, bands, rows, block))
     least = rows_.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows_.join(least, "label").select("doc_id", "class_id", "class_size", F.col("n").alias("n_shingles"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return spread_join(rows_, least, "label").select("doc_id", "class_id", "class_size", F.col("n").alias("n_shingles"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def digest(text: Column) -> Column:
@@ -295,17 +299,12 @@ def labelled(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, band
     text = F.coalesce(F.col("text"), F.lit(""))
     data = docs.select("doc_id", digest(text).alias("node"), text.cast("binary").alias("data"))
     signed = stored(data.mapInArrow(_sign(words, bands, rows), "doc_id bigint, node binary, n bigint, bands array<bigint>"))
-    first = _small(stored(signed.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"))))
-
-    met = _among(signed, first).select("node", F.explode("bands").alias("key"))
-    shared = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
-    shared = _small(shared)
-    members = stored(met.join(shared, "key"))
-    heads = members.groupBy("key").agg(_drawn(-1).alias("d")).select("key", F.col("d.node").alias("head"))
-    groups = stored(members.join(heads, "key").select("head", "node").distinct())
-    wanted = stored(first.join(groups.select("node").distinct(), "node").select("doc_id", "node"))
-    wanted = _small(wanted)
-    own = _among(data, wanted).dropDuplicates(["doc_id", "node"])
+    met = signed.where(F.col("n") > 0).select("node", F.explode("bands").alias("key"))
+    own = F.xxhash64(F.lit(-1), "node")
+    shared = met.groupBy("key").agg(F.min(own).alias("head"), F.max(own).alias("last")).where("head < last")  # equal texts alone share nothing
+    groups = stored(met.join(_small(stored(shared.select("key", "head"))), "key").select("head", "node").distinct())
+    wanted = _small(stored(groups.select("node").distinct()))
+    own = data.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("data").alias("data"))  # equal nodes, equal texts
     bags = stored(own.mapInPandas(_bags(words), "node binary, bag binary, times binary"))
 
     sizes = stored(groups.groupBy("head").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block))
@@ -320,7 +319,7 @@ def labelled(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, band
     alone = F.unhex(F.md5(F.concat(F.lit("alone "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.hex("digest"))))
     rows_ = signed.groupBy("doc_id", F.col("node").alias("digest"), "n").agg(F.count(F.lit(1)).alias("times"))
     rows_ = rows_.withColumn("node", F.when(F.col("n") > 0, F.col("digest")).otherwise(alone))
-    return rows_.join(labels, "node", "left").select("doc_id", "digest", "n", "times", F.coalesce("label", "node").alias("label"))
+    return spread_join(stored(rows_), labels, "node", "left").select("doc_id", "digest", "n", "times", F.coalesce("label", "node").alias("label"))
 
 
 def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

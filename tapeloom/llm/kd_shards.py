@@ -112,7 +112,9 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     law, shard, slot and grown_shard.  Each cut is the weighted median (for an odd number of shards, the
     matching quantile) found exactly by histogram refinement, so a shard is off by about one document.
     Null text: no bytes, size 8.  Null metadata: lowest coordinate.  Ties: cut inside by keyed hash; rows equal
-    in doc_id and text stay together.  Empty table: empty result.  Other columns are ignored.
+    in doc_id and text stay together, but equal texts under different ids may lie in different shards, since
+    position is one of the dimensions and any law by bytes has to cut through large groups.  Empty table: empty result.  Other columns
+    are ignored.
     """
     source = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit(""))), 40)
     lang = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("lang").cast("string"), F.lit(""))), 40)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, stored, table
 
-BINS, QUERY_BLOCK, ROW_BLOCK = 4096, 1024, 4096
+BINS, QUERY_BLOCK, ROW_BLOCK, LANE = 4096, 1024, 4096, 64
 
 
 def _pack(size: int):
@@ -132,7 +132,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """vectors, queries: vec_id, v (array of long).  Returns query_id, rank, vec_id, score: the k highest inner
     products of each query with all rows of other ids, ties to the smaller id.
 
-    Rows whose vector is null take no part; vectors meet those of their own length only; a query id given twice
+    Rows whose vector or vec_id is null take no part; vectors meet those of their own length only; a query id given twice
     keeps its least vector; repeated candidate rows count each.  Fewer than k candidates: all of them.
     Empty tables: empty result.
     """
@@ -140,19 +140,25 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     ship(spark)
     block = "block bigint, dim bigint, ids binary, rows binary, largest bigint"
     flat = lambda d: d.select(F.col("vec_id").alias("id"), F.size("v").cast("bigint").alias("dim"), "v")
-    rows = stored(flat(vectors.where("v is not null")).mapInPandas(_pack(ROW_BLOCK), block))
-    asked = queries.where("v is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
+    whole = "v is not null and vec_id is not null"
+    rows = stored(flat(vectors.where(whole)).mapInPandas(_pack(ROW_BLOCK), block))
+    asked = queries.where(whole).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = flat(asked).mapInPandas(_pack(QUERY_BLOCK), block)
     asked = stored(asked.select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("largest").alias("q_largest")))
-    groups = max(1, min(rows.count(), 4 * spark.sparkContext.defaultParallelism))
+    # A cell is a lane of row blocks and a lane of query blocks, LANE blocks or so each, however many rows there are.
+    blocks = rows.count()
+    groups = max(1, min(blocks, max(4 * spark.sparkContext.defaultParallelism, blocks // LANE)))
+    turns = max(1, asked.count() // LANE)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    asked = asked.withColumn("h", F.pmod("q_block", F.lit(turns)))
     rows = rows.withColumn("g", F.pmod("block", F.lit(groups)))
     top = rows.groupBy("dim").agg(F.max("largest").alias("all_largest"))
     state = asked.join(top, "dim").mapInPandas(_start, "q_block bigint, need bigint, low binary, width binary")
     state = stored(state.select("q_block", "low", "width", F.expr("cast(repeat(decode(X'00', 'UTF-8'), cast(8 * need as int)) as binary)").alias("above")))
 
     def cells(state: DataFrame) -> DataFrame:
-        lanes = asked.join(state, "q_block").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
-        return rows.join(lanes, ["dim", "g"])
+        lanes = asked.join(state, "q_block").withColumn("g", every(groups))
+        return rows.withColumn("h", every(turns)).join(lanes, ["dim", "g", "h"])
 
     while True:
         hist = cells(state).mapInPandas(_histograms(k), "q_block bigint, at bigint, bin bigint, n bigint")

@@ -168,9 +168,14 @@ def identify(records: DataFrame, model: np.ndarray, languages: tuple[str, ...] =
     return all_.withColumn("keep", (F.col("language") != UNKNOWN) & (F.col("posterior") >= least))
 
 
+def content(*names: str) -> Column:
+    """Hash of columns in which a null differs from every value."""
+    return F.xxhash64(*[x for n in names for x in (F.col(n).isNull(), F.col(n))])
+
+
 def document_records(docs: DataFrame) -> DataFrame:
     """Documents declare lang, and their source stands for the host."""
-    key = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("content"))
+    key = F.struct(F.col("doc_id").alias("doc_id"), content("text", "lang", "source").alias("content"))
     return docs.select(key.alias("key"), "text", F.col("lang").alias("declared"), F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"))
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, stored, table, text_bytes
+from .common import ship, stored, table, text_bytes, trim
 
 PACKET, BODY, SAMPLES = 188, 184, 192
 PMT_PID, DATA_PID, PRIVATE_DATA, LENGTH_TAG = 0x1000, 0x100, 0x06, 0xA0
@@ -255,6 +255,7 @@ def read_stream(media: bytes) -> list[dict]:
 def _write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         yield pd.DataFrame({"doc_id": frame["doc_id"], "media": [write_stream(pad(bytes(t)), len(t)) for t in frame["data"]]})
+    trim()
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,12 +282,24 @@ def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc, m in zip(frame["doc_id"], frame["media"]):
             s, = read_stream(bytes(m))
-            p, u = s["payload"], s["units"]
-            feature = f"program={s['program']};pid={s['pid']};type={s['stream_type']};packets={s['packets']};continuity_errors={s['continuity_errors']};units={len(u)};random_access={sum(x['random_access'] for x in u)};pts={u[0]['pts']}-{u[-1]['pts']}"
-            rows.append((doc, s["declared_bytes"], len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            p = s["payload"]
+            rows.append((doc, s["declared_bytes"], len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), s["program"], s["pid"], s["stream_type"], s["packets"], s["continuity_errors"], s["units"]))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in DIGEST.split(", ")])
+    trim()
+
+
+DIGEST = f"doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, program int, pid int, stream_type int, packets bigint, continuity_errors bigint, units {UNITS}"
 
 
 def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as stored streams, read back; the units with their timestamps and random-access points are stored as a table,
+    from which the feature and the columns first_pts, last_pts and random_access come.  Nulls, empty and long texts, repeated rows and
+    an empty table as in media_table()."""
     media = stored(media_table(table(spark, sf_dir, "documents")))
-    return media.mapInPandas(_digest, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    found = stored(media.mapInPandas(_digest, DIGEST))
+    first, last = F.get("units", F.lit(0))["pts"], F.get("units", F.size("units") - 1)["pts"]
+    random = F.size(F.filter("units", lambda u: u["random_access"]))
+    said = {"program": "program", "pid": "pid", "type": "stream_type", "packets": "packets", "continuity_errors": "continuity_errors", "units": F.size("units"), "random_access": random}
+    text = F.concat_ws(";", *[F.concat(F.lit(f"{k}="), (F.col(v) if isinstance(v, str) else v).cast("string")) for k, v in said.items()], F.concat(F.lit("pts="), first.cast("string"), F.lit("-"), last.cast("string")))
+    digest = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    return found.select(*digest, text.alias("feature"), random.cast("bigint").alias("random_access"), first.alias("first_pts"), last.alias("last_pts"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bagminhash, idcoder, kd_shards, langid, mixing, pieces, secrets, shingles, tokenids, topk, toxicity, transport
+from tapeloom.llm import bagminhash, common, idcoder, kd_shards, langid, mixing, pieces, secrets, shingles, tokenids, topk, toxicity, transport
 from tapeloom.llm.components import components
 
 DIR = "/root/testdata/sf0.001"
@@ -77,7 +77,9 @@ def test_transport_query_brute_force(spark, docs):
         g = got[r.doc_id]
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
         assert (g.tail_crc32, g.media_bytes, g.media_sha256) == (zlib.crc32(padded[-16:]), len(media), hashlib.sha256(media).hexdigest())
-        assert len(media) % 188 == 0 and f"units={-(-len(padded) // transport.UNIT)};" in g.feature and "continuity_errors=0" in g.feature
+        units = -(-len(padded) // transport.UNIT)
+        assert len(media) % 188 == 0 and f"units={units};" in g.feature and "continuity_errors=0" in g.feature
+        assert (g.random_access, g.first_pts, g.last_pts) == (-(-units // 8), 126_000, 126_000 + 3600 * (units - 1))
 
 
 # op2
@@ -98,10 +100,35 @@ def test_secrets(spark, odd, none):
     assert secrets.scan_versions(none.select("path", F.col("text").alias("content")))[0].count() == 0
 
 
+def test_stored_ledger_scans_unseen_pairs_only(spark, docs):
+    path = common.shared_dir(spark)
+    versions = docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    _, half = secrets.update_ledger(versions.where("path % 2 = 0"), path)
+    findings, rest = secrets.update_ledger(versions, path)
+    seen = {bytes(r.blob) for r in half.collect()}
+    texts = {r.content or "" for r in versions.collect()}
+    assert len(seen) == len({r.content or "" for r in versions.where("path % 2 = 0").collect()}) and not seen & {bytes(r.blob) for r in rest.collect()}
+    assert half.count() + rest.count() == 3 * len(texts) == spark.read.parquet(path).count()
+    again, none_left = secrets.update_ledger(versions, path)
+    assert none_left.count() == 0 and sorted(map(str, again.collect())) == sorted(map(str, findings.collect()))
+    for few in (0, 10**6):  # by shuffle, and by broadcast
+        old, secrets.FEW = secrets.FEW, few
+        assert secrets.scan_versions(versions)[1].count() == 3 * len(texts)
+        secrets.FEW = old
+
+
+#: The contract's rules, written apart from the operator's.
+BY_HAND = {"assign": (re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 1, 6), "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20), "hex": (re.compile(r"[0-9a-f]+"), 0, 24)}
+
+
+def spans_by_hand(text):
+    return {k: [m.span() for m in p.finditer(text) if len(m.group(g)) >= least] for k, (p, g, least) in BY_HAND.items()}
+
+
 def test_secrets_query_brute_force(spark, docs):
     got = {r.doc_id: r for r in secrets.op2_blob_ledger(spark, DIR).collect()}
     for r in docs.collect():
-        spans = sorted((a, i, f"{k}:{a}:{b}") for i, k in enumerate(secrets.RULES) for a, b in secrets.find_spans(k, r.text or ""))
+        spans = sorted((a, i, f"{k}:{a}:{b}") for i, (k, own) in enumerate(spans_by_hand(r.text or "").items()) for a, b in own)
         assert got[r.doc_id].spans == ",".join(s for *_, s in spans)
         assert got[r.doc_id].base_sha256 == hashlib.sha256(got[r.doc_id].spans.encode()).hexdigest()
 
@@ -414,6 +441,16 @@ def test_language_id(spark, docs, odd, none):
     assert lied.join(docs.select("doc_id", "lang"), F.col("key.doc_id") == F.col("doc_id")).where("language = lang").count() > 0.9 * docs.count()
 
 
+def test_language_id_on_held_out_rows(spark):
+    """Trained on other rows, without a declared language or a source: the text alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    own = docs.where(out)
+    bare = own.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
+    got = langid.identify(langid.document_records(bare), langid.train(docs.where(~out))).join(own, F.col("key.doc_id") == own["doc_id"])
+    assert got.where("language = lang").count() > 0.98 * own.count()
+
+
 def test_language_id_rejects_junk(spark, docs):
     model = langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     rng = np.random.default_rng(5)
@@ -490,19 +527,13 @@ def test_pipeline_brute_force(spark):
     left = {r.doc_id: r for r in docs.collect() if found[r.doc_id]}
     classes = brute_classes({k: r.text for k, r in left.items()})
     left = {k: left[k] for k in set(classes.values())}
-    patterns = [(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A, 1, 6), (r"AKIA[A-Z0-9]+", 0, 0, 20), (r"[0-9a-f]+", 0, 0, 24)]
     texts = {}
     for k, r in left.items():
         hidden = np.zeros(len(r.text), bool)
         starts = set()
-        for pattern, flags, group, least in patterns:
-            for m in re.finditer(pattern, r.text, flags):
-                if len(m.group(group)) >= least:
-                    if not hidden[m.start() : m.end()].any():
-                        starts.add(m.start())
-                    else:
-                        starts = {s for s in starts if not m.start() <= s < m.end()} | ({m.start()} if not hidden[m.start()] else set())
-                    hidden[m.start() : m.end()] = True
+        for a, b in (x for own in spans_by_hand(r.text).values() for x in own):
+            starts = {s for s in starts if not a <= s < b} | ({a} if not hidden[a] else set())
+            hidden[a:b] = True
         texts[k] = "".join(corpus_pipeline.MARK if i in starts else "" if hidden[i] else c for i, c in enumerate(r.text))
     masked = spark.createDataFrame([(k, texts[k], r.lang, r.source, len(texts[k])) for k, r in left.items()], docs.schema)
     copies = {r.doc_id: r.copies for r in mixing.entropy_mix(masked).collect()}

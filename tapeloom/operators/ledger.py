@@ -77,25 +77,36 @@ def position_status(pnl: Column) -> Column:
     return F.when(pnl.isNull(), "unknown").when(pnl <= -0.05, "loss_warning").when(pnl >= 0.05, "profit_watch").otherwise("normal")
 
 
+def _folded(own: DataFrame) -> DataFrame:
+    """Holding and its cost per code after all trades, by windows that stream over a code's trades in order.
+
+    The holding is the running sum of signed volumes, lifted by its lowest point below zero, since a sale beyond the holding resets it to
+    nothing.  After the last reset a sale keeps the share holding / holding before of the cost, so a buy counts with the product of
+    the shares that follow it."""
+    order = ["trade_date", "trade_time", "side", "v", "a"]
+    item = own.select("code", "trade_date", "trade_time", "side", zero("volume").alias("v"), F.coalesce("amount", zero("price") * zero("volume")).alias("a"))
+    item = item.where((c("side") == "buy") | ((c("side") == "sell") & (c("v") > 0)))
+    so_far = Window.partitionBy("code").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = item.withColumn("sum", F.sum(F.when(c("side") == "buy", c("v")).otherwise(-c("v"))).over(so_far)).withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy(*order)))
+    df = df.withColumn("h", c("sum") - F.least(F.lit(0.0), F.min("sum").over(so_far)))
+    emptied = (c("side") == "sell") & (c("h") <= 1e-9)
+    df = df.withColumn("reset", F.coalesce(F.max(F.when(emptied, c("n"))).over(Window.partitionBy("code")), F.lit(0)))
+    kept = df.where("n > reset").withColumn("before", F.lag("h", 1, 0.0).over(Window.partitionBy("code").orderBy("n")))
+    share = F.when((c("side") == "sell") & (c("before") > 0), F.ln(c("h") / c("before"))).otherwise(0.0)
+    later = Window.partitionBy("code").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
+    left = F.exp(F.coalesce(F.sum(share).over(later), F.lit(0.0)))
+    return kept.withColumn("left", left).groupBy("code").agg(F.max_by("h", "n").alias("h"), F.sum(F.when(c("side") == "buy", c("a") * c("left")).otherwise(0.0)).alias("cost"))
+
+
 def positions(trades: DataFrame, bars: DataFrame, as_of: str) -> DataFrame:
     """Average-cost positions per code: an ordered fold over the code's trades, with the price as of the date.
 
     A sale beyond the holding resets it to nothing; buys of the day itself are frozen."""
-    item = F.struct("trade_date", "trade_time", "side", zero("volume").alias("v"), F.coalesce("amount", zero("price") * zero("volume")).alias("a"))
     own = trades.where(c("trade_date") <= as_of)
     frozen = F.sum(F.when((c("side") == "buy") & (c("trade_date") == as_of), zero("volume")).otherwise(0.0))
-    df = own.groupBy("code").agg(F.array_sort(F.collect_list(item)).alias("t"), frozen.alias("_frozen"), F.coalesce(F.min(F.when(c("side") == "buy", c("trade_date"))), F.max("trade_date")).alias("first_buy_date"), F.max("trade_date").alias("latest_trade_date"))
-    zero_ = F.struct(F.lit(0.0).alias("h"), F.lit(0.0).alias("cost"))
-
-    def step(s: Column, t: Column) -> Column:
-        left = s["h"] - t["v"]
-        avg = F.when(s["h"] > 0, s["cost"] / s["h"]).otherwise(0.0)
-        bought = F.struct((s["h"] + t["v"]).alias("h"), (s["cost"] + t["a"]).alias("cost"))
-        sold = F.struct(F.greatest(left, F.lit(0.0)).alias("h"), F.when(left > 0, s["cost"] - avg * F.least(t["v"], s["h"])).otherwise(0.0).alias("cost"))
-        return F.when(t["side"] == "buy", bought).when((t["side"] == "sell") & (t["v"] > 0), sold).otherwise(s)
-
-    df = df.withColumn("s", F.aggregate("t", zero_, step)).join(latest_price_asof(bars, as_of), "code", "left")
-    df = df.select(F.lit(as_of).cast("date").alias("as_of_date"), "code", c("s.h").alias("holding_volume"), F.least("_frozen", "s.h").alias("frozen_volume"), c("s.cost").alias("cost_amount"), "latest_price", "first_buy_date", "latest_trade_date")
+    df = own.groupBy("code").agg(frozen.alias("_frozen"), F.coalesce(F.min(F.when(c("side") == "buy", c("trade_date"))), F.max("trade_date")).alias("first_buy_date"), F.max("trade_date").alias("latest_trade_date"))
+    df = df.join(_folded(own), "code", "left").withColumns({"h": zero("h"), "cost": zero("cost")}).join(latest_price_asof(bars, as_of), "code", "left")
+    df = df.select(F.lit(as_of).cast("date").alias("as_of_date"), "code", c("h").alias("holding_volume"), F.least("_frozen", "h").alias("frozen_volume"), c("cost").alias("cost_amount"), "latest_price", "first_buy_date", "latest_trade_date")
     df = df.withColumns({"available_volume": c("holding_volume") - c("frozen_volume"), "cost_price": F.when(c("holding_volume") > 0, c("cost_amount") / c("holding_volume")), "market_value": c("holding_volume") * c("latest_price")})
     df = df.withColumns({"floating_pnl": c("market_value") - c("cost_amount"), "floating_pnl_pct": F.try_divide("latest_price", "cost_price") - 1})
     return df.withColumns({"t_plus_1_status": F.when(c("available_volume") <= 0, "not_sellable_today").otherwise("sellable"), "position_status": position_status(c("floating_pnl_pct"))})

@@ -46,16 +46,16 @@ def word_hashes(data: bytes, first: int | None = None) -> np.ndarray:
 def placed_words(data: bytes, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers and where each word starts."""
     b = np.frombuffer(data, np.uint8)
-    none = np.empty(0, np.uint64), np.empty(0, np.int64)
-    if not len(b):
-        return none
     word = (b != 32) & ((b < 9) | (b > 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     if first is not None:
         end = np.minimum(end, start + first)
-    if not len(start):
-        return none
+    return run_hashes(b, start, end), start
+
+
+def run_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each run of bytes; runs ascend and lie apart."""
     up, down = _tables()
     out, i = np.empty(len(start), np.uint64), 0
     while i < len(start):
@@ -69,7 +69,7 @@ def placed_words(data: bytes, first: int | None = None) -> tuple[np.ndarray, np.
         s, e = start[i:j] - at, end[i:j] - at
         out[i:j] = (sums[e] - sums[s]) * down[s]
         i = j
-    return mix(out + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
+    return mix(out + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingles(data: bytes, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

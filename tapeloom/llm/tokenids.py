@@ -7,7 +7,6 @@ of doc_id; a segment holds whole documents, about SEGMENT ids, and decodes alone
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,17 +16,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored, table
+from .common import ship, stored, table, trim
 from .idcoder import BLOCK, LANES, read_segment, write_segment
+from .shingles import run_hashes
 
-END, SEGMENT, HELD = 1, BLOCK * LANES, 200_000
-#: Parts that keep their letters under the tokenizer's normalisation, without the apostrophes and marks that it treats in ways of their own.
-_PLAIN = re.compile("(?:[a-zß-öø-ɏ0-9]|[!-/:-@[-`{-~](?<![<']))+")
-_WORDS = re.compile("[a-zß-öø-ɏ]+|[0-9]|[!-/:-@[-`{-~]+")
+END, SEGMENT, HELD, CHUNK = 1, BLOCK * LANES, 200_000, 1 << 21
+SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
 #: Bytes that are no printable Latin-1 characters go by the characters from 256 on.
 _NAMED = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
+def _kinds() -> np.ndarray:
+    """What a byte of a lower-case text is to the tokenizer.  Apostrophes and "<" begin what it treats in ways of their own; the
+    lead bytes C3 to C9 begin the Latin letters that its normalisation keeps."""
+    kind = np.full(256, ODD, np.uint8)
+    kind[[9, 10, 11, 12, 13, 32]] = SPACE
+    kind[ord("a") : ord("z") + 1] = kind[0x80:0xC0] = kind[0xC3:0xCA] = LETTER
+    kind[ord("0") : ord("9") + 1] = DIGIT
+    kind[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "<'"]] = SIGN
+    return kind
+
+
+_KIND = _kinds()
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -40,13 +52,6 @@ class Memory(dict):
     def __init__(self, held: int) -> None:
         self.held, self.old = held, {}
 
-    def __missing__(self, key: bytes) -> bytes:
-        self[key] = value = self.old[key]
-        return value
-
-    def lacks(self, keys: set[bytes]) -> list[bytes]:
-        return [k for k in keys if k not in self and k not in self.old]
-
     def turn(self) -> None:
         if len(self) > self.held:
             self.old = dict(self)
@@ -54,45 +59,94 @@ class Memory(dict):
 
 
 class WordIds:
-    """Ids by white-space-free part: the tokenizer drops white space and never looks across it, and does not tell upper
-    case from lower.  A part of Latin letters, digits and ASCII signs falls into the words of the tokenizer's pattern, which
-    its model takes one by one; any other part goes through the whole tokenizer.  Parts and words are remembered."""
+    """Ids by word: the tokenizer drops white space, never looks across it and does not tell upper case from lower.  What
+    stands between spaces, if of Latin letters, digits and ASCII signs, falls into the words of the tokenizer's pattern, which
+    its model takes one by one; anything else goes through the whole tokenizer.  Equal words of a batch are looked up once,
+    and words found lately are remembered."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.parts, self.words = Tokenizer.from_file(path), Memory(HELD), Memory(HELD)
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text, END appended."""
-        raw = [t.encode() for t in texts]
-        parts = [(r if b"<|" in r else r.lower()).split() for r in raw]  # marks of special tokens are as written
-        self.parts.turn()
+        self.tokenizer, self.words = Tokenizer.from_file(path), Memory(HELD)
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """16-bit ids of all texts, END after each, and how many each has."""
+        plain = ["<|" not in t and "Σ" not in t for t in texts]  # marks of special tokens are as written
+        raw = [(t.lower() if p else t).encode() for t, p in zip(texts, plain)]
+        data = b"\n".join([*raw, b""])
+        stop = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+        b = np.frombuffer(data, np.uint8)
+        kind = self._kinds(b, [(int(stop[i]) - len(raw[i]) - 1, int(stop[i])) for i, p in enumerate(plain) if not p])
+        new = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        start = np.flatnonzero(np.concatenate(([True], new)) & (kind != SPACE))
+        end = np.flatnonzero(new & (kind[:-1] != SPACE)) + 1  # the last byte is a space
+        code, first = self._same(b, start, end)
+        odd = kind[start[first]] == ODD
+        found = self._look([data[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())], odd.tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        flat, begin = np.frombuffer(b"".join(found), "<u2"), np.cumsum(sizes) - sizes
+        n = sizes.take(code)
+        doc = np.searchsorted(stop, start, side="right")
+        counts = np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64) + 1
+        out = np.empty(int(counts.sum()), np.uint16)
+        run, place = np.cumsum(n) - n, np.arange(int(n.sum()))
+        out[np.repeat(doc, n) + place] = flat.take(np.repeat(begin.take(code) - run, n) + place)
+        out[np.cumsum(counts) - 1] = END
+        return out, counts
+
+    @staticmethod
+    def _kinds(b: np.ndarray, as_written: list[tuple[int, int]]) -> np.ndarray:
+        """Kind of each byte; all of what stands between spaces is odd where a byte of it is."""
+        kind = _KIND.take(b)
+        for s, e in as_written:
+            kind[s:e][b[s:e] >= 0x80] = ODD
+        lead = np.flatnonzero((b == 0xC3) | (b == 0xC9))
+        after = b.take(lead + 1)
+        kind[lead[np.where(b.take(lead) == 0xC3, (after < 0x9F) | (after == 0xB7), after > 0x8F)]] = ODD
+        if len(odd := np.flatnonzero(kind == ODD)):
+            part = np.cumsum(kind == SPACE)
+            bad = np.zeros(int(part[-1]) + 1, bool)
+            bad[part[odd]] = True
+            kind[bad.take(part) & (kind != SPACE)] = ODD
+        return kind
+
+    @staticmethod
+    def _same(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A code for each run of bytes, equal for equal runs, and the first run of each code."""
+        code, kinds = pd.factorize(run_hashes(b, start, end))
+        first = np.empty(len(kinds), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        n = end - start
+        model = first.take(code)
+        wrong = n != n.take(model)
+        size = np.where(wrong, 0, n)
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        differs = b.take(place + np.repeat(start, size)) != b.take(place + np.repeat(start.take(model), size))
+        if wrong.any() or differs.any():  # two words of one hash: tell all words apart by their bytes
+            data = b.tobytes()
+            code, _ = pd.factorize(np.array([data[s:e] for s, e in zip(start.tolist(), end.tolist())], object))
+            first = np.empty(int(code.max(initial=-1)) + 1, np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+        return code, first
+
+    def _look(self, words: list[bytes], odd: list[bool]) -> list[bytes]:
+        """Ids of distinct words, little-endian."""
         self.words.turn()
-        self._learn(self.parts.lacks({p for own in parts for p in own}))
-        end, get = END.to_bytes(2, "little"), self.parts.__getitem__
-        return [b"".join(map(get, own)) + end for own in parts]
-
-    def _learn(self, new: list[bytes]) -> None:
-        parts, word, odd = self.parts, self._word, []
         known, old = self.words, self.words.old
-        for p in new:
-            t = p.decode().lower()
-            if _PLAIN.fullmatch(t) is None:
-                odd.append(p)
-                continue
-            parts[p] = b"".join([known.get(w) or old.get(w) or word(w) for w in _WORDS.findall(t)])
-        for a in range(0, len(odd), 4096):
-            some = odd[a : a + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                parts[p] = struct.pack(f"<{len(e.ids)}H", *e.ids)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one word of the pattern, its bytes named as the model's alphabet names them."""
-        named = word if word.isascii() else word.encode().decode("latin-1").translate(_NAMED)
-        ids = [t.id for t in self.tokenizer.model.tokenize(named)]
-        found = self.words[word] = struct.pack(f"<{len(ids)}H", *ids)
+        found = [known.get(w) or old.get(w) for w in words]
+        whole = [i for i, f in enumerate(found) if f is None and odd[i]]
+        for a in range(0, len(whole), 4096):
+            some = whole[a : a + 4096]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i].decode() for i in some], add_special_tokens=False)):
+                found[i] = struct.pack(f"<{len(e.ids)}H", *e.ids)
+        tokenize = self.tokenizer.model.tokenize
+        for i, f in enumerate(found):
+            if f is None:
+                w = words[i]
+                ids = [t.id for t in tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(_NAMED))]
+                f = found[i] = struct.pack(f"<{len(ids)}H", *ids)
+            known[words[i]] = f
         return found
 
 
@@ -103,29 +157,44 @@ def _encode(path: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if path not in _tokenizers:
             _tokenizers[path] = WordIds(path)
-        words, held, size, done, number, part = _tokenizers[path], [], 0, 0, 0, 0
+        words, docs, counts, held, size, done, number, part = _tokenizers[path], [], [], [], 0, 0, 0, 0
 
         def segment() -> pd.DataFrame:
-            ids = np.frombuffer(b"".join(b for _, b in held), "<u2")
-            data = write_segment([d for d, _ in held], [len(b) // 2 for _, b in held], ids)
+            ids = np.concatenate(held)
+            held.clear()
+            data = write_segment(docs, np.concatenate(counts).tolist(), ids)
             return pd.DataFrame({"part": [part], "segment": [number], "first": [done], "n_tokens": [len(ids)], "data": [data]})
 
         for frame in frames:
             part = int(frame["part"].iloc[0]) if len(frame) else part
-            for a in range(0, len(frame), 256):
-                few = frame.iloc[a : a + 256]
-                for doc, null, ids in zip(few["doc_id"], few["null"], words.batch(few["text"].tolist())):
-                    held.append((None if null else doc, ids))
-                    size += len(ids) // 2
+            own = [None if null else doc for doc, null in zip(frame["doc_id"], frame["null"])]
+            texts = frame["text"].tolist()
+            for a, b in chunks(texts):
+                ids, n = words.batch(texts[a:b])
+                docs += own[a:b]
+                counts.append(n)
+                held.append(ids)
+                size += len(ids)
                 if size >= SEGMENT:
                     yield segment()
-                    held, done, number, size = [], done + size, number + 1, 0
-        if held:
+                    docs, counts, done, number, size = [], [], done + size, number + 1, 0
+        if docs:
             yield segment()
+        trim()
 
     return run
 
 
+def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHUNK characters."""
+    a = size = 0
+    for i, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= CHUNK or i == len(texts):
+            yield a, i
+            a, size = i, 0
+
+
 def write_ids(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """Encode every whole text (null: empty) and write segments in ascending doc_id order.
 
@@ -149,6 +218,7 @@ def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for a in range(0, len(doc_ids), 1024):
                 own = range(a, min(a + 1024, len(doc_ids)))
                 yield pd.DataFrame({"part": part, "doc_id": pd.array(doc_ids[own.start : own.stop], "Int64"), "local": first + at[own.start : own.stop], "ids": [raw[at[i] : at[i + 1]].tobytes() for i in own]})
+    trim()
 
 
 def read_ids(segments: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def band_keys(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _chunks(lengths: list[int], most: int = 1 << 19, bags: int = 400) -> Iterator[tuple[int, int]]:
+def _chunks(lengths: list[int], most: int = 1 << 19, bags: int = 500) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about *most* bytes and at most *bags* texts, since each bag costs some 1,500 points whatever its size."""
     a = size = 0
     for i, n in enumerate(lengths):

@@ -24,8 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Arrow batches sent to Python workers, where the session has Spark's own defaults: small ones keep workers small.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+#: Arrow batches sent to Python workers, where the session has Spark's own defaults: small ones keep workers small.  A session that
+#: sets these itself keeps its own values.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "2m")}
 
 
 def ship(spark: SparkSession) -> None:

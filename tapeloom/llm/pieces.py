@@ -29,7 +29,7 @@ _ACROSS = re.compile(r"[^ ] |\n.|.\n", re.S)
 _MASK = (1 << 64) - 1
 _PIECE, _PLACE, _DOC = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x9E3779B97F4A7C15
 #: Parts of more ids than PLACES are segmented one by one; NOTHING stands beside the first and the last id.
-PLACE_BITS, PLACES, NEVER, NOTHING, LANES, CHUNK = 5, 30, 1 << 30, 0xFFFF, 8192, 1 << 20
+PLACE_BITS, PLACES, NEVER, NOTHING, LANES, CHUNK = 5, 30, 1 << 30, 0xFFFF, 8192, 1 << 19
 
 
 def default_model() -> str:

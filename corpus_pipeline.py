@@ -7,33 +7,48 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm import bagminhash, langid, mixing, pieces, secrets
 from tapeloom.llm.bagminhash import _small as few
-from tapeloom.llm.common import numbered, stored, sub_groups, table
+from tapeloom.llm.common import numbered, spread_join, stored, sub_groups, table
 
 MARK = "[SECRET]"
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """Each row as one struct, beside which a stage's own columns clash with no column of the table."""
+    return docs.select(F.struct("*").alias("row"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with enough certainty."""
+    """Documents whose language is known with enough certainty.
+
+    Rows are judged by text, declared language and source: rows that repeat an id are judged one by one.  Null, empty and
+    letterless texts go, as do texts in no language of the model; texts count whole.  Ties of languages go to the first one.  An
+    empty table stays empty; columns and their names are kept, whatever they are.
+    """
     found = langid.identify(langid.document_records(docs), langid.train(docs))
-    gone = stored(found.where("not keep").select(F.col("key.doc_id").alias("_id"), F.col("key.content").alias("_content")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_content"))
-    return docs.join(gone, same, "left_anti")
+    gone = stored(found.where("not keep").select("key.*").distinct())
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (langid.content("row.text", "row.lang", "row.source") == F.col("content"))
+    return whole(docs).join(gone, same, "left_anti").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near-duplicates: the one of least id (null last), digest of the text and other columns."""
+    """One row of each class of near-duplicates: the one of least id (null last), digest of the text and other columns.
+
+    Rows are told apart by id and text, so other texts of a repeated id, or without an id, stay.  Null, empty and blank texts are like
+    nothing but themselves under the same id.  Texts count whole; an empty table stays empty; columns are kept, whatever they are.
+    """
     found = stored(bagminhash.labelled(docs).select("doc_id", "digest", "times", "label"))
-    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("_first"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("digest") == F.col("_first.digest"))
-    chosen = found.join(first, "label").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "times", is_first.alias("_kept"))
-    gone = stored(chosen.where(~F.col("_kept") | (F.col("times") > 1)))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (bagminhash.digest(F.col("text")) == F.col("_digest"))
-    kept = docs.join(gone, same, "left_anti")
-    again = gone.where("_kept")
-    if again.isEmpty():
-        return kept
-    twins = docs.join(again, same, "left_semi").groupBy("doc_id", bagminhash.digest(F.col("text")).alias("_digest"))
-    return kept.unionByName(twins.agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    chosen = spread_join(found, first, "label").select("doc_id", "digest", "times", is_first.alias("kept"))
+    gone = few(stored(chosen.where("not kept or times > 1")))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (bagminhash.digest(F.col("row.text")) == F.col("digest"))
+    rows = whole(docs)
+    kept = rows.join(gone, same, "left_anti")
+    again = gone.where("kept")
+    if not again.isEmpty():
+        twins = rows.join(again, same, "left_semi").groupBy("row.doc_id", bagminhash.digest(F.col("row.text")))
+        kept = kept.unionByName(twins.agg(F.min("row").alias("row")).select("row"))
+    return kept.select("row.*")
 
 
 def _masked(text: Column, spans: Column) -> Column:
@@ -55,40 +70,50 @@ def _merged(spans: Column) -> Column:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret found masked."""
+    """All documents, with every secret found masked; n_chars, if there is such a column, follows the text.
+
+    Null and empty texts hold no secret and stay as they are; texts are searched whole; overlapping spans are masked once; rows
+    repeat as given; an empty table stays empty; other columns are kept, whatever they are.
+    """
     findings, _ = secrets.scan_versions(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
     spans = F.concat(*secrets.RULES)
-    hits = stored(findings.where(F.size(spans) > 0).select("blob", _merged(spans).alias("_spans")).dropDuplicates(["blob"]).withColumnRenamed("blob", "_blob"))
-    joined = docs.join(hits, secrets.blob_of(F.col("text")) == F.col("_blob"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_masked(F.col("text"), F.col("_spans")))
-    chars = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(dict(docs.dtypes)["n_chars"]) if "n_chars" in docs.columns else None
-    return joined.select(*[text.alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    hits = stored(findings.where(F.size(spans) > 0).select("blob", _merged(spans).alias("spans")).dropDuplicates(["blob"]))
+    joined = whole(docs).join(hits, secrets.blob_of(F.col("row.text")) == F.col("blob"), "left")
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(_masked(F.col("row.text"), F.col("spans")))
+    made = {"text": text}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length(text)).cast(dict(docs.dtypes)["n_chars"])
+    return joined.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it.
 
     Copies are joined back by id, text and source.  Rows that agree in these take the same copies, and some of them, in
-    order of their other columns, one more."""
-    keys = ["doc_id", "_content", "source"]
-    rows = docs.withColumn("_content", F.xxhash64("text"))
-    mixed = mixing.entropy_mix(rows, carry=("_content", "source"))
-    dealt = mixed.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.min("copies").alias("_whole"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("_more"))
-    dealt = stored(dealt.where("_whole + _more > 0"))
-    same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("_content") == F.col("_content_")) & F.col("source").eqNullSafe(F.col("source_"))
-    joined = rows.join(few(dealt.where("_more = 0")), same).withColumn("_copies", F.col("_whole"))
-    uneven = dealt.where("_more > 0")
+    order of their other columns, one more.  Null, empty and blank texts have no words; the mix takes them once in a source without
+    words, else as its rates say.  A null source is one of the sources.  An empty table stays empty; columns are kept, whatever they are.
+    """
+    keys = ["doc_id", "content"]
+    rows = docs.select("doc_id", "text", "source", langid.content("text", "source").alias("content"), F.struct("*").alias("row"))
+    mixed = mixing.entropy_mix(rows, carry=("content",))
+    dealt = mixed.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.min("copies").alias("each"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("more"))
+    dealt = stored(dealt.where("each + more > 0"))
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("content") == F.col("content_"))
+    joined = rows.join(few(dealt.where("more = 0")), same).select("row", F.col("each").alias("copies"))
+    uneven = dealt.where("more > 0")
     if not uneven.isEmpty():
-        twins = rows.join(uneven, same).withColumn("_key", F.struct(*keys))  # nulls in a struct are equal
-        sub = F.pmod(F.xxhash64(*docs.columns), F.lit(sub_groups(0, 1))).cast("int")
-        twins = numbered(twins, ["_key"], docs.columns, sub, "_place")
-        joined = joined.unionByName(twins.withColumn("_copies", F.col("_whole") + (F.col("_place") < F.col("_more")).cast("long")).select(*joined.columns))
-    joined = joined.where("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+        twins = rows.join(uneven, same).select(F.struct(*keys).alias("key"), "row", "each", "more")  # nulls in a struct are equal
+        sub = F.pmod(F.xxhash64("row"), F.lit(sub_groups(0, 1))).cast("int")
+        twins = numbered(twins, ["key"], ["row"], sub, "place")
+        joined = joined.unionByName(twins.select("row", (F.col("each") + (F.col("place") < F.col("more")).cast("long")).alias("copies")))
+    return joined.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids by merge-dropout beside the columns of documents."""
+    """Piece ids by merge-dropout beside the columns of documents; a column named ids is replaced.
+
+    Null and empty texts have no ids; texts count whole; a null doc_id draws as 0 does; rows repeat as given, an empty table stays empty.
+    """
     return pieces.encode_documents(docs)
 
 

@@ -211,9 +211,13 @@ def run_strategies(factors: DataFrame, rules: list[str | Rule] | None = None, pa
         if not own:
             return built
         own.insert(0, built)
-    filled = {"strategy_version": F.lit("v1"), "signal_strength": F.lit(0.0)}
-    own = [d.select(*[F.coalesce(c(x), filled.get(x, F.lit(None))).alias(x) if x in d.columns else filled.get(x, F.lit(None).cast("string")).alias(x) for x in SIGNALS]) for d in own]
-    both = reduce(DataFrame.unionByName, own).withColumn("signal_strength", F.coalesce(c("signal_strength").try_cast("double"), F.lit(0.0)))
+    def aligned(df: DataFrame) -> DataFrame:
+        text = {x: c(x).cast("string") if x in df.columns else F.lit(None).cast("string") for x in SIGNALS[2:]}
+        text["strategy_version"] = F.coalesce(text["strategy_version"], F.lit("v1"))
+        text["signal_strength"] = F.coalesce(c("signal_strength").try_cast("double"), F.lit(0.0)) if "signal_strength" in df.columns else F.lit(0.0)
+        return df.select(*SIGNALS[:2], *[text[x].alias(x) for x in SIGNALS[2:]])
+
+    both = reduce(DataFrame.unionByName, map(aligned, own))
     first = Window.partitionBy(*SIGNALS[:4]).orderBy(F.desc("signal_strength"), "entry_reason", "risk_flags")
     return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 

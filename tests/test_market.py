@@ -2,16 +2,20 @@
 
 import datetime as dt
 import importlib
+import random
+import shutil
 import sys
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tapeloom import market
 from tapeloom import queries as core
 from tapeloom.functions import columns as fc
 from tapeloom.market import Market
 from tapeloom.operators import backtest, factors, ledger, quality, research, signals, versions
+from tapeloom.oracles import OVERRIDES
 from tapeloom.sources import adapters, normalize, store
 
 DIR = "/root/testdata/sf0.001"
@@ -112,6 +116,72 @@ def test_quality(spark):
     assert quality.quality_status(quality.quality_checks(b.where("false"))).first().overall_status == "error"
 
 
+def test_missing_rates(spark):
+    df = spark.createDataFrame([(1, None, 1.0), (2, 2.0, None), (3, 3.0, 1.0)], "a int, b double, c double")
+    groups = {"half": (["b", "c"], 0.5, "info"), "few": (["b", "absent"], 0.5, "info"), "gone": (["x"], 0.5, "warning"), "none": (["x"], 0.5, "info")}
+    got = {r.check_name: (r.status, r.issue_count) for r in quality.missing_rate_checks(df, groups).collect()}
+    assert got == {"half": ("warning", 2), "few": ("ok", 1), "gone": ("warning", 3), "none": ("info", 0)}
+    assert {(r.status, r.issue_count, r.missing_rate) for r in quality.missing_rate_checks(df.where("false"), groups).collect()} == {("info", 0, None)}
+    assert quality.table_status(df, "t").first().status == "ok" and quality.table_status(df.where("false"), "t").first().status == "warning"
+    high = spark.createDataFrame([("high_missing",)] * 3, "status string")
+    assert [quality.diagnostics_check(d, f).first().status for d, f in ((high, df), (high.limit(2), df), (high.where("false"), df), (df, df), (high, df.where("false")))] == ["warning", "ok", "warning", "warning", "info"]
+
+
+def test_enabled_and_own_rules(spark):
+    m = Market(spark, DIR)
+    assert signals.enabled_rules() == ["trend_pullback", "breakout_volume", "support_rebound"]
+    assert signals.enabled_rules({"trend_pullback": {"enabled": False}, "low_vol_trend": {"enabled": True}}) == ["breakout_volume", "support_rebound", "low_vol_trend"]
+    assert {r.strategy_name for r in signals.run_strategies(m.enriched, params=OVERRIDES).select("strategy_name").distinct().collect()} <= set(signals.enabled_rules())
+    twice = lambda f: f.limit(3).selectExpr("trade_date", "code", "'mine' AS strategy_name", "'7' AS signal_strength").unionByName(f.limit(3).selectExpr("trade_date", "code", "'mine' AS strategy_name", "'x' AS signal_strength"))
+    one = spark.createDataFrame(m.enriched.limit(3).collect(), m.enriched.schema)
+    got = signals.run_strategies(one, [twice]).collect()
+    assert len(got) == 3 and {(r.strategy_version, r.signal_strength, r.entry_reason) for r in got} == {("v1", 7.0, None)}
+    assert signals.run_strategies(one, []).count() == 0
+    named = {"trend_pullback": {"v1": {}, "v2": {"enabled": False}}}
+    assert [r["strategy_version"] for r in versions.named_versions(named=named)] == ["v1"]
+
+
+def test_loosest_bounds_lose_no_signal(spark):
+    """The prefilter against every version on its own."""
+    m = Market(spark, DIR)
+    rng = random.Random(4)
+    rows = [r for n in signals.RULES for r in rng.sample([x for x in versions.named_versions(OVERRIDES) + versions.grid(overrides=OVERRIDES) if x["strategy_name"] == n], 3)]
+    table = versions.version_table(spark, rows)
+    every = signals.all_versions(m.enriched, table).groupBy("strategy_name", "strategy_version").count().collect()
+    get = lambda k: F.col("branch") if k == "branch" else F.col(f"p_{k}")
+    hit = F.coalesce(*[F.when(F.col("strategy_name") == n, signals._signal(m.enriched.columns, n, get, F.col("strategy_version"))) for n in signals.RULES])
+    alone = m.enriched.crossJoin(table).withColumn("s", hit).where("s is not null").groupBy("strategy_name", "strategy_version").count().collect()
+    assert sorted(every) == sorted(alone) and len(every) > 5
+
+
+def test_positions_fold(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for code in ("000001", "000002", "000003"):
+        h = cost = 0.0
+        for day in range(1, 40):
+            side, v = rng.choice(["buy", "sell", "sell", "hold"]), float(rng.randint(0, 9))
+            rows.append((f"2024-01-{day % 28 + 1:02d}" if day < 28 else f"2024-02-{day - 27:02d}", "10:00:00", code, side, 2.0 + day, v, None))
+        for date, _, c, side, price, v, _ in sorted(r for r in rows if r[2] == code):
+            if side == "buy":
+                h, cost = h + v, cost + price * v
+            elif side == "sell" and v > 0:
+                h, cost = (h - v, cost - cost / h * v) if h > v else (0.0, 0.0)
+        want[code] = (round(h, 6), round(cost, 6))
+    trades = spark.createDataFrame(rows, "trade_date string, trade_time string, code string, side string, price double, volume double, amount double").withColumn("trade_date", F.col("trade_date").cast("date"))
+    got = {r.code: (round(r.holding_volume, 6), round(r.cost_amount, 6)) for r in ledger.positions(trades, bars(spark, (10, 9, 11, 10)), "2024-03-01").collect()}
+    assert got == want
+
+
+def test_shared_market_follows_the_files(spark, tmp_path):
+    for t in adapters.BASE:
+        shutil.copy(f"{DIR}/{t}.parquet", tmp_path)
+    one = market.shared(spark, str(tmp_path))
+    assert market.shared(spark, str(tmp_path)) is one
+    spark.read.parquet(f"{DIR}/lineitem.parquet").limit(10).write.parquet(str(tmp_path / "more.parquet"))
+    assert market.shared(spark, str(tmp_path)) is not one
+
+
 def test_keyed_writes(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", "r1"), (2, "b", "r1"), (None, "c", None)], "k int, v string, run_id string")
     new = spark.createDataFrame([(2, "x", "r1", 1), (2, "y", "r1", 2), (None, "z", None, 1)], "k int, v string, run_id string, s int")

@@ -12,6 +12,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -71,11 +72,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def remove(sc: SparkContext, path: str) -> None:
-    """Delete a folder of the shared store, if the application still runs."""
+    """Delete a folder of the shared store, if the application still runs; what cannot be deleted stays."""
     if sc._jsc is None:
         return
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    with contextlib.suppress(Py4JError, OSError):
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, path: str | None = None, codec: str = "zstd") -> DataFrame:

@@ -17,8 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import ship, table, trim
 from .shingles import mix
@@ -283,14 +285,22 @@ def encode_documents(docs: DataFrame, rate: float = 0.1, seed: int = 9, model: s
     """
     ship(docs.sparkSession)
     model = model or default_model()
+    rows = docs.drop("ids")
+    key = next(f"key_{i}" for i in range(len(rows.columns) + 1) if f"key_{i}" not in {c.lower() for c in rows.columns})
+    at, names = rows.columns.index("text"), [*rows.columns, "ids"]
+    schema = StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))])
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, keys in batches:
-            yield pd.Series([x.astype(np.int32) for x in pieces(model, rate, seed).chunks(texts.tolist(), keys.tolist())], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces(model, rate, seed)
+        for batch in batches:
+            *columns, keys = batch.columns
+            made = list(p.chunks([t or "" for t in columns[at].to_pylist()], keys.to_pylist()))
+            offsets = np.cumsum([0, *map(len, made)]).astype(np.int32)
+            flat = np.concatenate([np.empty(0, np.uint16), *made]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names)
         trim()
 
-    return docs.withColumn("ids", ids(F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))))
+    return rows.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:

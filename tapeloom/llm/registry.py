@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, kd_shards, langid, mixing, pieces, secrets, tokenids, topk, toxicity, transport
+from . import bagminhash, kd_shards, langid, mixing, periodic, pieces, secrets, tokenids, topk, toxicity, transport
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_toxicity_cnn": toxicity.op8_toxicity_cnn,
         "op9_merge_dropout": pieces.op9_merge_dropout,
         "op10_language_id": langid.op10_language_id,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
         "language_id_pages": langid.language_id_pages,
     }
     return found

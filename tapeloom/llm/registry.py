@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, kd_shards, langid, mixing, periodic, pieces, secrets, tokenids, topk, toxicity, transport
+from . import bagminhash, balltree, kd_shards, langid, mixing, periodic, pieces, secrets, tokenids, topk, toxicity, transport
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,10 +24,11 @@ def queries() -> dict[str, Query]:
         "op9_merge_dropout": pieces.op9_merge_dropout,
         "op10_language_id": langid.op10_language_id,
         "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op13_ball_tree_search": balltree.op13_ball_tree_search,
         "language_id_pages": langid.language_id_pages,
     }
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_histogram_topk": topk.OP7_SQL}
+    return {"op7_histogram_topk": topk.OP7_SQL, "op13_ball_tree_search": balltree.OP13_SQL}

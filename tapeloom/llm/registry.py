@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, balltree, kd_shards, langid, mixing, periodic, pieces, secrets, tokenids, topk, toxicity, transport
+from . import bagminhash, balltree, kd_shards, langid, mixing, periodic, personal, pieces, secrets, tokenids, topk, toxicity, transport
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_merge_dropout": pieces.op9_merge_dropout,
         "op10_language_id": langid.op10_language_id,
         "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_contextual_pii": personal.op12_contextual_pii,
         "op13_ball_tree_search": balltree.op13_ball_tree_search,
         "language_id_pages": langid.language_id_pages,
     }

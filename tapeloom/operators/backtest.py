@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.columns import dimension_list, holds
 from tapeloom.operators.factors import by_code
+from tapeloom.operators.orderstats import with_medians
 
 c = F.col
 HORIZONS = (1, 3, 5)
@@ -56,13 +57,18 @@ def signal_backtest(signals: DataFrame, bars: DataFrame) -> DataFrame:
     return df.select(c("trade_date").alias("signal_date"), "code", "strategy_name", "strategy_version", "signal_strength", "entry_date", "entry_open", *[f"{x}_{k}d" for k in HORIZONS for x in ("return", "max_drawdown")], "is_valid", "invalid_reason")
 
 
-def signal_performance(results: DataFrame, keys: tuple[str, ...] = ("strategy_name", "strategy_version")) -> DataFrame:
-    """Counts, win rates, means, medians and drawdowns of valid rows; groups without one are kept."""
+def signal_performance(results: DataFrame, keys: tuple[str, ...] = ("strategy_name", "strategy_version"), medians: bool = True) -> DataFrame:
+    """Counts, win rates, means, exact medians and drawdowns of valid rows; groups without one are kept.
+
+    Medians read the results a second time; callers that need none leave them out."""
     aggs = [F.count(F.lit(1)).alias("sample_count"), F.count_if("is_valid").alias("valid_count")]
     for k in HORIZONS:
         r = F.when(c("is_valid"), c(f"return_{k}d"))
-        aggs += [F.avg((r > 0).cast("double")).alias(f"win_rate_{k}d"), F.avg(r).alias(f"avg_return_{k}d"), F.median(r).alias(f"median_return_{k}d"), F.avg(F.when(c("is_valid"), c(f"max_drawdown_{k}d"))).alias(f"avg_max_drawdown_{k}d")]
-    return results.groupBy(*keys).agg(*aggs)
+        aggs += [F.avg((r > 0).cast("double")).alias(f"win_rate_{k}d"), F.avg(r).alias(f"avg_return_{k}d"), F.avg(F.when(c("is_valid"), c(f"max_drawdown_{k}d"))).alias(f"avg_max_drawdown_{k}d")]
+    if not medians:
+        return results.groupBy(*keys).agg(*aggs)
+    values = {f"median_return_{k}d": F.when(c("is_valid"), c(f"return_{k}d")) for k in HORIZONS}
+    return with_medians(results.groupBy(*keys).agg(*aggs), results, list(keys), values)
 
 
 def holding_days(names: Column) -> Column:
@@ -116,7 +122,8 @@ def plan_performance(results: DataFrame, keys: tuple[str, ...] = ("strategy_name
     df = results.withColumns({k: F.coalesce(k, F.lit("")) for k in keys if dict(results.dtypes)[k] == "string"})
     ok = lambda x: F.when(c("is_valid"), x)
     rate = lambda *names: F.avg(ok(c("exit_reason").isin(*names).cast("double")))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("plan_count"), F.count_if("is_triggered").alias("triggered_count"), F.count_if("is_valid").alias("valid_count"), F.avg(c("is_triggered").cast("double")).alias("trigger_rate"), F.avg(ok((c("return_pct") > 0).cast("double"))).alias("win_rate"), F.avg(ok(c("return_pct"))).alias("avg_return"), F.median(ok(c("return_pct"))).alias("median_return"), F.avg(ok(c("max_drawdown"))).alias("avg_max_drawdown"), F.avg(ok(c("max_favorable"))).alias("avg_max_favorable"), rate("stop_loss").alias("stop_loss_rate"), rate("take_profit_1", "take_profit_2").alias("take_profit_rate"), rate("time_exit").alias("time_exit_rate"))
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("plan_count"), F.count_if("is_triggered").alias("triggered_count"), F.count_if("is_valid").alias("valid_count"), F.avg(c("is_triggered").cast("double")).alias("trigger_rate"), F.avg(ok((c("return_pct") > 0).cast("double"))).alias("win_rate"), F.avg(ok(c("return_pct"))).alias("avg_return"), F.avg(ok(c("max_drawdown"))).alias("avg_max_drawdown"), F.avg(ok(c("max_favorable"))).alias("avg_max_favorable"), rate("stop_loss").alias("stop_loss_rate"), rate("take_profit_1", "take_profit_2").alias("take_profit_rate"), rate("time_exit").alias("time_exit_rate"))
+    return with_medians(out, df, list(keys), {"median_return": ok(c("return_pct"))})
 
 
 def signals_from_backtest(results: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.columns import append_flags, clip, contains_flag, holds, price, split_flags, zero
@@ -174,3 +174,12 @@ def generate_trade_plan(pool: DataFrame, max_items: int = 5) -> DataFrame:
     return df.withColumns({"close": price(c("close")), "avg_strategy_weight": F.round("avg_strategy_weight", 4)}).select(*PLAN)
 
 
+def plan_stage_counts(signals: DataFrame, factors: DataFrame, basic: DataFrame, regime: DataFrame, evaluation: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """Rows and dates of every stage of a plan build, one row per stage, observed while the plans are written to *path* (or nowhere):
+    no stage is computed for the sake of its count."""
+    seen = {n: Observation(n) for n in ("signals", "pool", "plans")}
+    watch = lambda df, n: df.observe(seen[n], F.count(F.lit(1)).alias("rows"), F.size(F.collect_set("trade_date")).cast("bigint").alias("dates"))
+    pool = watch(select_candidates_from_signals(watch(signals, "signals"), factors, basic, regime, evaluation), "pool")
+    plans = watch(generate_trade_plan(pool), "plans").write.mode("overwrite")
+    plans.parquet(path) if path else plans.format("noop").save()
+    return signals.sparkSession.createDataFrame([(n, o.get["rows"], o.get["dates"]) for n, o in seen.items()], "stage string, rows bigint, dates bigint")

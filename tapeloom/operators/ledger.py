@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.columns import contains_flag, flag_text, flags, holds, zero
+from tapeloom.operators.orderstats import placed
 from tapeloom.operators.backtest import next_bar
 from tapeloom.operators.factors import by_code
 
@@ -77,29 +78,53 @@ def position_status(pnl: Column) -> Column:
     return F.when(pnl.isNull(), "unknown").when(pnl <= -0.05, "loss_warning").when(pnl >= 0.05, "profit_watch").otherwise("normal")
 
 
+#: Trades that one task folds in a row; below this a sale has emptied a holding.
+CHUNK, NOTHING = 4096, 1e-9
+
+
 def _folded(own: DataFrame) -> DataFrame:
-    """Holding and its cost per code after all trades, by windows that stream over a code's trades in order.
+    """Holding and its cost per code after all trades: a segmented scan over chunks of a code's trades.
 
-    The holding is the running sum of signed volumes, lifted by its lowest point below zero, since a sale beyond the holding resets it to
-    nothing.  After the last reset a sale keeps the share holding / holding before of the cost, so a buy counts with the product of
-    the shares that follow it."""
-    order = ["trade_date", "trade_time", "side", "v", "a"]
+    Trades are laid out in order of code and time by range partitions, and cut into chunks.  What a chunk does to a holding has
+    the form max(holding + net, least), since a sale beyond the holding resets it to nothing; running sums and maxima of these two
+    numbers give the holding at the start of every chunk.  Each chunk is then folded by itself into a share and a cost, as it keeps a share of
+    the cost before it and adds its own, and the chunks' pairs are folded in turn."""
     item = own.select("code", "trade_date", "trade_time", "side", zero("volume").alias("v"), F.coalesce("amount", zero("price") * zero("volume")).alias("a"))
     item = item.where((c("side") == "buy") | ((c("side") == "sell") & (c("v") > 0)))
-    so_far = Window.partitionBy("code").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = item.withColumn("sum", F.sum(F.when(c("side") == "buy", c("v")).otherwise(-c("v"))).over(so_far)).withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy(*order)))
-    df = df.withColumn("h", c("sum") - F.least(F.lit(0.0), F.min("sum").over(so_far)))
-    emptied = (c("side") == "sell") & (c("h") <= 1e-9)
-    df = df.withColumn("reset", F.coalesce(F.max(F.when(emptied, c("n"))).over(Window.partitionBy("code")), F.lit(0)))
-    kept = df.where("n > reset").withColumn("before", F.lag("h", 1, 0.0).over(Window.partitionBy("code").orderBy("n")))
-    share = F.when((c("side") == "sell") & (c("before") > 0), F.ln(c("h") / c("before"))).otherwise(0.0)
-    later = Window.partitionBy("code").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
-    left = F.exp(F.coalesce(F.sum(share).over(later), F.lit(0.0)))
-    return kept.withColumn("left", left).groupBy("code").agg(F.max_by("h", "n").alias("h"), F.sum(F.when(c("side") == "buy", c("a") * c("left")).otherwise(0.0)).alias("cost"))
+    rows = placed(item, ["code", "trade_date", "trade_time", "side", "v", "a"])
+    block = F.floor(c("_place") / CHUNK).alias("_block")
+    trades = F.array_sort(F.collect_list(F.struct("_place", (c("side") == "buy").alias("buy"), "v", "a")))
+    chunks = rows.groupBy("code", "_part", block).agg(trades.alias("trades"))
+
+    def move(s: Column, x: Column) -> Column:
+        d = F.when(x["buy"], x["v"]).otherwise(-x["v"])
+        least = F.when(x["buy"], s["least"] + d).otherwise(F.greatest(s["least"] + d, F.lit(0.0)))
+        return F.struct((s["net"] + d).alias("net"), least.alias("least"))
+
+    start = F.struct(F.lit(0.0).alias("net"), F.lit(float("-inf")).alias("least"))
+    chunks = chunks.withColumn("move", F.aggregate("trades", start, move))
+    order = Window.partitionBy("code").orderBy("_part", "_block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # As many rows per code as it has chunks.
+    chunks = chunks.withColumn("net", F.sum("move.net").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chunks = chunks.withColumn("held", F.coalesce(F.sum("move.net").over(before) + F.greatest(F.lit(0.0), F.max(c("move.least") - c("net")).over(before)), F.lit(0.0)))
+
+    def fold(s: Column, x: Column) -> Column:
+        left = s["h"] - x["v"]
+        share = F.when(left <= NOTHING, 0.0).otherwise(left / s["h"])
+        bought = F.struct((s["h"] + x["v"]).alias("h"), s["kept"].alias("kept"), (s["cost"] + x["a"]).alias("cost"))
+        sold = F.struct(F.when(left <= NOTHING, 0.0).otherwise(left).alias("h"), (s["kept"] * share).alias("kept"), (s["cost"] * share).alias("cost"))
+        return F.when(x["buy"], bought).otherwise(sold)
+
+    begin = F.struct(c("held").alias("h"), F.lit(1.0).alias("kept"), F.lit(0.0).alias("cost"))
+    done = chunks.select("code", "_part", "_block", F.aggregate("trades", begin, fold).alias("f"))
+    codes = done.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("_part", "_block", "f"))).alias("all"))
+    cost = F.aggregate("all", F.lit(0.0), lambda s, x: s * x["f"]["kept"] + x["f"]["cost"])
+    return codes.select("code", F.element_at("all", -1)["f"]["h"].alias("h"), cost.alias("cost"))
 
 
 def positions(trades: DataFrame, bars: DataFrame, as_of: str) -> DataFrame:
-    """Average-cost positions per code: an ordered fold over the code's trades, with the price as of the date.
+    """Average-cost positions per code: what an ordered fold over the code's trades gives, with the price as of the date.
 
     A sale beyond the holding resets it to nothing; buys of the day itself are frozen."""
     own = trades.where(c("trade_date") <= as_of)
@@ -154,10 +179,26 @@ def daily_review(review: DataFrame, plans: DataFrame, performance: DataFrame) ->
     return df.withColumns({x: F.coalesce(x, F.lit(0)) for x in counts}).transform(_scored)
 
 
+def in_periods(df: DataFrame, periods: DataFrame) -> DataFrame:
+    """Rows with every period that their trade_date lies in: an interval join by dates.
+
+    Dates on which something happened are few beside the rows, and each is looked up once: a period is cut into whole months and the
+    days of the months it covers in part, so that it meets dates by equality of month or day, whatever its length."""
+    first, last = F.to_date("start_date"), F.to_date("end_date")
+    months = F.when(first <= last, F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month")))
+    each = periods.select("period", first.alias("_from"), last.alias("_to"), F.explode(months).alias("_month"))
+    each = each.withColumns({"_low": F.greatest("_from", "_month"), "_high": F.least("_to", F.last_day("_month"))})
+    full = (c("_low") == c("_month")) & (c("_high") == F.last_day("_month"))
+    dates = df.select("trade_date").where("trade_date is not null").distinct().withColumns({"_day": F.to_date("trade_date"), "_month": F.trunc("trade_date", "month")})
+    by_month = dates.join(each.where(full).select("_month", "period"), "_month").select("trade_date", "period")
+    by_day = dates.join(each.where(~full).select(F.explode(F.sequence("_low", "_high")).alias("_day"), "period"), "_day").select("trade_date", "period")
+    return df.join(by_month.unionByName(by_day), "trade_date")
+
+
 def period_review(review: DataFrame, performance: DataFrame, periods: DataFrame) -> DataFrame:
-    """The same over periods (period, start_date, end_date; a small table), with trading days and best and worst code by
-    three-day return."""
-    inside = lambda df: df.join(F.broadcast(periods), c("trade_date").between(c("start_date"), c("end_date")))
+    """The same over periods (period, start_date, end_date; any number of them, overlapping or not), with trading days and best and
+    worst code by three-day return."""
+    inside = lambda df: in_periods(df, periods)
     counts = inside(review).groupBy("period").agg(*_execution_counts(), F.countDistinct("trade_date").alias("trading_days"))
     order = F.when(c("is_valid") & c("return_3d").isNotNull(), F.struct(F.round("return_3d", 9).alias("r"), c("code").alias("code"), c("trade_date").alias("d")))
     stats = inside(performance).groupBy("period").agg(*_performance_stats(), F.max(order)["code"].alias("best_code"), F.min(order)["code"].alias("worst_code"))

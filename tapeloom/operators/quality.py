@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.columns import col, holds, number
+from tapeloom.operators.orderstats import exact_quantiles
 
 c = F.col
 REQUIRED = ("trade_date", "code", "open", "high", "low", "close", "volume", "amount")
@@ -71,7 +72,8 @@ def diagnostics_check(diagnostics: DataFrame, factors: DataFrame, most: int = 3)
 
 
 def factor_diagnostics(factors: DataFrame, names: list[str], scopes: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Coverage, distribution and means inside scopes (distinct trade_date, code) per factor: one unpivot, one aggregate."""
+    """Coverage, distribution and means inside scopes (distinct trade_date, code) per factor: one unpivot and aggregate, and
+    all quartiles from one layout in order of value."""
     df = factors
     scopes = scopes or {}
     for s, keys in scopes.items():
@@ -79,8 +81,8 @@ def factor_diagnostics(factors: DataFrame, names: list[str], scopes: dict[str, D
     marks = [f"_{s}" for s in scopes]
     long = df.select(*marks, *[c(n).cast("double") for n in names]).unpivot(marks, names, "factor_name", "v") if marks else df.select(*[c(n).cast("double") for n in names]).unpivot([], names, "factor_name", "v")
     inside = [F.avg(F.when(c(f"_{s}"), c("v"))).alias(f"{s}_mean") for s in scopes]
-    quant = [F.percentile("v", q).alias(n) for n, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))]
-    out = long.groupBy("factor_name").agg(F.count(F.lit(1)).alias("total_count"), F.count("v").alias("non_null_count"), F.avg("v").alias("mean"), F.when(F.count("v") == 1, 0.0).otherwise(F.stddev_samp("v")).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), *quant, *inside)
+    quarters = exact_quantiles(long, ["factor_name"], "v", [0.25, 0.5, 0.75]).select("factor_name", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "median", "p75"))])
+    out = long.groupBy("factor_name").agg(F.count(F.lit(1)).alias("total_count"), F.count("v").alias("non_null_count"), F.avg("v").alias("mean"), F.when(F.count("v") == 1, 0.0).otherwise(F.stddev_samp("v")).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), *inside).join(quarters, "factor_name", "left")
     rate = 1 - F.try_divide(c("non_null_count"), c("total_count"))
     out = out.withColumn("missing_rate", rate)
     return out.withColumn("status", F.when(c("missing_rate") > 0.8, "high_missing").when(c("missing_rate") > 0.3, "medium_missing").otherwise("ok"))

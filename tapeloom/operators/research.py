@@ -57,7 +57,7 @@ def walk_forward(signals: DataFrame, bars: DataFrame, versions: DataFrame, split
     """Signals and bars clipped to the time before *split* and from it on, backtested apart and compared."""
     def side(old: bool) -> DataFrame:
         keep = (c("trade_date") < split) if old else (c("trade_date") >= split)
-        return signal_performance(signal_backtest(signals.where(keep), bars.where(keep)))
+        return signal_performance(signal_backtest(signals.where(keep), bars.where(keep)), medians=False)
 
     return validate(train_validation_join(versions, side(True), side(False)), min_train, min_validation)
 

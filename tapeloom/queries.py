@@ -14,9 +14,10 @@ from pyspark.sql.types import DoubleType
 from tapeloom import oracles as o
 from tapeloom.functions import columns as fc
 from tapeloom.market import AS_OF, SPLIT, Market, shared
-from tapeloom.operators import backtest, candidates, factors, ledger, quality, research, signals, versions
+from tapeloom.operators import backtest, candidates, factors, increment, ledger, quality, research, signals, versions
 from tapeloom.sources import normalize, store
 from tapeloom.sources.adapters import ctes
+from tapeloom.sources.keyed import KeyedTable, by_month
 
 c = F.col
 FACTOR_D = "close pct_chg_1d pct_chg_3d pct_chg_5d pct_chg_10d ma5 ma10 ma20 volume_ma5 volume_ratio_5 amount_ma5 high_20 low_20 close_position_20"
@@ -98,9 +99,11 @@ def _used(sql: str) -> list[str]:
 
 
 def oracle(q: Query) -> str:
-    with_ = ",\n".join([ctes(), *(f"{k} AS MATERIALIZED ({_whole_counts(DERIVED[k])})" for k in _used(q.sql))])
+    derived = [f"{k} AS MATERIALIZED ({_whole_counts(DERIVED[k])})" for k in _used(q.sql)]
+    with_ = ",\n".join(filter(None, [ctes(" ".join([q.sql, *derived])), *derived]))
     last = ", ".join(f"round(CAST({d} AS DOUBLE) + 1.2345e-7, 6) + 0.0 AS {d}" for d in q.doubles.split())
-    return f"WITH {with_}\nSELECT *{f' REPLACE ({last})' if last else ''} FROM ({_whole_counts(q.sql)})"
+    head = f"WITH {with_}\n" if with_ else ""
+    return f"{head}SELECT *{f' REPLACE ({last})' if last else ''} FROM ({_whole_counts(q.sql)})"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -1094,23 +1097,32 @@ add(
     "code[:3] IN ('000', '001', '002', '003', '600', '601', '603', '605') THEN 'main' ELSE 'other' END AS board FROM (SELECT lpad(CAST(o_orderkey % 7 "
     "* 100000 + o_orderkey % 1000 AS STRING), 6, '0') AS code FROM orders)",
 )
-add("s17_upsert_by_key", lambda m: store.upsert_by_key(_half(m, False), _half(m, True), ["k"]), _UP, "v")
+def _merged(m: Market, old: DataFrame, keys: list[str], write, part=None) -> DataFrame:
+    """A stored table that holds *old*, after one more write, read back."""
+    table = KeyedTable(m.spark, store.scratch(m.spark), keys, part)
+    table.merge(old)
+    write(table)
+    return table.read()
+
+
+_odd_keys = lambda df: df.withColumn("k", F.nullif("k", F.lit(3)))
+add("s17_upsert_by_key", lambda m: _merged(m, _half(m, False), ["k"], lambda t: t.merge(_half(m, True))), _UP, "v")
 add(
     "s18_upsert_null_safe",
-    lambda m: store.upsert_by_key(_half(m, False).withColumn("k", F.nullif("k", F.lit(3))), _half(m, True).withColumn("k", F.nullif("k", F.lit(3))), ["k"], null_safe=True).withColumn("k", c("k").cast("double")),
+    lambda m: _merged(m, _odd_keys(_half(m, False)), ["k"], lambda t: t.merge(_odd_keys(_half(m, True)))).withColumn("k", c("k").cast("double")),
     f"SELECT nullif(k, 3) AS k, run_id, v FROM ({_UP})",
     "k v",
 )
 add(
     "s19_replace_scope",
-    lambda m: store.replace_scope(_half(m, False), _half(m, True).where("run_id < 20"), ["run_id"]),
+    lambda m: _merged(m, _half(m, False), ["k"], lambda t: t.replace_scope(_half(m, True).where("run_id < 20"), ["run_id"])),
     f"SELECT * FROM ({_OLD}) WHERE run_id NOT IN (SELECT run_id FROM ({_NEW}) WHERE run_id < 20) UNION ALL SELECT * FROM ({_NEW}) WHERE run_id < 20",
     "v",
 )
-add("s20_upsert_run_scoped", lambda m: store.upsert_run_scoped(_half(m, False), _half(m, True), ["k"]), _UP, "v")
+add("s20_upsert_run_scoped", lambda m: _merged(m, _half(m, False), ["k", "run_id"], lambda t: t.merge(_half(m, True))), _UP, "v")
 add(
     "s21_delete_run",
-    lambda m: store.delete_run(_half(m, False).withColumn("run_id", c("run_id").cast("string")), "7"),
+    lambda m: _merged(m, _half(m, False).withColumn("run_id", c("run_id").cast("string")), ["k", "run_id"], lambda t: t.delete(c("run_id") == "7")),
     f"SELECT k, CAST(run_id AS VARCHAR) AS run_id, v FROM ({_OLD}) WHERE run_id <> 7",
     "v",
 )
@@ -1121,6 +1133,50 @@ add(
 )
 
 
+def _extended(m: Market):
+    """Factors with the other tables; a run that adds to a stored table reads only their dates after its mark."""
+
+    def enrich(built: DataFrame, since: str | None) -> DataFrame:
+        late = lambda df: df if since is None else df.where(c("trade_date") > F.lit(since).cast("date"))
+        return factors.enrich_factors(built, late(m.table("daily_basic")), late(m.table("stock_limits")), late(m.table("suspend_daily")), late(m.flow), m.table("industry_map"), late(m.industry))
+
+    return enrich
+
+
+def _incremental(m: Market) -> DataFrame:
+    """Enriched factors from two runs against stored tables: one up to a date, one that adds the later dates."""
+    bars = KeyedTable(m.spark, store.scratch(m.spark), ["trade_date", "code"], by_month())
+    bars.merge(m.bars)
+    table = increment.factor_table(store.scratch(m.spark), bars)
+    increment.refresh_factors(bars, table, _extended(m), until=SPLIT)
+    increment.refresh_factors(bars, table, _extended(m))
+    return table.read()
+
+
+def _overwritten(m: Market) -> DataFrame:
+    """Plan results of two runs in one stored table by run; the second run is made again and replaces its own partition alone."""
+    table = KeyedTable(m.spark, store.scratch(m.spark), ["run_id", "plan_id"], c("run_id"))
+    first = m.plan_results.withColumn("run_id", F.lit("first"))
+    table.merge(first.unionByName(m.plan_results.withColumn("run_id", F.lit("second"))))
+    kept = research.filter_plans_by_candidates(m.expanded, _default_keys(m)).select("plan_id")
+    table.replace_parts(table.read().where("run_id = 'second'").join(kept, "plan_id", "left_semi"))
+    return table.read().groupBy("run_id").agg(F.count(F.lit(1)).alias("plans"), F.count_if("is_triggered").alias("triggered"), F.avg(F.when(c("is_valid"), c("return_pct"))).alias("avg_return"))
+
+
+add("c17_incremental_factors", _incremental, "SELECT * FROM d_enriched", QUERIES["j01_enrich_factors"].doubles)
+add(
+    "c11_run_overwrite",
+    _overwritten,
+    " UNION ALL ".join(f"SELECT '{k}' AS run_id, count(*) AS plans, count_if(is_triggered) AS triggered, avg(CASE WHEN is_valid THEN return_pct END) AS avg_return FROM {t}" for k, t in (("first", "d_plan_results"), ("second", "d_again"))),
+    "avg_return",
+)
+add(
+    "c03_stage_counts",
+    lambda m: candidates.plan_stage_counts(m.signals, m.enriched, m.basic, m.regime, m.evaluation),
+    " UNION ALL ".join(f"SELECT '{k}' AS stage, count(*) AS rows, count(DISTINCT trade_date) AS dates FROM {t}" for k, t in (("signals", "d_signals"), ("pool", "d_signal_pool"), ("plans", "d_plans"))),
+)
+
+
 def _trades_csv(m: Market) -> DataFrame:
     """Trades written as CSV text and read back."""
     path = store.scratch(m.spark)

@@ -63,7 +63,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **{u: view(spark, sf_dir, u) for u in used})
 
 
-def ctes() -> str:
-    """The same tables as common table expressions for DuckDB."""
+def ctes(sql: str) -> str:
+    """The tables that a query names, directly or through others, as common table expressions for DuckDB."""
     names = {**{b: b for b in BASE}, **{v: v for v in VIEWS}}
-    return ",\n".join(f"{k} AS MATERIALIZED ({v.format(**names)})" for k, v in VIEWS.items())
+    need, todo = set(), [sql]
+    while todo:
+        text = todo.pop()
+        new = {v for v in VIEWS if v not in need and re.search(rf"\b{v}\b", text)}
+        need |= new
+        todo += [VIEWS[v] for v in new]
+    return ",\n".join(f"{k} AS MATERIALIZED ({v.format(**names)})" for k, v in VIEWS.items() if k in need)

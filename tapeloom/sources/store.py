@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +65,7 @@ def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.parquet(stage)
     staged = df.sparkSession.read.schema(df.schema).parquet(stage)
     staged.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    _remove(df.sparkSession.sparkContext, stage)
 
 
 def trading_dates(calendar: DataFrame | None, spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -83,11 +88,27 @@ def read_active_config(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder all machines share; a temporary one only where Spark runs on this machine alone."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return f"{(root or tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/tapeloom-{uuid.uuid4().hex}"
+    """A fresh path in the folder all machines share, which goes when the driver ends; a temporary one only where Spark runs on this
+    machine alone."""
+    sc, root = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
+    own = f"{root.rstrip('/')}/tapeloom-core-{sc.applicationId}"
+    if getattr(sc, "_tapeloom_scratch", None) != own:
+        sc._tapeloom_scratch = own
+        atexit.register(_remove, sc, own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def _remove(sc: SparkContext, path: str) -> None:
+    if sc._jsc is None:
+        return
+    with contextlib.suppress(Py4JError, OSError):
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def order_output(df: DataFrame, *keys: str) -> DataFrame:

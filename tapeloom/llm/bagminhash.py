@@ -323,4 +323,5 @@ def labelled(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, band
 
 
 def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document; nulls, empty and long texts, ties and repeats as in near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -88,11 +88,20 @@ def stored(df: DataFrame, path: str | None = None, codec: str = "zstd") -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_join(rows: DataFrame, other: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, other: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None, nulls: bool = False) -> DataFrame:
     """Join *rows* with *other*, which has one row per key, so that no task gets all rows of a frequent key.
 
     Keys of more than max(1,000, a hundred-thousandth) of the rows, so at most 100,000 of them, are joined by broadcast, the rest by
-    shuffle.  how: inner or left.  Null keys match nothing.  *hot*: the frequent keys, where they are known."""
+    shuffle.  how: inner or left.  Null keys match nothing; with *nulls*, a left join leaves their rows, however many, where
+    they are.  *hot*: the frequent keys, where they are known."""
+    if nulls:
+        new = [F.lit(None).cast(t).alias(n) for n, t in other.dtypes if n != key]
+        none = rows.where(F.col(key).isNull()).select(key, *[n for n in rows.columns if n != key], *new)
+        return _spread(rows.where(F.col(key).isNotNull()), other, key, how, hot).unionByName(none)
+    return _spread(rows, other, key, how, hot)
+
+
+def _spread(rows: DataFrame, other: DataFrame, key: str, how: str, hot: DataFrame | None) -> DataFrame:
     hot = frequent(rows, key) if hot is None else hot
     if hot.isEmpty():
         return rows.join(other, key, how)

@@ -111,7 +111,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     Give either the number of shards or the bytes a shard should hold.  Returns doc_id, size, text_crc32,
     law, shard, slot and grown_shard.  Each cut is the weighted median (for an odd number of shards, the
     matching quantile) found exactly by histogram refinement, so a shard is off by about one document.
-    Null text: no bytes, size 8.  Null metadata: lowest coordinate.  Ties: cut inside by keyed hash; rows equal
+    Null text: no bytes, size 8; texts count whole.  Null metadata: lowest coordinate.  Ties: cut inside by keyed hash; rows equal
     in doc_id and text stay together, but equal texts under different ids may lie in different shards, since
     position is one of the dimensions and any law by bytes has to cut through large groups.  Empty table: empty result.  Other columns
     are ignored.
@@ -132,10 +132,11 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         pass
     placed = rows.select("doc_id", "size", "text_crc32", _cell(root).cast("int").alias("shard"))
     parts = sub_groups(total["n"], shards)
-    sub = F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(parts)).cast("int")
+    sub = F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32"), F.lit(parts)).cast("int")
     placed = numbered(placed, ["shard"], ["doc_id", "text_crc32"], sub, "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards; nulls, empty and long texts, ties and repeats as in kd_shards()."""
     return kd_shards(table(spark, sf_dir, "documents"), shards=24)

@@ -10,15 +10,18 @@ posteriors, the host smoothed by its parent and the parent by the whole collecti
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, stored, table
+from .common import ship, spread_join, stored, table
 
-LANGUAGES, UNKNOWN = ("de", "en", "es", "fr"), "und"
+UNKNOWN = "und"
+#: A declared language is one of the model's if so many rows with a text declare it, and such a share of those that declare any.
+LANGUAGE_ROWS, LANGUAGE_SHARE = 10, 0.005
 BUCKETS, EVIDENCE, STRENGTH, UNKNOWN_PRIOR, LEAST = 1 << 14, 60.0, 20.0, 0.001, 0.5
 #: Share of a flat distribution in every language, and the level of a trigram in no language.
 FLAT, UNKNOWN_LOG = 0.02, -11.0
@@ -63,10 +66,25 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
 
 
-def train(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
-    """labelled: text, lang.  Log-probabilities, one row per bucket, one column per language and a constant one for
-    UNKNOWN; len(languages) * BUCKETS sums come to the driver.  Rows of other or no language, or no text, are left out."""
+def languages_of(labelled: DataFrame, rows: int = LANGUAGE_ROWS, share: float = LANGUAGE_SHARE) -> tuple[str, ...]:
+    """Two-letter codes, in order, that enough rows with a text declare; as there are at most 1 / *share* of them, they come to the driver."""
+    declared = labelled.where("text is not null").select(code(F.col("lang")).alias("lang")).where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    total = declared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return tuple(sorted(r["lang"] for r in declared.where(F.col("n") >= max(rows, share * total)).collect()))
+
+
+class Model(NamedTuple):
+    """Log-probabilities, one row per bucket, one column per language and a constant one for UNKNOWN."""
+
+    logs: np.ndarray
+    languages: tuple[str, ...]
+
+
+def train(labelled: DataFrame, languages: tuple[str, ...] | None = None) -> Model:
+    """labelled: text, lang.  Without *languages*, those of languages_of(); len(languages) * BUCKETS sums come to the driver.  Rows of
+    other or no language, or no text, are left out."""
     ship(labelled.sparkSession)
+    languages = languages_of(labelled) if languages is None else languages
     rows = labelled.select(code(F.col("lang")).alias("lang"), "text").where(F.col("lang").isin(*languages) & F.col("text").isNotNull())
     sums = rows.mapInPandas(_count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((BUCKETS, len(languages)), 0.5)
@@ -74,7 +92,7 @@ def train(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.nda
         own = sums[sums["lang"] == lang]
         counts[own["bucket"].to_numpy(), i] += own["n"].to_numpy()
     logs = np.log((1 - FLAT) * counts / counts.sum(axis=0) + FLAT / BUCKETS)
-    return np.hstack([logs, np.full((BUCKETS, 1), UNKNOWN_LOG)]).astype(np.float32)
+    return Model(np.hstack([logs, np.full((BUCKETS, 1), UNKNOWN_LOG)]).astype(np.float32), tuple(languages))
 
 
 def code(declared: Column) -> Column:
@@ -103,18 +121,19 @@ def _masses(rows: DataFrame, key: str, width: int, out: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array(*[F.sum(F.col("text_p")[i]) for i in range(width)]).alias(f"{out}_mass"), F.count(F.lit(1)).cast("double").alias(f"{out}_n"))
 
 
-def identify(records: DataFrame, model: np.ndarray, languages: tuple[str, ...] = LANGUAGES, least: float = LEAST) -> DataFrame:
+def identify(records: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
     """records: key, text, declared, host, suffix.  Returns key, language, posterior, text_language, keep.
 
-    keep: the text has a letter, and the language found is one of *languages* with posterior >= *least*.  Null and empty
+    keep: the text has a letter, and the language found is one of the model's with posterior >= *least*.  Null and empty
     texts, texts without letters and texts of cut words alone (keys, addresses) are und and not kept.  Null declared,
     host or suffix give no evidence (a null host takes the collection's prior).  Ties go to the first language.  Rows
-    repeat as given; an empty table gives an empty result.
+    repeat as given; texts count whole, their evidence for at most EVIDENCE trigrams; an empty table gives an empty result.
     """
+    languages = model.languages
     spark, width = records.sparkSession, len(languages) + 1
     ship(spark)
     names = F.array(*[F.lit(x) for x in (*languages, UNKNOWN)])
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.logs)
 
     @F.pandas_udf("array<double>")
     def likelihood(texts: pd.Series) -> pd.Series:
@@ -132,7 +151,7 @@ def identify(records: DataFrame, model: np.ndarray, languages: tuple[str, ...] =
     text = F.coalesce("text", F.lit(""))
     rows = records.select("key", code(F.col("declared")).alias("declared"), F.lower("host").alias("host"), F.lower("suffix").alias("suffix"), text.rlike(r"\p{L}").alias("letters"), likelihood(text).alias("ll"))
     rows = rows.withColumn("letters", F.col("letters") & F.col("ll").isNotNull())
-    prior = F.array(*[F.lit((1 - UNKNOWN_PRIOR) / (width - 1))] * (width - 1), F.lit(UNKNOWN_PRIOR))
+    prior = F.array(*[F.lit((1 - UNKNOWN_PRIOR) / max(1, width - 1))] * (width - 1), F.lit(UNKNOWN_PRIOR))
     rows = rows.withColumn("text_p", _normal(F.zip_with("ll", F.transform(prior, F.ln), lambda a, b: a + b)))
     rows = stored(rows.withColumns({"text_language": F.when(F.col("letters"), names[(F.array_position("text_p", F.array_max("text_p")) - 1).cast("int")]).otherwise(UNKNOWN), "parent": parent(F.col("host"))}))
     sure = rows.where("letters")
@@ -157,7 +176,7 @@ def identify(records: DataFrame, model: np.ndarray, languages: tuple[str, ...] =
     ratio = F.zip_with(_share("suffix_mass", "suffix_n", overall), overall, lambda a, b: F.ln(a / b))
     suffixes = stored(suffixes.select("suffix", ratio.alias("suffix_log")))
 
-    all_ = rows.join(hosts, "host", "left").join(suffixes, "suffix", "left")
+    all_ = spread_join(rows, hosts, "host", "left", nulls=True).join(suffixes, "suffix", "left")
     zero = F.array(*[F.lit(0.0)] * width)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     logs = add(add(F.col("ll"), F.transform(F.coalesce("host_p", overall), F.ln)), add(declared_log, F.coalesce("suffix_log", zero)))
@@ -191,12 +210,13 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; nulls, empty and long texts, ties and repeats as in identify()."""
     docs = table(spark, sf_dir, "documents")
     found = identify(document_records(docs), train(docs))
     return found.select("key.doc_id", "language", "posterior", "text_language", "keep")
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = train(table(spark, sf_dir, "documents"))
-    found = identify(page_records(table(spark, sf_dir, "pages")), model)
+    """Language of every page by a model of the documents; a null html or url gives no text or no evidence, the rest as in identify()."""
+    found = identify(page_records(table(spark, sf_dir, "pages")), train(table(spark, sf_dir, "documents")))
     return found.select("key.page_id", "language", "posterior", "text_language", "keep")

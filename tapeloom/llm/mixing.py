@@ -73,10 +73,11 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), c
     Size: words of the text (null: 0).  Sources rank by code point, null last, and take *weights* in turn.
     Returns doc_id, size, source_size, target, taken, copies, rate, and the columns *carry* of docs.  Same input and seed: same result.  A
     source without words gets target 0; its documents are taken once, with no words.  Rows of equal size in a
-    source tie for the last copies by keyed hash of doc_id, then by *carry*.  Empty table: empty result.
+    source tie for the last copies by keyed hash of doc_id and text, then of doc_id, then by *carry*.  Texts count whole.  Columns of *carry* must
+    not be named _source, _none, _text or as a column returned.  Empty table: empty result.
     """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = stored(docs.select("doc_id", F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), size.alias("size"), *carry))
+    rows = stored(docs.select("doc_id", F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), size.alias("size"), F.xxhash64("text").alias("_text"), *carry))
     hist = stored(rows.groupBy(*SOURCE, "size").agg(F.count(F.lit(1)).alias("n")))
     sizes = hist.groupBy(*SOURCE).agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.greatest(F.max("size"), F.lit(1)).alias("largest"))
     targets = stored(capped_targets(sizes, weights, cap))
@@ -92,7 +93,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), c
 
     key = F.xxhash64(F.lit(seed), "doc_id")
     parts = sub_groups(rows.count(), 1, least=16)
-    salted = rows.withColumn("_key", key).withColumn("_sub", F.pmod(F.col("_key"), F.lit(parts)).cast("int"))
+    salted = rows.withColumn("_key", key).withColumn("_sub", F.pmod(F.xxhash64("_key", "_text"), F.lit(parts)).cast("int"))  # the text parts rows of one id, or of none
     group = [*SOURCE, "size"]
     before = Window.partitionBy(*group).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     subs = salted.groupBy(*group, "_sub").agg(F.count(F.lit(1)).alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
@@ -103,4 +104,5 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), c
 
 
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents; nulls, empty and long texts, ties and repeats as in entropy_mix()."""
     return entropy_mix(table(spark, sf_dir, "documents"))

@@ -58,8 +58,15 @@ class Memory(dict):
             self.clear()
 
 
+#: Texts that tell whether a tokenizer is of the kind whose words WordIds can take one by one.
+PROBE = [
+    " ".join(map(chr, range(33, 127))), "".join(map(chr, range(32, 127))), "Hello  World\nnew\tline's don't I'LL it's", " lead and trail ", "", "12345 3.14 1,000 x2y3 v1.2-rc",
+    "foo_bar a-b (x) [y] {z} <tag> <|end|> #1 @me", "Straße École ñandú ÇA ÀÉÎ ǅ Σίσυφος", "日本語 текст 😀 a😀b", "ALLCAPS mixedCase \"quoted\" 'single'", "aaaaaaaaaaaaaaaaaaaaaaaa bbbb...!!!???",
+]
+
+
 class WordIds:
-    """Ids by word: the tokenizer drops white space, never looks across it and does not tell upper case from lower.  What
+    """Ids of texts by a tokenizer of up to 65536 ids.  Where a tokenizer agrees with it on PROBE, ids go by word: such a one drops white space, never looks across it and does not tell upper case from lower.  What
     stands between spaces, if of Latin letters, digits and ASCII signs, falls into the words of the tokenizer's pattern, which
     its model takes one by one; anything else goes through the whole tokenizer.  Equal words of a batch are looked up once,
     and words found lately are remembered."""
@@ -69,9 +76,22 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_file(path), Memory(HELD)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path} has more than 65536 ids")
+        ids, counts = self._whole(PROBE)
+        own, sizes = self._by_word(PROBE)
+        self.by_word = np.array_equal(counts, sizes) and np.array_equal(ids, own)
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """16-bit ids of all texts, END after each, and how many each has."""
+        return self._by_word(texts) if self.by_word else self._whole(texts)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.array([i for x in found for i in (*x, END)], np.uint16)
+        return ids, np.fromiter((len(x) + 1 for x in found), np.int64, len(found))
+
+    def _by_word(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = ["<|" not in t and "Σ" not in t for t in texts]  # marks of special tokens are as written
         raw = [(t.lower() if p else t).encode() for t, p in zip(texts, plain)]
         data = b"\n".join([*raw, b""])
@@ -203,7 +223,8 @@ def write_ids(docs: DataFrame, path: str | None = None, tokenizer: str | None =
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))  # parts an id, or the null one, that many rows have
+    rows = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
     rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("null"), "text", F.spark_partition_id().alias("part"))
     coded = rows.mapInPandas(_encode(tokenizer or default_tokenizer()), "part int, segment int, first bigint, n_tokens bigint, data binary")
     return stored(coded, path, codec="none")
@@ -232,6 +253,7 @@ def read_ids(segments: DataFrame) -> DataFrame:
 
 
 def op3_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and checksum of every document's ids, read back from the files; nulls, empty and long texts and repeats as in write_ids()."""
     @F.pandas_udf("bigint")
     def crc(ids: pd.Series) -> pd.Series:
         return ids.map(lambda b: zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes()))

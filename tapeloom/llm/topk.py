@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import ship, stored, table
 
 BINS, QUERY_BLOCK, ROW_BLOCK, LANE = 4096, 1024, 4096, 64
+#: Components and scores beyond this count as this: what follows adds a few of them in 64 bits.
+MOST = 1 << 62
 
 
 def _pack(size: int):
@@ -54,8 +56,10 @@ def _scores(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, b = _matrix(r.q_rows, r.dim, len(q)), _matrix(r.rows, r.dim, len(c))
     if float(r.q_largest) * float(r.largest) * max(r.dim, 1) < 2**53:
         s = (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    else:
+    elif int(r.q_largest) * int(r.largest) * int(r.dim) < MOST:
         s = a @ b.T
+    else:  # products leave 64 bits
+        s = np.clip(a.astype(object) @ b.astype(object).T, -MOST, MOST).astype(np.int64)
     s[q[:, None] == c[None, :]] = np.iinfo(np.int64).min
     return q, c, s
 
@@ -99,7 +103,7 @@ def _start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lows, widths = [], []
         for r in frame.itertuples(index=False):
             m = _matrix(r.q_rows, r.dim, len(r.q_ids) // 8)
-            reach = [int(x) * int(r.all_largest) for x in np.abs(m).sum(axis=1)]
+            reach = [min(MOST, sum(map(abs, x)) * int(r.all_largest)) for x in m.tolist()]
             lows.append(np.array([-x for x in reach], np.int64))
             widths.append(np.array([-(-(2 * x + 1) // BINS) for x in reach], np.int64))
         yield pd.DataFrame({"q_block": frame["q_block"], "need": [len(x) for x in lows], "low": [x.tobytes() for x in lows], "width": [x.tobytes() for x in widths]})
@@ -132,7 +136,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """vectors, queries: vec_id, v (array of long).  Returns query_id, rank, vec_id, score: the k highest inner
     products of each query with all rows of other ids, ties to the smaller id.
 
-    Rows whose vector or vec_id is null take no part; vectors meet those of their own length only; a query id given twice
+    Components and scores beyond 2**62 either way count as 2**62.  Rows whose vector or vec_id is null take no part; vectors meet those of their own length only; a query id given twice
     keeps its least vector; repeated candidate rows count each.  Fewer than k candidates: all of them.
     Empty tables: empty result.
     """
@@ -176,10 +180,11 @@ def quantised(embeddings: DataFrame, scale: float = 256.0) -> DataFrame:
     """vec_id and v = floor(scale * x) of each component; v is null where a component is null or not finite."""
     x = F.col("embedding").cast("array<double>")
     fine = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    return embeddings.select("vec_id", F.when(fine, F.transform(x, lambda c: F.floor(c * scale).cast("bigint"))).alias("v"))
+    return embeddings.select("vec_id", F.when(fine, F.transform(x, lambda c: F.floor(F.greatest(F.least(c * scale, F.lit(float(MOST))), F.lit(-float(MOST)))).cast("bigint"))).alias("v"))
 
 
 def op7_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of every fiftieth vector; nulls, ties, repeats and large values as in exact_topk() and quantised()."""
     rows = quantised(table(spark, sf_dir, "embeddings"))
     return exact_topk(rows, rows.where("vec_id % 50 = 0"), k=5)
 

@@ -20,8 +20,9 @@ def whole(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with enough certainty.
 
-    Rows are judged by text, declared language and source: rows that repeat an id are judged one by one.  Null, empty and
-    letterless texts go, as do texts in no language of the model; texts count whole.  Ties of languages go to the first one.  An
+    The languages are those that enough rows declare.  Rows are judged by text, declared language and source: rows that repeat an id are
+    judged one by one.  Null, empty and letterless texts go, as do texts that fit no language better than none; a text in a language that too few
+    rows declare may pass as one that is near to it.  Texts count whole.  Ties of languages go to the first one.  An
     empty table stays empty; columns and their names are kept, whatever they are.
     """
     found = langid.identify(langid.document_records(docs), langid.train(docs))
@@ -47,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = gone.where("kept")
     if not again.isEmpty():
         twins = rows.join(again, same, "left_semi").groupBy("row.doc_id", bagminhash.digest(F.col("row.text")))
-        kept = kept.unionByName(twins.agg(F.min("row").alias("row")).select("row"))
+        kept = kept.unionByName(twins.agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))  # maps have no order, their text has
     return kept.select("row.*")
 
 
@@ -102,9 +103,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     joined = rows.join(few(dealt.where("more = 0")), same).select("row", F.col("each").alias("copies"))
     uneven = dealt.where("more > 0")
     if not uneven.isEmpty():
-        twins = rows.join(uneven, same).select(F.struct(*keys).alias("key"), "row", "each", "more")  # nulls in a struct are equal
-        sub = F.pmod(F.xxhash64("row"), F.lit(sub_groups(0, 1))).cast("int")
-        twins = numbered(twins, ["key"], ["row"], sub, "place")
+        written = F.to_json("row").alias("written")  # maps have no order, their text has
+        twins = rows.join(uneven, same).select(F.struct(*keys).alias("key"), "row", "each", "more", written)  # nulls in a struct are equal
+        sub = F.pmod(F.xxhash64("written"), F.lit(sub_groups(0, 1))).cast("int")
+        twins = numbered(twins, ["key"], ["written"], sub, "place")
         joined = joined.unionByName(twins.select("row", (F.col("each") + (F.col("place") < F.col("more")).cast("long")).alias("copies")))
     return joined.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 

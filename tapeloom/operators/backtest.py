@@ -47,7 +47,10 @@ def signal_backtest(signals: DataFrame, bars: DataFrame) -> DataFrame:
     known = bars.select("code").distinct().withColumn("_has", F.lit(True))
     returns = forward_returns(bars)
     payload = ["entry_open", *[f"{x}_{k}d" for k in HORIZONS for x in ("exit_close", "low")]]
-    df = next_bar(signals, returns, payload).join(known, "code", "left")
+    # Versions that signal the same code on the same date share one entry.
+    at = ["trade_date", "code"]
+    entries = next_bar(signals.select(*at).distinct(), returns, payload).join(known, "code", "left")
+    df = signals.join(entries, at, "left")
     entry = c("bar.entry_open")
     reason = F.when(c("_has").isNull(), "no_daily_bars_for_code").when(c("bar").isNull(), "no_next_trading_day").when(~holds(entry != 0), "invalid_entry_open").when(c(f"bar.exit_close_{HORIZONS[-1]}d").isNull(), "insufficient_future_bars").otherwise("")
     df = df.withColumns({"invalid_reason": reason, "is_valid": reason == "", "entry_date": c("bar.trade_date"), "entry_open": entry})

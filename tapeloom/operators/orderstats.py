@@ -29,33 +29,32 @@ def placed(df: DataFrame, order: list[str]) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probabilities: list[float]) -> DataFrame:
     """Per group, one row with n (values that are not null) and q, the quantiles in the order given; between two values they are
-    interpolated in proportion.  Groups without a value are absent; null is a group key like others; NaN is the largest value."""
+    interpolated in proportion.  Groups without a value are absent; null is a group key like others; NaN is the largest value.  No
+    group may be named n, q or with a leading underscore."""
     rows = placed(df.where(c(value).isNotNull()).select(*groups, value), [*groups, value])
-    parts = rows.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("k"), F.min("_place").alias("first"))
+    parts = rows.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_first"))
     by_group = Window.partitionBy(*groups)
     # As many rows per group as there are partitions.
-    parts = parts.withColumns({"n": F.sum("k").over(by_group), "before": F.sum("k").over(by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - c("k")})
-    ranks: list[Column] = []
-    for i, p in enumerate(probabilities):
-        h = (c("n") - 1) * F.lit(float(p))
-        ranks += [F.struct(F.lit(2 * i).alias("i"), F.floor(h).alias("rank")), F.struct(F.lit(2 * i + 1).alias("i"), F.ceil(h).alias("rank"))]
-    wanted = parts.select(*groups, "n", "_part", "first", "before", "k", F.explode(F.array(*ranks)).alias("r"))
-    wanted = wanted.where((c("r.rank") >= c("before")) & (c("r.rank") < c("before") + c("k")))
-    wanted = wanted.select(*groups, "n", "_part", (c("first") + c("r.rank") - c("before")).alias("_place"), c("r.i").alias("i"))
-    met = rows.select("_part", "_place", value).join(wanted, ["_part", "_place"])  # few targets: broadcast by their size at run time
-    found = met.groupBy(*groups).agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("i", value))).alias("v"))
-    out = []
-    for i, p in enumerate(probabilities):
-        h = (c("n") - 1) * F.lit(float(p))
-        low, high = F.element_at("v", 2 * i), F.element_at("v", 2 * i + 1)
-        out.append(F.when(F.floor(h) == F.ceil(h), low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high))
-    return found.select(*groups, "n", F.array(*out).alias("q"))
+    parts = parts.withColumns({"_n": F.sum("_size").over(by_group), "_before": F.sum("_size").over(by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - c("_size")})
+    spots = [(c("_n") - 1) * F.lit(float(p)) for p in probabilities]
+    ranks = [F.struct(F.lit(2 * i + up).alias("i"), (F.ceil if up else F.floor)(h).alias("rank")) for i, h in enumerate(spots) for up in (0, 1)]
+    wanted = parts.select(*groups, "_n", "_part", "_first", "_before", "_size", F.explode(F.array(*ranks)).alias("_r"))
+    wanted = wanted.where((c("_r.rank") >= c("_before")) & (c("_r.rank") < c("_before") + c("_size")))
+    wanted = wanted.select(*groups, "_n", "_part", (c("_first") + c("_r.rank") - c("_before")).alias("_place"), c("_r.i").alias("_i"))
+    met = rows.select("_part", "_place", c(value).alias("_value_")).join(wanted, ["_part", "_place"])  # few targets: broadcast by their size at run time
+    found = met.groupBy(*groups).agg(F.first("_n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_i", "_value_"))).alias("_v"))
+
+    def between(i: int, h: Column) -> Column:
+        low, high = F.element_at("_v", 2 * i), F.element_at("_v", 2 * i + 1)
+        return F.when(F.floor(h) == F.ceil(h), low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high)
+
+    return found.select(*groups, c("_n").alias("n"), F.array(*[between(i, h) for i, h in enumerate(spots)]).alias("q"))
 
 
 def with_medians(aggregated: DataFrame, df: DataFrame, groups: list[str], values: dict[str, Column]) -> DataFrame:
     """*aggregated*, one row per group, with the exact median of each named value over the rows of *df*."""
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), v.cast("double").alias("_value")) for n, v in values.items()]))
-    long = df.select(*groups, each.alias("m")).select(*groups, "m.*")
+    long = df.select(*groups, each.alias("_m")).select(*groups, "_m.*")
     found = exact_quantiles(long, [*groups, "_name"], "_value", [0.5])
     wide = found.groupBy(*groups).agg(*[F.max(F.when(c("_name") == n, F.get("q", F.lit(0)))).alias(n) for n in values])
     wide = wide.select(*[c(g).alias(f"_g_{g}") for g in groups], *values)

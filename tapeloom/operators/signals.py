@@ -1,11 +1,12 @@
 """Rule-based signals: every rule is a predicate, a strength, a reason and flags over one factor row.
 
-``rule(factors, name)`` evaluates defaults; ``all_versions(factors, versions)`` joins a small version table to the factors, so
+``rule(factors, name)`` evaluates defaults; ``all_versions(factors, versions)`` gives each row bitmaps of versions, so
 one scan serves every version and date.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -60,73 +61,73 @@ def _relative() -> Column:
 
 
 def _trend_pullback(p: Params):
-    keep = _needs(p, 5) & _needs(p, 10) & (c("pct_chg_5d") > p("min_pct_chg_5d")) & (c("pct_chg_1d") < p("max_pct_chg_1d")) & (c("close_position_20") >= p("min_close_position_20")) & (c("volume_ratio_5") >= p("min_volume_ratio_5"))
+    keep = [_needs(p, 5), _needs(p, 10), (c("pct_chg_5d") > p("min_pct_chg_5d")), (c("pct_chg_1d") < p("max_pct_chg_1d")), (c("close_position_20") >= p("min_close_position_20")), (c("volume_ratio_5") >= p("min_volume_ratio_5"))]
     strength = c("pct_chg_5d") * 100 + c("close_position_20") * 20 + clip(c("volume_ratio_5"), high=3) * 5
     return keep, strength, [(c("close_position_20") > 0.9, "near_20d_high"), (c("pct_chg_1d") > 0.05, "short_term_chase_risk")]
 
 
 def _breakout_volume(p: Params):
-    keep = _needs(p, 5) & (c("pct_chg_5d") > p("min_pct_chg_5d")) & (c("volume_ratio_5") >= p("min_volume_ratio_5")) & (c("close_position_20") >= p("min_close_position_20")) & (c("pct_chg_1d") < p("max_pct_chg_1d"))
+    keep = [_needs(p, 5), (c("pct_chg_5d") > p("min_pct_chg_5d")), (c("volume_ratio_5") >= p("min_volume_ratio_5")), (c("close_position_20") >= p("min_close_position_20")), (c("pct_chg_1d") < p("max_pct_chg_1d"))]
     strength = c("pct_chg_5d") * 120 + clip(c("volume_ratio_5"), high=3) * 8 + c("close_position_20") * 20
     return keep, strength, [(c("pct_chg_1d") > 0.07, "near_limit_chase_risk"), (c("close_position_20") > 0.95, "extended_position")]
 
 
 def _support_rebound(p: Params):
-    keep = _needs(p, 20) & (c("pct_chg_1d") > p("min_pct_chg_1d")) & (c("pct_chg_1d") < p("max_pct_chg_1d")) & c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20")) & (c("amount_ma5") > p("min_amount_ma5"))
+    keep = [_needs(p, 20), (c("pct_chg_1d") > p("min_pct_chg_1d")), (c("pct_chg_1d") < p("max_pct_chg_1d")), c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20")), (c("amount_ma5") > p("min_amount_ma5"))]
     strength = F.abs("pct_chg_1d") * 80 + c("close_position_20") * 10 + clip(c("volume_ratio_5"), high=2) * 5
     return keep, strength, [(c("pct_chg_3d") < -0.06, "short_term_weakness"), (c("volume_ratio_5") > 2.5, "panic_volume_possible")]
 
 
 def _industry_rotation(p: Params):
     strong = holds(c("industry_strength_score") >= p("min_industry_strength_score")) | holds(F.lower("industry_strength_level") == "strong")
-    keep = tradable(p) & strong & (c("industry_return_3d") >= p("min_industry_return_3d")) & (c("industry_return_5d") >= p("min_industry_return_5d")) & (c("industry_amount_ratio_5") >= p("min_industry_amount_ratio_5")) & (c("pct_chg_5d") >= p("min_pct_chg_5d")) & (c("close_position_20") >= p("min_close_position_20")) & (zero("moneyflow_score") >= p("min_moneyflow_score"))
+    keep = [tradable(p), strong, (c("industry_return_3d") >= p("min_industry_return_3d")), (c("industry_return_5d") >= p("min_industry_return_5d")), (c("industry_amount_ratio_5") >= p("min_industry_amount_ratio_5")), (c("pct_chg_5d") >= p("min_pct_chg_5d")), (c("close_position_20") >= p("min_close_position_20")), (zero("moneyflow_score") >= p("min_moneyflow_score"))]
     calm = (c("pct_chg_3d") <= p("max_pct_chg_3d")) & (c("pct_chg_5d") <= p("max_pct_chg_5d")) & (c("close_position_20") <= p("max_close_position_20"))
-    keep &= _branch(p, "v2_no_overheat", calm) & _branch(p, "v3_industry_leader", _relative() >= p("min_relative_strength_5d"))
+    keep += [_branch(p, "v2_no_overheat", calm), _branch(p, "v3_industry_leader", _relative() >= p("min_relative_strength_5d"))]
     strength = clip(zero("industry_strength_score"), high=100) * 0.45 + zero("industry_return_5d") * 300 + zero("pct_chg_5d") * 120 + clip(zero("moneyflow_score"), -10, 30) * 0.5 + clip(zero(_relative()), low=0) * 120
     return keep, strength, [(c("close_position_20") > 0.9, "near_20d_high"), (c("pct_chg_3d") > 0.10, "short_term_overheat"), (zero("moneyflow_score") < 0, "moneyflow_not_confirmed")]
 
 
 def _moneyflow_accumulation(p: Params):
     ratio, turnover = c("main_net_amount_ratio"), c("turnover_rate")
-    keep = tradable(p) & (c("moneyflow_score") >= p("min_moneyflow_score")) & (c("pct_chg_1d") <= p("max_pct_chg_1d")) & (c("pct_chg_3d") <= p("max_pct_chg_3d")) & c("pct_chg_5d").between(p("min_pct_chg_5d"), p("max_pct_chg_5d"))
-    keep &= _branch(p, "v1_main_inflow", (c("main_net_amount") > 0) & (ratio >= p("min_main_net_amount_ratio")))
-    keep &= _branch(p, "v2_big_order_confirm", (c("big_net_amount") > 0) & (c("net_mf_amount") > 0) & (c("main_net_amount") >= 0))
-    keep &= _branch(p, "v3_price_not_chased", (ratio >= p("min_main_net_amount_ratio")) & F.coalesce(turnover <= p("max_turnover_rate"), F.lit(True)) & (c("pct_chg_1d") >= p("min_pct_chg_1d")))
+    keep = [tradable(p), (c("moneyflow_score") >= p("min_moneyflow_score")), (c("pct_chg_1d") <= p("max_pct_chg_1d")), (c("pct_chg_3d") <= p("max_pct_chg_3d")), c("pct_chg_5d").between(p("min_pct_chg_5d"), p("max_pct_chg_5d"))]
+    keep += [_branch(p, "v1_main_inflow", (c("main_net_amount") > 0) & (ratio >= p("min_main_net_amount_ratio")))]
+    keep += [_branch(p, "v2_big_order_confirm", (c("big_net_amount") > 0) & (c("net_mf_amount") > 0) & (c("main_net_amount") >= 0))]
+    keep += [_branch(p, "v3_price_not_chased", (ratio >= p("min_main_net_amount_ratio")) & F.coalesce(turnover <= p("max_turnover_rate"), F.lit(True)) & (c("pct_chg_1d") >= p("min_pct_chg_1d")))]
     strength = clip(zero("moneyflow_score"), high=40) * 1.2 + clip(zero(ratio), 0, 12) * 2 + (zero("big_net_amount") > 0).cast("double") * 6 - clip(zero("pct_chg_5d"), low=0) * 80
     return keep, strength, [(c("pct_chg_5d") > 0.08, "price_chase_risk"), (zero(turnover) > p("max_turnover_rate"), "high_turnover"), (zero(ratio) < 0, "main_outflow")]
 
 
 def _low_vol_trend(p: Params):
-    keep = tradable(p) & _needs(p, 5) & _needs(p, 10) & _needs(p, 20) & c("pct_chg_5d").between(p("min_pct_chg_5d"), p("max_pct_chg_5d")) & (F.abs("pct_chg_3d") <= p("max_abs_pct_chg_3d")) & (F.abs("pct_chg_1d") <= p("max_abs_pct_chg_1d")) & c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20")) & c("volume_ratio_5").between(p("min_volume_ratio_5"), p("max_volume_ratio_5"))
+    keep = [tradable(p), _needs(p, 5), _needs(p, 10), _needs(p, 20), c("pct_chg_5d").between(p("min_pct_chg_5d"), p("max_pct_chg_5d")), (F.abs("pct_chg_3d") <= p("max_abs_pct_chg_3d")), (F.abs("pct_chg_1d") <= p("max_abs_pct_chg_1d")), c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20")), c("volume_ratio_5").between(p("min_volume_ratio_5"), p("max_volume_ratio_5"))]
     steady = F.coalesce(c("turnover_rate").between(p("min_turnover_rate"), p("max_turnover_rate")), F.lit(True))
-    keep &= _branch(p, "v2_low_chase", c("pct_chg_1d") <= p("max_pct_chg_1d")) & _branch(p, "v3_steady_volume", steady)
+    keep += [_branch(p, "v2_low_chase", c("pct_chg_1d") <= p("max_pct_chg_1d")), _branch(p, "v3_steady_volume", steady)]
     strength = zero("pct_chg_5d") * 100 + zero("close_position_20") * 18 + clip(2 - F.abs(F.coalesce("volume_ratio_5", F.lit(1.0)) - 1), low=0) * 6 + _count("above_ma5", "above_ma10", "above_ma20") * 3
     return keep, strength, [(c("close_position_20") > 0.85, "near_20d_high"), (c("volume_ratio_5") > 1.8, "volume_expansion")]
 
 
 def _oversold_rebound(p: Params):
-    keep = tradable(p, drop_downtrend=True) & c("pct_chg_3d").between(p("min_pct_chg_3d"), p("max_pct_chg_3d")) & (c("pct_chg_5d") >= p("min_pct_chg_5d")) & (c("pct_chg_10d") >= p("min_pct_chg_10d")) & c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20"))
-    keep &= _branch(p, "v2_moneyflow_repair", c("moneyflow_score") >= p("min_moneyflow_score")) & _branch(p, "v3_industry_repair", c("industry_strength_score") >= p("min_industry_strength_score"))
+    keep = [tradable(p, drop_downtrend=True), c("pct_chg_3d").between(p("min_pct_chg_3d"), p("max_pct_chg_3d")), (c("pct_chg_5d") >= p("min_pct_chg_5d")), (c("pct_chg_10d") >= p("min_pct_chg_10d")), c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20"))]
+    keep += [_branch(p, "v2_moneyflow_repair", c("moneyflow_score") >= p("min_moneyflow_score")), _branch(p, "v3_industry_repair", c("industry_strength_score") >= p("min_industry_strength_score"))]
     strength = F.abs("pct_chg_3d") * 120 + clip(1 - zero("close_position_20"), low=0) * 12 + clip(zero("moneyflow_score"), -10, 25) * 0.7 + clip(zero("industry_strength_score"), high=100) * 0.2
     return keep, strength, [(c("pct_chg_5d") < -0.12, "short_term_weakness"), (c("pct_chg_10d") < -0.20, "medium_term_weakness"), (zero("moneyflow_score") < 0, "moneyflow_not_confirmed")]
 
 
 def _volume_dryup_breakout(p: Params):
     today = F.coalesce("volume_ratio_daily_basic", "volume_ratio_5")
-    keep = tradable(p) & _needs(p, 5) & _needs(p, 10) & c("volume_ratio_5").between(p("min_volume_ratio_5"), p("max_volume_ratio_5")) & today.between(p("min_volume_ratio_daily_basic"), p("max_volume_ratio_daily_basic")) & c("pct_chg_1d").between(p("min_pct_chg_1d"), p("max_pct_chg_1d")) & (c("pct_chg_3d") <= p("max_pct_chg_3d")) & (c("close_position_20") >= p("min_close_position_20"))
-    keep &= _branch(p, "v2_breakout_confirm", c("close_position_20") >= p("confirm_min_close_position_20"))
+    keep = [tradable(p), _needs(p, 5), _needs(p, 10), c("volume_ratio_5").between(p("min_volume_ratio_5"), p("max_volume_ratio_5")), today.between(p("min_volume_ratio_daily_basic"), p("max_volume_ratio_daily_basic")), c("pct_chg_1d").between(p("min_pct_chg_1d"), p("max_pct_chg_1d")), (c("pct_chg_3d") <= p("max_pct_chg_3d")), (c("close_position_20") >= p("min_close_position_20"))]
+    keep += [_branch(p, "v2_breakout_confirm", c("close_position_20") >= p("confirm_min_close_position_20"))]
     strength = zero("pct_chg_1d") * 150 + zero("close_position_20") * 20 + clip(zero("volume_ratio_5"), high=2.5) * 8 + _count("above_ma5", "above_ma10") * 4
     return keep, strength, [(c("pct_chg_1d") > 0.06, "short_term_chase_risk"), (c("volume_ratio_5") > 2.0, "volume_spike"), (c("close_position_20") > 0.92, "near_20d_high")]
 
 
 def _relative_strength_pullback(p: Params):
-    keep = tradable(p) & _needs(p, 10) & _needs(p, 20) & (_relative() >= p("min_relative_strength_5d")) & (c("pct_chg_10d") >= p("min_pct_chg_10d")) & c("pct_chg_5d").between(p("min_pct_chg_5d"), p("max_pct_chg_5d")) & c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20"))
-    keep &= _branch(p, "v2_industry_strong_pullback", c("industry_strength_score") >= p("min_industry_strength_score")) & _branch(p, "v3_moneyflow_confirm", c("moneyflow_score") >= p("min_moneyflow_score"))
+    keep = [tradable(p), _needs(p, 10), _needs(p, 20), (_relative() >= p("min_relative_strength_5d")), (c("pct_chg_10d") >= p("min_pct_chg_10d")), c("pct_chg_5d").between(p("min_pct_chg_5d"), p("max_pct_chg_5d")), c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20"))]
+    keep += [_branch(p, "v2_industry_strong_pullback", c("industry_strength_score") >= p("min_industry_strength_score")), _branch(p, "v3_moneyflow_confirm", c("moneyflow_score") >= p("min_moneyflow_score"))]
     strength = clip(zero(_relative()), low=0) * 180 + clip(zero("pct_chg_10d"), low=0) * 90 + clip(zero("industry_strength_score"), high=100) * 0.25 + clip(zero("moneyflow_score"), -10, 30) * 0.4
     return keep, strength, [(c("close_position_20") > 0.85, "near_20d_high"), (zero("moneyflow_score") < 0, "moneyflow_not_confirmed")]
 
 
-#: Rule name: builder, gating group (none: regime plays no part), whether only the main board counts, entry reason.
+#: Rule name: builder (conditions that all hold, strength, marks), gating group (none: regime plays no part), whether only the main board counts, entry reason.
 RULES: dict[str, tuple] = {
     "trend_pullback": (_trend_pullback, None, False, "uptrend above its short averages; watch for an entry on a pullback"),
     "breakout_volume": (_breakout_volume, None, False, "breakout on rising volume; watch for follow-through"),
@@ -173,14 +174,26 @@ def main_board(columns: list[str]) -> Column:
     return keep
 
 
+def _all(conditions: list[Column]) -> Column:
+    """Whether all conditions hold; an unknown one does not."""
+    return reduce(lambda a, b: a & b, map(holds, conditions))
+
+
+def _conditions(columns: list[str], name: str, p: Params) -> list[Column]:
+    build, _, board, _ = RULES[name]
+    return [*build(p)[0], *([main_board(columns)] if board else [])]
+
+
+def _text(marks: list, gate: Column) -> Column:
+    return flag_text(F.array_compact(F.concat(flags(*marks), F.array(gate))))
+
+
 def _signal(columns: list[str], name: str, p: Params, version: Column) -> Column:
     """The signal of a rule on a factor row as a struct, null where the rule does not hold."""
-    build, group, board, reason = RULES[name]
-    keep, strength, marks = build(p)
+    build, group, _, reason = RULES[name]
+    _, strength, marks = build(p)
     strength, gate = gated(columns, group, strength)
-    keep = holds(keep & main_board(columns)) if board else holds(keep)
-    text = flag_text(F.array_compact(F.concat(flags(*marks), F.array(gate))))
-    return F.when(keep, F.struct(F.lit(name).alias("strategy_name"), version.alias("strategy_version"), strength.alias("signal_strength"), F.lit(reason).alias("entry_reason"), text.alias("risk_flags")))
+    return F.when(_all(_conditions(columns, name, p)), F.struct(F.lit(name).alias("strategy_name"), version.alias("strategy_version"), strength.alias("signal_strength"), F.lit(reason).alias("entry_reason"), _text(marks, gate).alias("risk_flags")))
 
 
 Rule = Callable[[DataFrame], DataFrame]
@@ -227,40 +240,94 @@ def rule(factors: DataFrame, name: str, params: dict | None = None, version: str
     return run_strategies(factors, [name], params, version)
 
 
-def loosest(low: dict, high: dict, branches: set[str]) -> Params:
-    """Parameters under which a rule holds wherever one of its versions does: the least lower bound, the greatest upper bound.
-    Bounds of a fall are lower bounds by meaning; a switch that one version leaves off is off."""
-    branch = next(iter(branches)) if len(branches) == 1 else ""
-
-    def value(k: str) -> Column:
-        if k == "branch":
-            return F.lit(branch)
-        upper = k.startswith("max_") and not k.startswith("max_down_")
-        return F.lit((high if upper else low)[f"p_{k}"]).cast("double")
-
-    return value
+#: Versions in a word of a bitmap.
+BITS = 62
+
+
+def _used(x: Column) -> tuple[str, ...]:
+    """Parameters that a traced expression names."""
+    return tuple(sorted(set(re.findall(r"\bparam_(\w+)", str(x)))))
+
+
+def _values(r: dict) -> Params:
+    """Parameters of a version as literals."""
+    return lambda k: F.lit(r[k]) if k == "branch" else F.lit(r[k]).cast("double")
+
+
+def _tuples(traced: list[Column], rows: list[dict]) -> list[dict[tuple, list[int]]]:
+    """Per expression the versions by the values of the parameters it names."""
+    out: list[dict[tuple, list[int]]] = []
+    for x in traced:
+        keys, by = _used(x), {}
+        for i, r in enumerate(rows):
+            by.setdefault(tuple(r[k] for k in keys), []).append(i)
+        out.append(by)
+    return out
+
+
+def _rule_hits(columns: list[str], name: str, rows: list[dict]) -> tuple[Column, list[int]]:
+    """A struct of the versions of a rule that hold on a row, null if none does, and which of its flag texts each version takes.
+
+    Every condition is evaluated once per distinct set of the parameter values it depends on, and yields the bitmap of the versions
+    with these values; the versions that hold are the conjunction of the conditions' bitmaps."""
+    trace: Params = lambda k: c(f"param_{k}")
+    by_condition = _tuples(_conditions(columns, name, trace), rows)
+    built: dict[int, list[Column]] = {}
+    words = -(-len(rows) // BITS)
+    bitmaps: list[Column | None] = [None] * words
+    for at, by in enumerate(by_condition):
+        parts: list[Column | None] = [None] * words
+        for members in by.values():
+            first = next((i for i in members if i in built), members[0])
+            if first not in built:
+                built[first] = _conditions(columns, name, _values(rows[first]))
+            met = holds(built[first][at])
+            for w in range(words):
+                mask = sum(1 << (i % BITS) for i in members if i // BITS == w)
+                if mask:
+                    bits = F.when(met, F.lit(mask).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+                    parts[w] = bits if parts[w] is None else parts[w].bitwiseOR(bits)
+        for w in range(words):
+            bitmaps[w] = parts[w] if bitmaps[w] is None else bitmaps[w].bitwiseAND(parts[w])
+    build, group, _, reason = RULES[name]
+    _, strength, marks = build(trace)
+    if _used(strength):
+        raise ValueError(f"the strength of {name} depends on parameters")
+    strength, gate = gated(columns, group, strength)
+    (by_text,) = _tuples([F.array(*[m for m, _ in marks])], rows)
+    texts, which = [], [0] * len(rows)
+    for n, members in enumerate(by_text.values()):
+        texts.append(_text(build(_values(rows[members[0]]))[2], gate))
+        for i in members:
+            which[i] = n
+    hit = F.struct(F.lit(name).alias("strategy_name"), F.array(*bitmaps).alias("bits"), strength.alias("signal_strength"), F.lit(reason).alias("entry_reason"), F.array(*texts).alias("texts"))
+    return F.when(reduce(lambda a, b: a | b, [x != 0 for x in bitmaps]), hit), which
+
+
+def version_hits(factors: DataFrame, versions: DataFrame, names: list[str] | None = None, keep: tuple[str, ...] = ("trade_date", "code")) -> tuple[DataFrame, DataFrame]:
+    """One row per factor row and rule of which some version holds, with the bitmap of these versions, and the table that says which
+    bit is which version.  The version table is a driver-built list of a few hundred rows."""
+    names = [n for n in names or list(RULES) if n in RULES]
+    rows = [{k.removeprefix("p_"): v for k, v in r.asDict().items()} for r in versions.where(c("strategy_name").isin(*names)).collect()]
+    hits, bits = [], []
+    for n in names:
+        own = [r for r in rows if r["strategy_name"] == n]
+        if own:
+            hit, which = _rule_hits(factors.columns, n, own)
+            hits.append(hit)
+            bits += [(n, r["strategy_version"], i // BITS, 1 << (i % BITS), t) for i, (r, t) in enumerate(zip(own, which))]
+    table = factors.sparkSession.createDataFrame(bits, "strategy_name string, strategy_version string, word int, mask bigint, text int")
+    if not hits:
+        none = F.array().cast("array<struct<strategy_name:string,bits:array<bigint>,signal_strength:double,entry_reason:string,texts:array<string>>>")
+        return factors.select(*keep, F.explode(none).alias("s")).select(*keep, "s.*"), table
+    return factors.select(*keep, F.explode(F.array_compact(F.array(*hits))).alias("s")).select(*keep, "s.*"), table
 
 
 def all_versions(factors: DataFrame, versions: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Signals of every version on every date in one scan of the factors.
-
-    A row first meets each rule once, with the loosest bounds of that rule's versions; only rows that pass meet the versions of
-    the rule, by a broadcast join on its name.  The version table is a driver-built list of a few hundred rows."""
-    names = [n for n in names or list(RULES) if n in RULES]
-    own = versions.where(c("strategy_name").isin(*names))
-    params = [k for k in own.columns if k.startswith("p_")]
-    bounds = own.groupBy("strategy_name").agg(F.collect_set("branch").alias("branches"), F.struct(*[F.min(k).alias(k) for k in params]).alias("low"), F.struct(*[F.max(k).alias(k) for k in params]).alias("high")).collect()
-
-    def may_hold(r) -> Column:
-        name, board = r["strategy_name"], RULES[r["strategy_name"]][2]
-        keep, _, _ = RULES[name][0](loosest(r["low"].asDict(), r["high"].asDict(), set(r["branches"])))
-        return F.when(holds(keep & main_board(factors.columns)) if board else holds(keep), F.lit(name))
-
-    rules = F.array_compact(F.array(*map(may_hold, bounds))) if bounds else F.array().cast("array<string>")
-    get = lambda k: c("branch") if k == "branch" else c(f"p_{k}")
-    met = factors.withColumn("_rule", F.explode(rules)).join(F.broadcast(own.withColumnRenamed("strategy_name", "_rule")), "_rule")
-    signal = F.coalesce(*[F.when(c("_rule") == n, _signal(factors.columns, n, get, c("strategy_version"))) for n in names])
-    return met.select("trade_date", "code", signal.alias("s")).where("s is not null").select("trade_date", "code", "s.*")
+    """Signals of every version on every date in one scan of the factors: bitmaps of the versions that hold, then one row per bit."""
+    hits, table = version_hits(factors, versions, names)
+    met = hits.join(F.broadcast(table), "strategy_name").where(F.get("bits", c("word")).bitwiseAND(c("mask")) != 0)
+    return met.select("trade_date", "code", "strategy_name", "strategy_version", "signal_strength", "entry_reason", F.get("texts", c("text")).alias("risk_flags"))
 
 
 def latest_slice(df: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from tapeloom.llm.bagminhash import _small as few
 from tapeloom.llm.common import numbered, spread_join, stored, sub_groups, table
 
 MARK = "[SECRET]"
+#: Spans of up to so many bytes are told to all tasks; beyond, rows meet them by a shuffle in which no text that many rows share goes to one task.
+TOLD = 32 << 20
 
 
 def whole(docs: DataFrame) -> DataFrame:
@@ -79,7 +81,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     findings, _ = secrets.scan_versions(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
     spans = F.concat(*secrets.RULES)
     hits = stored(findings.where(F.size(spans) > 0).select("blob", _merged(spans).alias("spans")).dropDuplicates(["blob"]))
-    joined = whole(docs).join(hits, secrets.blob_of(F.col("row.text")) == F.col("blob"), "left")
+    size = hits.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    rows = whole(docs).withColumn("blob", secrets.blob_of(F.col("row.text")))
+    if 64 * size[0] + 16 * size[1] <= TOLD:
+        joined = rows.join(F.broadcast(hits), "blob", "left")
+    else:
+        joined = spread_join(rows, hits, "blob", "left")
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(_masked(F.col("row.text"), F.col("spans")))
     made = {"text": text}
     if "n_chars" in docs.columns:

@@ -2,42 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.operators import backtest, candidates, factors, ledger, research, signals, versions
 from tapeloom.oracles import OVERRIDES
-from tapeloom.sources.adapters import view
+from tapeloom.sources import store
+from tapeloom.sources.adapters import VIEWS, view
 
 SPLIT, AS_OF = "1996-01-01", "1997-06-20"
 
 
 class Market:
-    """Every attribute is a lazy plan.  With *keep*, tables that many queries start from are persisted (memory, then disk)
-    when first computed; they can be recomputed from their lineage."""
+    """Every attribute is a plan on the ones before it.  With *keep*, tables that others start from are stored when first asked for and
+    read back, which cuts lineage and survives lost executors; bars and money flow are stored in buckets by code, so windows over
+    a code and joins by date and code need no exchange of them."""
 
-    KEPT = ("bars", "enriched", "signals", "results", "evaluation", "named_signals", "named_evaluation", "validation", "default_validation", "signal_pool", "plans", "plan_results", "review", "performance")
+    KEPT = ("enriched", "regime", "signals", "results", "evaluation", "named_signals", "named_evaluation", "validation", "default_validation", "signal_pool", "plans", "plan_results", "review", "performance")
+    LANDED = {"bars": "code", "moneyflow": "code", "stock_basic": None, "actual_trades": None}
 
     def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False) -> None:
-        self.spark, self.sf_dir, self.keep, self.kept = spark, sf_dir, keep, []
+        self.spark, self.sf_dir, self.keep, self.kept = spark, sf_dir, keep, {}
 
     def __getattribute__(self, name: str):
         value = object.__getattribute__(self, name)
-        if name in Market.KEPT and self.keep and not value.is_cached:
-            value.persist(StorageLevel.MEMORY_AND_DISK)
-            self.kept.append(value)
-        return value
+        return self._stored(name, lambda: value) if name in Market.KEPT and self.keep else value
+
+    def _stored(self, name: str, build: Callable[[], DataFrame], key: str | None = None) -> DataFrame:
+        if name not in self.kept:
+            path, df = store.scratch(self.spark), build()
+            if key:
+                self.kept[name] = path, store.bucketed(df, path, key)
+            else:
+                df.write.parquet(path)
+                self.kept[name] = path, self.spark.read.schema(df.schema).parquet(path)
+        return self.kept[name][1]
 
     def release(self) -> None:
-        for df in self.kept:
-            df.unpersist()
+        """Remove what is stored; plans made before cannot run any more."""
+        for path, _ in self.kept.values():
+            store.remove(self.spark.sparkContext, path)
         self.kept.clear()
+        for name in [k for k in self.__dict__ if isinstance(getattr(Market, k, None), cached_property)]:
+            del self.__dict__[name]
 
     def table(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        if not self.keep or name not in VIEWS or name == "px":
+            return view(self.spark, self.sf_dir, name)
+        build = lambda: view(self.spark, self.sf_dir, name, self.table)
+        return self._stored(name, build, Market.LANDED[name]) if name in Market.LANDED else build()
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -170,7 +186,7 @@ _latest: dict[tuple[str, str], tuple[tuple, Market]] = {}
 
 
 def shared(spark: SparkSession, sf_dir: str) -> Market:
-    """One Market per application and data set, so that queries run one after another share kept tables.  Another data set, or
+    """One Market per application and data set, so that queries run one after another share stored tables.  Another data set, or
     other files in it, releases the one before."""
     key, now = (spark.sparkContext.applicationId, sf_dir), state(spark, sf_dir)
     if key not in _latest or _latest[key][0] != now:

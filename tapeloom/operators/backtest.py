@@ -93,31 +93,46 @@ def bars_for_plans(bars: DataFrame, plans: DataFrame) -> DataFrame:
     return bars.join(plans.select("code").distinct(), "code", "left_semi")
 
 
+#: What decides a plan's entry and its first stop or target; plans that agree in it differ in their holding days alone.
+TERMS = ["trade_date", "code", "action", "entry_low", "entry_high", "stop_loss", "take_profit_1", "take_profit_2"]
+
+
 def plan_backtest(plans: DataFrame, bars: DataFrame) -> DataFrame:
     """Entry on the bar after the plan if its range is touched; the first stop or target, else the last bar of the window.
 
-    Bars are numbered per code; a triggered plan is exploded to its window's row numbers and equi-joined with the bars.
+    Plans of the same terms are followed once, over their longest window: bars are numbered per code, the window's numbers are joined with
+    them, and running extremes and the first hit stream over its bars.  Each plan then reads the one row at which it ends.
     plans need a key column plan_id and max_holding_days."""
     whole = bars.where("open is not null and high is not null and low is not null and close is not null").withColumn("rn", F.row_number().over(by_code()))
-    df = next_bar(plans, whole, ["open", "high", "low", "rn"])
+    terms = plans.groupBy(F.struct(*TERMS).alias("_terms")).agg(F.min("plan_id").alias("_lead"), F.max("max_holding_days").alias("_days"))
+    df = next_bar(terms.select("_terms.*", "_terms", "_lead", "_days"), whole, ["open", "high", "low", "rn"])
     low, high, op = c("bar.low"), c("bar.high"), c("bar.open")
     watch = (c("action") == "watch") | c("entry_low").isNull() | c("entry_high").isNull()
     reason = F.when(watch, "watch_only_or_no_entry_range").when(c("bar").isNull(), "no_next_trading_day").when(low > c("entry_high"), "gap_above_entry_range").when(high < c("entry_low"), "not_reach_entry_range").otherwise("")
     entry = F.when(op.between(c("entry_low"), c("entry_high")), op).when(op < c("entry_low"), c("entry_low")).otherwise(c("entry_high"))
     df = df.withColumns({"invalid_reason": reason, "is_triggered": reason == "", "entry_date": F.when(~watch, c("bar.trade_date")), "entry_price": F.when(reason == "", entry)})
-    held = df.where("is_triggered").select("plan_id", "code", "entry_price", "stop_loss", "take_profit_1", "take_profit_2", c("bar.rn").alias("first"), F.explode(F.sequence(c("bar.rn"), c("bar.rn") + c("max_holding_days") - 1)).alias("rn"))
+
+    held = df.where("is_triggered").select("_lead", "code", "stop_loss", "take_profit_1", "take_profit_2", c("bar.rn").alias("first"), F.explode(F.sequence(c("bar.rn"), c("bar.rn") + c("_days") - 1)).alias("rn"))
     held = held.join(whole.select("code", "rn", c("trade_date").alias("d"), "high", "low", "close"), ["code", "rn"])
     hit = F.when(holds(c("low") <= c("stop_loss")), "stop_loss").when(holds(c("high") >= c("take_profit_2")), "take_profit_2").when(holds(c("high") >= c("take_profit_1")), "take_profit_1")
-    held = held.withColumn("hit", hit)
-    at = F.coalesce(F.min(F.when(c("hit").isNotNull(), c("rn"))), F.max("rn"))
-    exits = held.groupBy("plan_id").agg(at.alias("exit_rn"), F.array_sort(F.collect_list(F.struct("rn", "d", "low", "high", "close", "hit"))).alias("w"))
-    kept = F.filter("w", lambda x: x["rn"] <= c("exit_rn"))
-    exits = exits.withColumn("w", kept).withColumn("last", F.element_at("w", -1))
-    exits = exits.select("plan_id", F.size("w").alias("holding_days"), c("last.d").alias("exit_date"), F.coalesce("last.hit", F.lit("time_exit")).alias("exit_reason"), c("last.close").alias("_close"), F.array_min(F.transform("w", lambda x: x["low"])).alias("_low"), F.array_max(F.transform("w", lambda x: x["high"])).alias("_high"))
-    df = df.join(exits, "plan_id", "left")
-    out_price = F.when(c("exit_reason") == "stop_loss", c("stop_loss")).when(c("exit_reason") == "take_profit_2", c("take_profit_2")).when(c("exit_reason") == "take_profit_1", c("take_profit_1")).otherwise(c("_close"))
+    so_far = Window.partitionBy("_lead").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("hit", hit).withColumns({"low_": F.min("low").over(so_far), "high_": F.max("high").over(so_far), "hits": F.count("hit").over(so_far)})
+    # Up to the first hit: a window ends at the last of these rows that it reaches.
+    held = held.where((c("hits") == 0) | (c("hits") == 1) & c("hit").isNotNull()).withColumn("n", (c("rn") - c("first") + 1).cast("int"))
+    last = F.max("n").over(Window.partitionBy("_lead"))
+    held = held.withColumn("last", last).select(c("_lead").alias("_path"), "n", "last", F.struct(c("d").alias("exit_date"), "hit", "close", "low_", "high_").alias("x"))
+
+    ends = held.groupBy("_path").agg(F.max("last").alias("last"))
+    df = plans.withColumn("_terms", F.struct(*TERMS)).join(df.select("_terms", "_lead", "invalid_reason", "is_triggered", "entry_date", "entry_price"), "_terms", "left")
+    df = df.join(ends, c("_lead") == c("_path"), "left").drop("_path").withColumn("holding_days", F.when(c("last").isNotNull(), F.least("last", c("max_holding_days"))).cast("int"))
+    df = df.join(held.select("_path", "n", "x"), (c("_lead") == c("_path")) & (c("holding_days") == c("n")), "left")
+    df = df.withColumns({"exit_date": c("x.exit_date"), "exit_reason": F.when(c("holding_days").isNotNull(), F.coalesce("x.hit", F.lit("time_exit")))})
+    out_price = F.when(c("exit_reason") == "stop_loss", c("stop_loss")).when(c("exit_reason") == "take_profit_2", c("take_profit_2")).when(c("exit_reason") == "take_profit_1", c("take_profit_1")).otherwise(c("x.close"))
     rel = lambda x: F.try_divide(x, c("entry_price")) - 1
-    return df.withColumns({"exit_price": F.when(c("is_triggered"), out_price), "is_valid": c("is_triggered") & c("holding_days").isNotNull()}).withColumns({"return_pct": rel(c("exit_price")), "max_drawdown": rel(c("_low")), "max_favorable": rel(c("_high"))}).drop("bar", "_close", "_low", "_high")
+    df = df.withColumns({"exit_price": F.when(c("is_triggered"), out_price), "is_valid": c("is_triggered") & c("holding_days").isNotNull()})
+    df = df.withColumns({"return_pct": rel(c("exit_price")), "max_drawdown": rel(c("x.low_")), "max_favorable": rel(c("x.high_"))})
+    new = ["invalid_reason", "is_triggered", "entry_date", "entry_price", "holding_days", "exit_date", "exit_reason", "exit_price", "is_valid", "return_pct", "max_drawdown", "max_favorable"]
+    return df.select(*plans.columns, *new)
 
 
 def plan_performance(results: DataFrame, keys: tuple[str, ...] = ("strategy_names", "strategy_versions", "action", "max_holding_days")) -> DataFrame:

@@ -61,73 +61,73 @@ def _relative() -> Column:
 
 
 def _trend_pullback(p: Params):
-    keep = [_needs(p, 5), _needs(p, 10), (c("pct_chg_5d") > p("min_pct_chg_5d")), (c("pct_chg_1d") < p("max_pct_chg_1d")), (c("close_position_20") >= p("min_close_position_20")), (c("volume_ratio_5") >= p("min_volume_ratio_5"))]
-    strength = c("pct_chg_5d") * 100 + c("close_position_20") * 20 + clip(c("volume_ratio_5"), high=3) * 5
-    return keep, strength, [(c("close_position_20") > 0.9, "near_20d_high"), (c("pct_chg_1d") > 0.05, "short_term_chase_risk")]
+    keep = [lambda: _needs(p, 5), lambda: _needs(p, 10), lambda: (c("pct_chg_5d") > p("min_pct_chg_5d")), lambda: (c("pct_chg_1d") < p("max_pct_chg_1d")), lambda: (c("close_position_20") >= p("min_close_position_20")), lambda: (c("volume_ratio_5") >= p("min_volume_ratio_5"))]
+    strength = lambda: c("pct_chg_5d") * 100 + c("close_position_20") * 20 + clip(c("volume_ratio_5"), high=3) * 5
+    return keep, strength, lambda: [(c("close_position_20") > 0.9, "near_20d_high"), (c("pct_chg_1d") > 0.05, "short_term_chase_risk")]
 
 
 def _breakout_volume(p: Params):
-    keep = [_needs(p, 5), (c("pct_chg_5d") > p("min_pct_chg_5d")), (c("volume_ratio_5") >= p("min_volume_ratio_5")), (c("close_position_20") >= p("min_close_position_20")), (c("pct_chg_1d") < p("max_pct_chg_1d"))]
-    strength = c("pct_chg_5d") * 120 + clip(c("volume_ratio_5"), high=3) * 8 + c("close_position_20") * 20
-    return keep, strength, [(c("pct_chg_1d") > 0.07, "near_limit_chase_risk"), (c("close_position_20") > 0.95, "extended_position")]
+    keep = [lambda: _needs(p, 5), lambda: (c("pct_chg_5d") > p("min_pct_chg_5d")), lambda: (c("volume_ratio_5") >= p("min_volume_ratio_5")), lambda: (c("close_position_20") >= p("min_close_position_20")), lambda: (c("pct_chg_1d") < p("max_pct_chg_1d"))]
+    strength = lambda: c("pct_chg_5d") * 120 + clip(c("volume_ratio_5"), high=3) * 8 + c("close_position_20") * 20
+    return keep, strength, lambda: [(c("pct_chg_1d") > 0.07, "near_limit_chase_risk"), (c("close_position_20") > 0.95, "extended_position")]
 
 
 def _support_rebound(p: Params):
-    keep = [_needs(p, 20), (c("pct_chg_1d") > p("min_pct_chg_1d")), (c("pct_chg_1d") < p("max_pct_chg_1d")), c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20")), (c("amount_ma5") > p("min_amount_ma5"))]
-    strength = F.abs("pct_chg_1d") * 80 + c("close_position_20") * 10 + clip(c("volume_ratio_5"), high=2) * 5
-    return keep, strength, [(c("pct_chg_3d") < -0.06, "short_term_weakness"), (c("volume_ratio_5") > 2.5, "panic_volume_possible")]
+    keep = [lambda: _needs(p, 20), lambda: (c("pct_chg_1d") > p("min_pct_chg_1d")), lambda: (c("pct_chg_1d") < p("max_pct_chg_1d")), lambda: c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20")), lambda: (c("amount_ma5") > p("min_amount_ma5"))]
+    strength = lambda: F.abs("pct_chg_1d") * 80 + c("close_position_20") * 10 + clip(c("volume_ratio_5"), high=2) * 5
+    return keep, strength, lambda: [(c("pct_chg_3d") < -0.06, "short_term_weakness"), (c("volume_ratio_5") > 2.5, "panic_volume_possible")]
 
 
 def _industry_rotation(p: Params):
-    strong = holds(c("industry_strength_score") >= p("min_industry_strength_score")) | holds(F.lower("industry_strength_level") == "strong")
-    keep = [tradable(p), strong, (c("industry_return_3d") >= p("min_industry_return_3d")), (c("industry_return_5d") >= p("min_industry_return_5d")), (c("industry_amount_ratio_5") >= p("min_industry_amount_ratio_5")), (c("pct_chg_5d") >= p("min_pct_chg_5d")), (c("close_position_20") >= p("min_close_position_20")), (zero("moneyflow_score") >= p("min_moneyflow_score"))]
-    calm = (c("pct_chg_3d") <= p("max_pct_chg_3d")) & (c("pct_chg_5d") <= p("max_pct_chg_5d")) & (c("close_position_20") <= p("max_close_position_20"))
-    keep += [_branch(p, "v2_no_overheat", calm), _branch(p, "v3_industry_leader", _relative() >= p("min_relative_strength_5d"))]
-    strength = clip(zero("industry_strength_score"), high=100) * 0.45 + zero("industry_return_5d") * 300 + zero("pct_chg_5d") * 120 + clip(zero("moneyflow_score"), -10, 30) * 0.5 + clip(zero(_relative()), low=0) * 120
-    return keep, strength, [(c("close_position_20") > 0.9, "near_20d_high"), (c("pct_chg_3d") > 0.10, "short_term_overheat"), (zero("moneyflow_score") < 0, "moneyflow_not_confirmed")]
+    strong = lambda: holds(c("industry_strength_score") >= p("min_industry_strength_score")) | holds(F.lower("industry_strength_level") == "strong")
+    keep = [lambda: tradable(p), lambda: strong(), lambda: (c("industry_return_3d") >= p("min_industry_return_3d")), lambda: (c("industry_return_5d") >= p("min_industry_return_5d")), lambda: (c("industry_amount_ratio_5") >= p("min_industry_amount_ratio_5")), lambda: (c("pct_chg_5d") >= p("min_pct_chg_5d")), lambda: (c("close_position_20") >= p("min_close_position_20")), lambda: (zero("moneyflow_score") >= p("min_moneyflow_score"))]
+    calm = lambda: (c("pct_chg_3d") <= p("max_pct_chg_3d")) & (c("pct_chg_5d") <= p("max_pct_chg_5d")) & (c("close_position_20") <= p("max_close_position_20"))
+    keep += [lambda: _branch(p, "v2_no_overheat", calm()), lambda: _branch(p, "v3_industry_leader", _relative() >= p("min_relative_strength_5d"))]
+    strength = lambda: clip(zero("industry_strength_score"), high=100) * 0.45 + zero("industry_return_5d") * 300 + zero("pct_chg_5d") * 120 + clip(zero("moneyflow_score"), -10, 30) * 0.5 + clip(zero(_relative()), low=0) * 120
+    return keep, strength, lambda: [(c("close_position_20") > 0.9, "near_20d_high"), (c("pct_chg_3d") > 0.10, "short_term_overheat"), (zero("moneyflow_score") < 0, "moneyflow_not_confirmed")]
 
 
 def _moneyflow_accumulation(p: Params):
     ratio, turnover = c("main_net_amount_ratio"), c("turnover_rate")
-    keep = [tradable(p), (c("moneyflow_score") >= p("min_moneyflow_score")), (c("pct_chg_1d") <= p("max_pct_chg_1d")), (c("pct_chg_3d") <= p("max_pct_chg_3d")), c("pct_chg_5d").between(p("min_pct_chg_5d"), p("max_pct_chg_5d"))]
-    keep += [_branch(p, "v1_main_inflow", (c("main_net_amount") > 0) & (ratio >= p("min_main_net_amount_ratio")))]
-    keep += [_branch(p, "v2_big_order_confirm", (c("big_net_amount") > 0) & (c("net_mf_amount") > 0) & (c("main_net_amount") >= 0))]
-    keep += [_branch(p, "v3_price_not_chased", (ratio >= p("min_main_net_amount_ratio")) & F.coalesce(turnover <= p("max_turnover_rate"), F.lit(True)) & (c("pct_chg_1d") >= p("min_pct_chg_1d")))]
-    strength = clip(zero("moneyflow_score"), high=40) * 1.2 + clip(zero(ratio), 0, 12) * 2 + (zero("big_net_amount") > 0).cast("double") * 6 - clip(zero("pct_chg_5d"), low=0) * 80
-    return keep, strength, [(c("pct_chg_5d") > 0.08, "price_chase_risk"), (zero(turnover) > p("max_turnover_rate"), "high_turnover"), (zero(ratio) < 0, "main_outflow")]
+    keep = [lambda: tradable(p), lambda: (c("moneyflow_score") >= p("min_moneyflow_score")), lambda: (c("pct_chg_1d") <= p("max_pct_chg_1d")), lambda: (c("pct_chg_3d") <= p("max_pct_chg_3d")), lambda: c("pct_chg_5d").between(p("min_pct_chg_5d"), p("max_pct_chg_5d"))]
+    keep += [lambda: _branch(p, "v1_main_inflow", (c("main_net_amount") > 0) & (ratio >= p("min_main_net_amount_ratio")))]
+    keep += [lambda: _branch(p, "v2_big_order_confirm", (c("big_net_amount") > 0) & (c("net_mf_amount") > 0) & (c("main_net_amount") >= 0))]
+    keep += [lambda: _branch(p, "v3_price_not_chased", (ratio >= p("min_main_net_amount_ratio")) & F.coalesce(turnover <= p("max_turnover_rate"), F.lit(True)) & (c("pct_chg_1d") >= p("min_pct_chg_1d")))]
+    strength = lambda: clip(zero("moneyflow_score"), high=40) * 1.2 + clip(zero(ratio), 0, 12) * 2 + (zero("big_net_amount") > 0).cast("double") * 6 - clip(zero("pct_chg_5d"), low=0) * 80
+    return keep, strength, lambda: [(c("pct_chg_5d") > 0.08, "price_chase_risk"), (zero(turnover) > p("max_turnover_rate"), "high_turnover"), (zero(ratio) < 0, "main_outflow")]
 
 
 def _low_vol_trend(p: Params):
-    keep = [tradable(p), _needs(p, 5), _needs(p, 10), _needs(p, 20), c("pct_chg_5d").between(p("min_pct_chg_5d"), p("max_pct_chg_5d")), (F.abs("pct_chg_3d") <= p("max_abs_pct_chg_3d")), (F.abs("pct_chg_1d") <= p("max_abs_pct_chg_1d")), c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20")), c("volume_ratio_5").between(p("min_volume_ratio_5"), p("max_volume_ratio_5"))]
-    steady = F.coalesce(c("turnover_rate").between(p("min_turnover_rate"), p("max_turnover_rate")), F.lit(True))
-    keep += [_branch(p, "v2_low_chase", c("pct_chg_1d") <= p("max_pct_chg_1d")), _branch(p, "v3_steady_volume", steady)]
-    strength = zero("pct_chg_5d") * 100 + zero("close_position_20") * 18 + clip(2 - F.abs(F.coalesce("volume_ratio_5", F.lit(1.0)) - 1), low=0) * 6 + _count("above_ma5", "above_ma10", "above_ma20") * 3
-    return keep, strength, [(c("close_position_20") > 0.85, "near_20d_high"), (c("volume_ratio_5") > 1.8, "volume_expansion")]
+    keep = [lambda: tradable(p), lambda: _needs(p, 5), lambda: _needs(p, 10), lambda: _needs(p, 20), lambda: c("pct_chg_5d").between(p("min_pct_chg_5d"), p("max_pct_chg_5d")), lambda: (F.abs("pct_chg_3d") <= p("max_abs_pct_chg_3d")), lambda: (F.abs("pct_chg_1d") <= p("max_abs_pct_chg_1d")), lambda: c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20")), lambda: c("volume_ratio_5").between(p("min_volume_ratio_5"), p("max_volume_ratio_5"))]
+    steady = lambda: F.coalesce(c("turnover_rate").between(p("min_turnover_rate"), p("max_turnover_rate")), F.lit(True))
+    keep += [lambda: _branch(p, "v2_low_chase", c("pct_chg_1d") <= p("max_pct_chg_1d")), lambda: _branch(p, "v3_steady_volume", steady())]
+    strength = lambda: zero("pct_chg_5d") * 100 + zero("close_position_20") * 18 + clip(2 - F.abs(F.coalesce("volume_ratio_5", F.lit(1.0)) - 1), low=0) * 6 + _count("above_ma5", "above_ma10", "above_ma20") * 3
+    return keep, strength, lambda: [(c("close_position_20") > 0.85, "near_20d_high"), (c("volume_ratio_5") > 1.8, "volume_expansion")]
 
 
 def _oversold_rebound(p: Params):
-    keep = [tradable(p, drop_downtrend=True), c("pct_chg_3d").between(p("min_pct_chg_3d"), p("max_pct_chg_3d")), (c("pct_chg_5d") >= p("min_pct_chg_5d")), (c("pct_chg_10d") >= p("min_pct_chg_10d")), c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20"))]
-    keep += [_branch(p, "v2_moneyflow_repair", c("moneyflow_score") >= p("min_moneyflow_score")), _branch(p, "v3_industry_repair", c("industry_strength_score") >= p("min_industry_strength_score"))]
-    strength = F.abs("pct_chg_3d") * 120 + clip(1 - zero("close_position_20"), low=0) * 12 + clip(zero("moneyflow_score"), -10, 25) * 0.7 + clip(zero("industry_strength_score"), high=100) * 0.2
-    return keep, strength, [(c("pct_chg_5d") < -0.12, "short_term_weakness"), (c("pct_chg_10d") < -0.20, "medium_term_weakness"), (zero("moneyflow_score") < 0, "moneyflow_not_confirmed")]
+    keep = [lambda: tradable(p, drop_downtrend=True), lambda: c("pct_chg_3d").between(p("min_pct_chg_3d"), p("max_pct_chg_3d")), lambda: (c("pct_chg_5d") >= p("min_pct_chg_5d")), lambda: (c("pct_chg_10d") >= p("min_pct_chg_10d")), lambda: c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20"))]
+    keep += [lambda: _branch(p, "v2_moneyflow_repair", c("moneyflow_score") >= p("min_moneyflow_score")), lambda: _branch(p, "v3_industry_repair", c("industry_strength_score") >= p("min_industry_strength_score"))]
+    strength = lambda: F.abs("pct_chg_3d") * 120 + clip(1 - zero("close_position_20"), low=0) * 12 + clip(zero("moneyflow_score"), -10, 25) * 0.7 + clip(zero("industry_strength_score"), high=100) * 0.2
+    return keep, strength, lambda: [(c("pct_chg_5d") < -0.12, "short_term_weakness"), (c("pct_chg_10d") < -0.20, "medium_term_weakness"), (zero("moneyflow_score") < 0, "moneyflow_not_confirmed")]
 
 
 def _volume_dryup_breakout(p: Params):
     today = F.coalesce("volume_ratio_daily_basic", "volume_ratio_5")
-    keep = [tradable(p), _needs(p, 5), _needs(p, 10), c("volume_ratio_5").between(p("min_volume_ratio_5"), p("max_volume_ratio_5")), today.between(p("min_volume_ratio_daily_basic"), p("max_volume_ratio_daily_basic")), c("pct_chg_1d").between(p("min_pct_chg_1d"), p("max_pct_chg_1d")), (c("pct_chg_3d") <= p("max_pct_chg_3d")), (c("close_position_20") >= p("min_close_position_20"))]
-    keep += [_branch(p, "v2_breakout_confirm", c("close_position_20") >= p("confirm_min_close_position_20"))]
-    strength = zero("pct_chg_1d") * 150 + zero("close_position_20") * 20 + clip(zero("volume_ratio_5"), high=2.5) * 8 + _count("above_ma5", "above_ma10") * 4
-    return keep, strength, [(c("pct_chg_1d") > 0.06, "short_term_chase_risk"), (c("volume_ratio_5") > 2.0, "volume_spike"), (c("close_position_20") > 0.92, "near_20d_high")]
+    keep = [lambda: tradable(p), lambda: _needs(p, 5), lambda: _needs(p, 10), lambda: c("volume_ratio_5").between(p("min_volume_ratio_5"), p("max_volume_ratio_5")), lambda: today.between(p("min_volume_ratio_daily_basic"), p("max_volume_ratio_daily_basic")), lambda: c("pct_chg_1d").between(p("min_pct_chg_1d"), p("max_pct_chg_1d")), lambda: (c("pct_chg_3d") <= p("max_pct_chg_3d")), lambda: (c("close_position_20") >= p("min_close_position_20"))]
+    keep += [lambda: _branch(p, "v2_breakout_confirm", c("close_position_20") >= p("confirm_min_close_position_20"))]
+    strength = lambda: zero("pct_chg_1d") * 150 + zero("close_position_20") * 20 + clip(zero("volume_ratio_5"), high=2.5) * 8 + _count("above_ma5", "above_ma10") * 4
+    return keep, strength, lambda: [(c("pct_chg_1d") > 0.06, "short_term_chase_risk"), (c("volume_ratio_5") > 2.0, "volume_spike"), (c("close_position_20") > 0.92, "near_20d_high")]
 
 
 def _relative_strength_pullback(p: Params):
-    keep = [tradable(p), _needs(p, 10), _needs(p, 20), (_relative() >= p("min_relative_strength_5d")), (c("pct_chg_10d") >= p("min_pct_chg_10d")), c("pct_chg_5d").between(p("min_pct_chg_5d"), p("max_pct_chg_5d")), c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20"))]
-    keep += [_branch(p, "v2_industry_strong_pullback", c("industry_strength_score") >= p("min_industry_strength_score")), _branch(p, "v3_moneyflow_confirm", c("moneyflow_score") >= p("min_moneyflow_score"))]
-    strength = clip(zero(_relative()), low=0) * 180 + clip(zero("pct_chg_10d"), low=0) * 90 + clip(zero("industry_strength_score"), high=100) * 0.25 + clip(zero("moneyflow_score"), -10, 30) * 0.4
-    return keep, strength, [(c("close_position_20") > 0.85, "near_20d_high"), (zero("moneyflow_score") < 0, "moneyflow_not_confirmed")]
+    keep = [lambda: tradable(p), lambda: _needs(p, 10), lambda: _needs(p, 20), lambda: (_relative() >= p("min_relative_strength_5d")), lambda: (c("pct_chg_10d") >= p("min_pct_chg_10d")), lambda: c("pct_chg_5d").between(p("min_pct_chg_5d"), p("max_pct_chg_5d")), lambda: c("close_position_20").between(p("min_close_position_20"), p("max_close_position_20"))]
+    keep += [lambda: _branch(p, "v2_industry_strong_pullback", c("industry_strength_score") >= p("min_industry_strength_score")), lambda: _branch(p, "v3_moneyflow_confirm", c("moneyflow_score") >= p("min_moneyflow_score"))]
+    strength = lambda: clip(zero(_relative()), low=0) * 180 + clip(zero("pct_chg_10d"), low=0) * 90 + clip(zero("industry_strength_score"), high=100) * 0.25 + clip(zero("moneyflow_score"), -10, 30) * 0.4
+    return keep, strength, lambda: [(c("close_position_20") > 0.85, "near_20d_high"), (zero("moneyflow_score") < 0, "moneyflow_not_confirmed")]
 
 
-#: Rule name: builder (conditions that all hold, strength, marks), gating group (none: regime plays no part), whether only the main board counts, entry reason.
+#: Rule name: builder (conditions that all hold, strength, marks; each built when called, so that versions build only what is new), gating group (none: regime plays no part), whether only the main board counts, entry reason.
 RULES: dict[str, tuple] = {
     "trend_pullback": (_trend_pullback, None, False, "uptrend above its short averages; watch for an entry on a pullback"),
     "breakout_volume": (_breakout_volume, None, False, "breakout on rising volume; watch for follow-through"),
@@ -179,9 +179,9 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, map(holds, conditions))
 
 
-def _conditions(columns: list[str], name: str, p: Params) -> list[Column]:
+def _conditions(columns: list[str], name: str, p: Params) -> list[Callable[[], Column]]:
     build, _, board, _ = RULES[name]
-    return [*build(p)[0], *([main_board(columns)] if board else [])]
+    return [*build(p)[0], *([lambda: main_board(columns)] if board else [])]
 
 
 def _text(marks: list, gate: Column) -> Column:
@@ -192,8 +192,8 @@ def _signal(columns: list[str], name: str, p: Params, version: Column) -> Column
     """The signal of a rule on a factor row as a struct, null where the rule does not hold."""
     build, group, _, reason = RULES[name]
     _, strength, marks = build(p)
-    strength, gate = gated(columns, group, strength)
-    return F.when(_all(_conditions(columns, name, p)), F.struct(F.lit(name).alias("strategy_name"), version.alias("strategy_version"), strength.alias("signal_strength"), F.lit(reason).alias("entry_reason"), _text(marks, gate).alias("risk_flags")))
+    strength, gate = gated(columns, group, strength())
+    return F.when(_all([x() for x in _conditions(columns, name, p)]), F.struct(F.lit(name).alias("strategy_name"), version.alias("strategy_version"), strength.alias("signal_strength"), F.lit(reason).alias("entry_reason"), _text(marks(), gate).alias("risk_flags")))
 
 
 Rule = Callable[[DataFrame], DataFrame]
@@ -271,17 +271,13 @@ def _rule_hits(columns: list[str], name: str, rows: list[dict]) -> tuple[Column,
     Every condition is evaluated once per distinct set of the parameter values it depends on, and yields the bitmap of the versions
     with these values; the versions that hold are the conjunction of the conditions' bitmaps."""
     trace: Params = lambda k: c(f"param_{k}")
-    by_condition = _tuples(_conditions(columns, name, trace), rows)
-    built: dict[int, list[Column]] = {}
+    by_condition = _tuples([x() for x in _conditions(columns, name, trace)], rows)
     words = -(-len(rows) // BITS)
     bitmaps: list[Column | None] = [None] * words
     for at, by in enumerate(by_condition):
         parts: list[Column | None] = [None] * words
         for members in by.values():
-            first = next((i for i in members if i in built), members[0])
-            if first not in built:
-                built[first] = _conditions(columns, name, _values(rows[first]))
-            met = holds(built[first][at])
+            met = holds(_conditions(columns, name, _values(rows[members[0]]))[at]())
             for w in range(words):
                 mask = sum(1 << (i % BITS) for i in members if i // BITS == w)
                 if mask:
@@ -291,13 +287,13 @@ def _rule_hits(columns: list[str], name: str, rows: list[dict]) -> tuple[Column,
             bitmaps[w] = parts[w] if bitmaps[w] is None else bitmaps[w].bitwiseAND(parts[w])
     build, group, _, reason = RULES[name]
     _, strength, marks = build(trace)
-    if _used(strength):
+    if _used(own := strength()):
         raise ValueError(f"the strength of {name} depends on parameters")
-    strength, gate = gated(columns, group, strength)
-    (by_text,) = _tuples([F.array(*[m for m, _ in marks])], rows)
+    strength, gate = gated(columns, group, own)
+    (by_text,) = _tuples([F.array(*[m for m, _ in marks()])], rows)
     texts, which = [], [0] * len(rows)
     for n, members in enumerate(by_text.values()):
-        texts.append(_text(build(_values(rows[members[0]]))[2], gate))
+        texts.append(_text(build(_values(rows[members[0]]))[2](), gate))
         for i in members:
             which[i] = n
     hit = F.struct(F.lit(name).alias("strategy_name"), F.array(*bitmaps).alias("bits"), strength.alias("signal_strength"), F.lit(reason).alias("entry_reason"), F.array(*texts).alias("texts"))

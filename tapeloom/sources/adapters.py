@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,12 +56,13 @@ FROM {bars} WHERE code NOT LIKE '%7'""",
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table or one of the derived market tables."""
+def view(spark: SparkSession, sf_dir: str, name: str, get: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """A base table or one of the derived market tables; *get* gives the tables that it is derived from."""
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    get = get or (lambda u: view(spark, sf_dir, u))
     used = set(re.findall(r"\{(\w+)\}", VIEWS[name]))
-    return spark.sql(VIEWS[name], **{u: view(spark, sf_dir, u) for u in used})
+    return spark.sql(VIEWS[name], **{u: get(u) for u in used})
 
 
 def ctes(sql: str) -> str:

@@ -65,7 +65,19 @@ def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.parquet(stage)
     staged = df.sparkSession.read.schema(df.schema).parquet(stage)
     staged.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-    _remove(df.sparkSession.sparkContext, stage)
+    remove(df.sparkSession.sparkContext, stage)
+
+
+def bucketed(df: DataFrame, path: str, key: str, buckets: int | None = None, part: str | None = None) -> DataFrame:
+    """Store *df* in buckets by *key*, by default as many as the session's shuffle partitions, and in folders by *part* if given, and
+    read it back: windows and aggregates by the key need no exchange, and two such tables join by it, or by it and more
+    columns, without one.  For the latter the session must not ask for all of a join's keys in a partitioning; this sets that."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    n, name = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), f"tapeloom_{uuid.uuid4().hex}"
+    out = df.repartition(n, key).write.option("path", path).bucketBy(n, key).sortBy(key)
+    (out.partitionBy(part) if part else out).saveAsTable(name)
+    return spark.table(name)
 
 
 def trading_dates(calendar: DataFrame | None, spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -99,11 +111,12 @@ def scratch(spark: SparkSession) -> str:
     own = f"{root.rstrip('/')}/tapeloom-core-{sc.applicationId}"
     if getattr(sc, "_tapeloom_scratch", None) != own:
         sc._tapeloom_scratch = own
-        atexit.register(_remove, sc, own)
+        atexit.register(remove, sc, own)
     return f"{own}/{uuid.uuid4().hex}"
 
 
-def _remove(sc: SparkContext, path: str) -> None:
+def remove(sc: SparkContext, path: str) -> None:
+    """Delete a folder, if the application still runs; what cannot be deleted stays."""
     if sc._jsc is None:
         return
     with contextlib.suppress(Py4JError, OSError):

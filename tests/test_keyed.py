@@ -156,3 +156,26 @@ def test_corrected_bars(spark, tmp_path):
     increment.refresh_factors(bars, table)
     columns = daily_factors(bars.read()).columns
     assert rows(table.read().select(*columns).na.fill(-1.0)) == rows(daily_factors(bars.read().select(*increment.BARS)).na.fill(-1.0))
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_path, monkeypatch):
+    from tapeloom.operators import factors
+    from tapeloom.sources import store
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        month = F.date_format("trade_date", "yyyy-MM").alias("month")
+        tables = {n: view(spark, SF, n) for n in ("bars", "daily_basic", "stock_limits", "suspend_daily", "moneyflow")}
+        held = {n: store.bucketed(df.select("*", month), str(tmp_path / n), "code", 4, "month") for n, df in tables.items()}
+        late = {n: df.where("month >= '1998-01'").drop("month") for n, df in held.items()}
+        joined = factors.enrich_factors(factors.daily_factors(late["bars"]), late["daily_basic"], late["stock_limits"], late["suspend_daily"], factors.moneyflow_factors(late["moneyflow"]))
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert plan.count("PartitionFilters: [isnotnull(month") >= 5
+        plain = {n: df.where("date_format(trade_date, 'yyyy-MM') >= '1998-01'") for n, df in tables.items()}
+        want = factors.enrich_factors(factors.daily_factors(plain["bars"]), plain["daily_basic"], plain["stock_limits"], plain["suspend_daily"], factors.moneyflow_factors(plain["moneyflow"]))
+        digest = lambda df: rows(df.select("trade_date", "code", F.round("close", 6), F.round("turnover_rate", 6), F.round("up_limit", 6), "is_suspended", F.round("moneyflow_score", 6)).na.fill(-1.0))
+        assert digest(joined) == digest(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

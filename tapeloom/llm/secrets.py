@@ -68,12 +68,13 @@ def blob_of(content: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(content, F.lit("")).cast("binary"), 256))
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: dict = RULES) -> tuple[DataFrame, DataFrame]:
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: dict = RULES, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """versions: path, content (one row per historical version).  Returns (findings, scanned).
 
     scanned: the ledger rows this run adds; append them to the stored ledger.  findings: path, blob and per kind its spans
     for every version, from old and new ledger rows.  Null content counts as empty, a null path is a path like others; equal
-    contents are scanned once; repeated rows repeat in findings; texts are searched whole; an empty table gives empty results.
+    contents are scanned once; repeated rows repeat in findings; texts are searched whole; an empty table gives empty results.  Up to
+    *few* unseen blobs are told to the texts by broadcast; with 0, texts go to them by one shuffle at every size.
     """
     spark = versions.sparkSession
     ship(spark)
@@ -87,7 +88,7 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: d
     else:
         todo = first.withColumn("kinds", F.array(*map(F.lit, rules)))
     todo = stored(todo.select(F.col("path").alias("_path"), F.col("blob").alias("_blob"), "kinds"))
-    if todo.count() <= FEW:
+    if few and todo.count() <= few:
         todo = F.broadcast(todo)
     content = F.coalesce(F.col("content"), F.lit(""))
     texts = versions.select("path", content.alias("content")).join(todo, F.col("path").eqNullSafe(F.col("_path")) & (blob_of(F.col("content")) == F.col("_blob")))

@@ -49,6 +49,7 @@ def extension_filters(df: DataFrame, drop_suspended: bool = True, drop_limit_up:
     return df
 
 
+# Fixed values of the functions below: weights of the score, points and levels.
 def score_candidates(df: DataFrame) -> DataFrame:
     above = sum(c(f"above_ma{n}").cast("double") for n in (5, 10, 20))
     return df.withColumn("score", zero("pct_chg_5d") * 100 + zero("pct_chg_10d") * 50 + zero("close_position_20") * 20 + clip(zero("volume_ratio_5"), high=3) * 5 + above * 5)

@@ -64,6 +64,7 @@ def moneyflow_factors(flow: DataFrame) -> DataFrame:
     bought = F.greatest(get("buy_sm_amount") + get("buy_md_amount") + get("buy_lg_amount") + get("buy_elg_amount"), F.lit(1.0))
     out = flow.select("trade_date", "code", get("net_mf_amount").alias("net_mf_amount"), main.alias("main_net_amount"), (main / bought).alias("main_net_amount_ratio"), big.alias("big_net_amount"), small.alias("small_net_amount"), (F.lit(len(have) < len(FLOW_INPUTS)) | F.exists(F.array(*have), lambda x: x.isNull()) if have else F.lit(True)).alias("_missing"))
     m, r, b, s, n = (F.col(c) for c in ("main_net_amount", "main_net_amount_ratio", "big_net_amount", "small_net_amount", "net_mf_amount"))
+    #: Steps and points.
     points = [(m > 0, 10), (r > 0.05, 10), (r > 0.10, 10), (b > 0, 5), (n > 0, 5), (m < 0, -10), (r < -0.05, -10), (r < -0.10, -10), ((s > 0) & (m < 0), -5)]
     out = out.withColumn("moneyflow_score", sum(F.when(c, float(p)).otherwise(0.0) for c, p in points))
     raised = flags((m < 0, "main_outflow"), (r < -0.10, "strong_main_outflow"), (F.col("moneyflow_score") < 0, "weak_moneyflow"), (r > 0.10, "strong_main_inflow"), (F.col("_missing"), "missing_moneyflow"))
@@ -85,6 +86,7 @@ def industry_strength(sw: DataFrame) -> DataFrame:
     df = df.withColumns({"industry_amount_ratio_5": F.try_divide("amount", "_amount"), "above_ma5": holds(F.col("close") > F.col("_ma5")), "above_ma10": holds(F.col("close") > F.col("_ma10"))})
     df = df.withColumns({"rank_pct_change": percent_rank_desc("pct_change", "trade_date"), "rank_return_3d": percent_rank_desc("industry_return_3d", "trade_date"), "rank_return_5d": percent_rank_desc("industry_return_5d", "trade_date")})
     c = F.col
+    #: Steps, points and levels.
     points = [(c("pct_change") > 0, 10), (c("industry_return_3d") > 0, 10), (c("industry_return_5d") > 0, 15), (c("above_ma5"), 10), (c("above_ma10"), 10), (c("industry_amount_ratio_5") > 1.2, 10), (c("rank_pct_change") <= 0.2, 15), (c("rank_return_5d") <= 0.2, 15), (c("industry_return_5d") < -0.03, -15), (~c("above_ma5") & ~c("above_ma10"), -10)]
     df = df.withColumn("industry_strength_score", sum(F.when(holds(k), float(p)).otherwise(0.0) for k, p in points))
     level = F.when(c("industry_strength_score") >= 60, "strong").when(c("industry_strength_score") >= 30, "neutral").otherwise("weak")
@@ -116,6 +118,7 @@ def sentiment_by_date(limits: DataFrame) -> DataFrame:
     return limit_masks(limits).groupBy("trade_date").agg(F.count_if("is_up").alias("limit_up_count"), F.count_if("is_down").alias("limit_down_count"), F.count_if("is_broken").alias("break_board_count"), F.avg(F.when(F.col("is_up"), F.col("_opened"))).alias("limit_up_open_times_avg"), high.alias("highest_streak"))
 
 
+# Fixed values of the three functions below: steps of the scores, their points, and the levels of the regime.
 def sentiment_score(df: DataFrame) -> DataFrame:
     up, down = F.col("limit_up_count"), F.col("limit_down_count")
     ratio = F.col("break_board_count") / F.greatest(up, F.lit(1))

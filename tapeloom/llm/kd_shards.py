@@ -1,14 +1,15 @@
 """K-d tree sharding: recursive weighted-median cuts along the widest metadata dimension.
 
-Native DataFrame code only.  The driver holds one small tree (as many nodes as shards) and, per
-histogram pass, at most ``nodes x 4096`` bin sums; rows never leave Spark.
+Native DataFrame code only.  A level of the tree splits all its open cells together: one aggregate finds each cell's widest dimension, and
+histogram passes, whose bins are summed and searched in Spark, refine all cuts at once.  The driver holds a few numbers per open cell, so at
+most some hundred bytes per shard; rows and bins never leave Spark.  Rows look their cell's numbers up by its place in constant arrays.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import numbered, stored, sub_groups, table, text_bytes
@@ -18,76 +19,77 @@ GRID_BITS, TIE_BITS, STEP_BITS = 24, 36, 12
 KEY_BITS = GRID_BITS + TIE_BITS
 
 
-@dataclass
-class Node:
-    """A cell of the tree: *leaves* shards from number *first* on; *dim* and *cut* once it is split."""
+def _key(dim: str) -> Column:
+    return F.shiftleft(F.col(dim), TIE_BITS).bitwiseOR(F.col("tie"))
 
-    leaves: int
-    first: int
-    dim: str = ""
-    cut: int = 0
-    kids: list["Node"] = field(default_factory=list)
 
+def _of(values: list, kind: str) -> Column:
+    """What a list, by number of the open cell, holds for a row's cell."""
+    return F.get(F.expr(f"array({', '.join(f'CAST({v} AS {kind})' for v in values)})"), F.col("cell"))
 
-def _key(dim: str) -> Column:
-    return F.shiftleft(F.col(dim), TIE_BITS).bitwiseOR(F.col("tie"))
 
+@dataclass
+class Cell:
+    """An open cell: *leaves* shards from number *first* on, the dimension it is cut along, and the cut as far as it is known: the leading bits
+    of its key and the weight below them."""
 
-def _cell(node: Node) -> Column:
-    """The first shard number of the cell a row is in: at most one comparison per level of the tree."""
-    if not node.kids:
-        return F.lit(node.first)
-    left, right = node.kids
-    return F.when(_key(node.dim) < F.lit(node.cut), _cell(left)).otherwise(_cell(right))
-
-
-def _leaves(node: Node) -> list[Node]:
-    return [x for kid in node.kids for x in _leaves(kid)] if node.kids else [node]
-
-
-def _split_level(rows: DataFrame, root: Node, dims: list[str]) -> bool:
-    """Split every cell that holds more than one shard; False when none does."""
-    open_ = {x.first: x for x in _leaves(root) if x.leaves > 1}
-    if not open_:
-        return False
-    cells = rows.withColumn("cell", _cell(root)).where(F.col("cell").isin(*open_))
-    spread = [(F.max(d) - F.min(d)).alias(d) for d in dims]
-    stats = {r["cell"]: r for r in cells.groupBy("cell").agg(F.sum("size").alias("w"), *spread).collect()}
-    goal: dict[int, float] = {}
-    for first, node in open_.items():
-        node.kids = []
-        if (s := stats.get(first)) is None:
-            node.dim, goal[first] = dims[0], 0.0
-            continue
-        node.dim = max(dims, key=lambda d: (s[d], -dims.index(d)))
-        goal[first] = s["w"] * (node.leaves // 2) / node.leaves
-    key = F.coalesce(*[F.when(F.col("cell") == f, _key(x.dim)) for f, x in open_.items()])
-    keyed = cells.select("cell", "size", key.alias("k"))
-    prefix, below, todo = dict.fromkeys(open_, 0), dict.fromkeys(open_, 0.0), set(stats)
+    first: int
+    leaves: int
+    dim: int = 0
+    goal: float = 0.0
+    prefix: int = 0
+    below: float = 0.0
+    cut: int | None = None
+
+
+def _find_cuts(rows: DataFrame, cells: list[Cell], dims: list[str]) -> None:
+    """Choose every open cell's dimension and find its cut, all cells together."""
+    stats = rows.where("cell >= 0").groupBy("cell").agg(F.sum("size").alias("w"), *[(F.max(d) - F.min(d)).alias(d) for d in dims])
+    for r in stats.collect():
+        x = cells[r["cell"]]
+        x.dim = max(range(len(dims)), key=lambda i: (r[dims[i]], -i))
+        x.goal = r["w"] * (x.leaves // 2) / x.leaves
+    keyed = rows.where("cell >= 0").select("cell", "size", _cell_key(cells, dims).alias("k"))
     for shift in range(KEY_BITS - STEP_BITS, -1, -STEP_BITS):
-        if not todo:
+        todo = [x.cut is None for x in cells]
+        if not any(todo):
             break
-        at = F.coalesce(*[F.when(F.col("cell") == f, F.lit(prefix[f])) for f in todo])
-        inside = keyed.where(F.col("cell").isin(*todo) & (F.shiftrightunsigned("k", shift + STEP_BITS) == at))
+        inside = keyed.where(_of(todo, "boolean") & (F.shiftrightunsigned("k", shift + STEP_BITS) == _of([x.prefix for x in cells], "bigint")))
         hist = inside.groupBy("cell", F.shiftrightunsigned("k", shift).alias("b")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"))
-        bins: dict[int, list] = {f: [] for f in todo}
-        for r in hist.collect():
-            bins[r["cell"]].append((r["b"], r["w"], r["n"]))
-        for f in list(todo):
-            total = below[f]
-            for b, w, n in sorted(bins[f]):
-                if total + w >= goal[f] or b == max(bins[f])[0]:
-                    break
-                total += w
-            prefix[f], below[f] = b, total
-            if n == 1 or shift == 0:
-                over = total + w - goal[f]
-                open_[f].cut = (b + (over < goal[f] - total)) << shift
-                todo.discard(f)
-    for first, node in open_.items():
-        half = node.leaves // 2
-        node.kids = [Node(half, first), Node(node.leaves - half, first + half)]
-    return True
+        ordered = Window.partitionBy("cell").orderBy("b")  # 2 ** STEP_BITS bins a cell at most
+        hist = hist.withColumn("run", F.sum("w").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) + _of([x.below for x in cells], "double"))
+        bin_ = F.struct("b", "w", "n", (F.col("run") - F.col("w")).alias("total"))
+        reached = F.min(F.when(F.col("run") >= _of([x.goal for x in cells], "double"), bin_))
+        found = hist.groupBy("cell").agg(F.coalesce(reached, F.max(bin_)).alias("x")).select("cell", "x.*").collect()
+        for r in found:
+            x = cells[r["cell"]]
+            x.prefix, x.below = r["b"], r["total"]
+            if r["n"] == 1 or shift == 0:
+                over = r["total"] + r["w"] - x.goal
+                x.cut = (r["b"] + (over < x.goal - r["total"])) << shift
+        for i in {i for i, t in enumerate(todo) if t} - {r["cell"] for r in found}:  # no row
+            cells[i].cut = 0
+
+
+def _cell_key(cells: list[Cell], dims: list[str]) -> Column:
+    dim = _of([x.dim for x in cells], "int")
+    return F.coalesce(*[F.when(dim == i, _key(d)) for i, d in enumerate(dims)])
+
+
+def _split_level(rows: DataFrame, cells: list[Cell], dims: list[str]) -> tuple[DataFrame, list[Cell]]:
+    """Split every open cell; rows with their new cells, and those of them that are open."""
+    _find_cuts(rows, cells, dims)
+    kids, places = [], ([], [])
+    for x in cells:
+        half = x.leaves // 2
+        for side, kid in enumerate((Cell(x.first, half), Cell(x.first + half, x.leaves - half))):
+            places[side].append(len(kids) if kid.leaves > 1 else -1)
+            kids += [kid] if kid.leaves > 1 else []
+    left = _cell_key(cells, dims) < _of([x.cut for x in cells], "bigint")
+    open_ = F.col("cell") >= 0
+    shard = F.when(~open_ | left, F.col("shard")).otherwise(F.col("shard") + _of([x.leaves // 2 for x in cells], "int"))
+    cell = F.when(~open_, -1).when(left, _of(places[0], "int")).otherwise(_of(places[1], "int"))
+    return stored(rows.withColumns({"shard": shard, "cell": cell})), kids
 
 
 def grid(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
@@ -127,10 +129,10 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         shards = max(1, -(-(total["w"] or 0) // (target_bytes or 1)))
     measures = {"d_source": F.col("source"), "d_lang": F.col("lang"), "d_size": F.log2("size"), "d_id": F.col("doc_id")}
     rows = stored(grid(rows, measures).select("doc_id", "size", "text_crc32", "tie", *measures))
-    root = Node(shards, 0)
-    while total["n"] and _split_level(rows, root, list(measures)):
-        pass
-    placed = rows.select("doc_id", "size", "text_crc32", _cell(root).cast("int").alias("shard"))
+    rows, cells = rows.withColumns({"shard": F.lit(0), "cell": F.lit(0 if shards > 1 else -1)}), [Cell(0, shards)] if shards > 1 else []
+    while total["n"] and cells:
+        rows, cells = _split_level(rows, cells, list(measures))
+    placed = rows.select("doc_id", "size", "text_crc32", "shard")
     parts = sub_groups(total["n"], shards)
     sub = F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32"), F.lit(parts)).cast("int")
     placed = numbered(placed, ["shard"], ["doc_id", "text_crc32"], sub, "slot")

@@ -187,6 +187,43 @@ def test_mixing_rates_solve_the_dual(spark, docs):
         assert np.allclose(rate[size > 0], np.minimum(3.0, np.exp(np.minimum(50, lam * x)))[size > 0], rtol=1e-5)
 
 
+def kd_tree(rows, leaves, first, out):
+    """Shards by sorting: rows are (coordinates, tie, size, key)."""
+    if leaves == 1 or not rows:
+        out.update({r[3]: first for r in rows})
+        return
+    spread = [max(r[0][d] for r in rows) - min(r[0][d] for r in rows) for d in range(4)]
+    dim = max(range(4), key=lambda d: (spread[d], -d))
+    key = lambda r: (r[0][dim] << kd_shards.TIE_BITS) | r[1]
+    goal, total, cut = sum(r[2] for r in rows) * (leaves // 2) / leaves, 0, None
+    groups = collections.Counter()
+    for r in rows:
+        groups[key(r)] += r[2]
+    for k, w in sorted(groups.items()):
+        if total + w >= goal:
+            cut = k + (total + w - goal < goal - total)
+            break
+        total += w
+    half = leaves // 2
+    kd_tree([r for r in rows if key(r) < cut], half, first, out)
+    kd_tree([r for r in rows if key(r) >= cut], leaves - half, first + half, out)
+
+
+@pytest.mark.parametrize("shards", [1, 2, 7, 24, 300])
+def test_kd_tree_by_sorting(spark, docs, shards):
+    """Hashes come from Spark; coordinates, cuts and shards are found by hand."""
+    low = lambda n: F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(n).cast("string"), F.lit(""))), 40)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    tie = F.shiftrightunsigned(F.xxhash64(F.lit("kd"), "doc_id", crc), 64 - kd_shards.TIE_BITS)
+    found = docs.select("doc_id", low("source").alias("s"), low("lang").alias("l"), (F.octet_length("text") + 8).alias("size"), F.log2(F.octet_length("text") + 8).alias("log"), tie.alias("tie")).collect()
+    columns = [[float(r[n]) for r in found] for n in ("s", "l", "log", "doc_id")]
+    top = float((1 << kd_shards.GRID_BITS) - 1)
+    grid = [[int((v - min(c)) / (max(c) - min(c)) * top) for v in c] for c in columns]
+    want = {}
+    kd_tree([([g[i] for g in grid], r["tie"], r["size"], r["doc_id"]) for i, r in enumerate(found)], shards, 0, want)
+    assert {r.doc_id: r.shard for r in kd_shards.kd_shards(docs, shards=shards).collect()} == want
+
+
 def test_kd_cuts_are_weighted_quantiles(spark, docs):
     """Each shard's bytes come near its share: every cut on the way is off by less than a document."""
     got = kd_shards.kd_shards(docs, shards=8).collect()

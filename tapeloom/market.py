@@ -186,13 +186,10 @@ _latest: dict[tuple[str, str], tuple[tuple, Market]] = {}
 
 
 def shared(spark: SparkSession, sf_dir: str) -> Market:
-    """One Market per application and data set, so that queries run one after another share stored tables.  Another data set, or
-    other files in it, releases the one before."""
+    """One Market per application and data set, so that queries run one after another share stored tables.  Other files in the data
+    set make another Market; what the one before has stored stays for plans still to run, and goes when the driver ends."""
     key, now = (spark.sparkContext.applicationId, sf_dir), state(spark, sf_dir)
     if key not in _latest or _latest[key][0] != now:
-        for (app, _), (_, old) in _latest.items():
-            if app == key[0]:
-                old.release()
         _latest.clear()
         _latest[key] = now, Market(spark, sf_dir, keep=True)
     return _latest[key][1]

@@ -23,18 +23,20 @@ TOTAL, ZERO_TOTAL, LEAST = 1 << BITS, 1 << ZERO_BITS, 32
 ONE_BITS, TWO_BITS = 9, 11
 SURE, MOST_SURE = 1 << 16, 3
 _U = np.uint64
+PAIR, PAIR_MASK = 16, 0xFFFF
+_AIM = np.array([LEAST, TOTAL - LEAST], np.int32)
 _NARROW = _U(1 << 32)
 
 
 class _Model:
-    """Adaptive state of n lanes: predictions of both orders, their confidence, and the mixed distribution."""
+    """Adaptive state of n lanes: predictions of both orders, their confidence, and the mixed distribution.  Places are always
+    inside the tables; mode="clip" spares numpy a pass that checks them."""
 
     def __init__(self, n: int):
         self.lane = np.arange(n)
         self.one, self.two = np.zeros(n << ONE_BITS, np.int32), np.zeros(n << TWO_BITS, np.int32)
-        first = [TOTAL // 8, TOTAL // 16]
-        self.by_two = [np.full(n * 4, p, np.int32) for p in first]
-        self.by_one = [np.full(n * 8, p, np.int32) for p in first]
+        first = TOTAL // 8 | TOTAL // 16 << PAIR  # both shares of a row in one number
+        self.by_two, self.by_one = np.full(n * 4, first, np.int32), np.full(n * 8, first, np.int32)
         self.weight = np.full(n, 1 << WEIGHT_BITS - 1, np.int32)
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.bases = [self.lane << ONE_BITS, self.lane << TWO_BITS, self.lane << 2, self.lane << 3]
@@ -49,12 +51,12 @@ class _Model:
         one, two, four, eight = self.bases
         self.at_one = (self.last * 40503 >> 5 & (1 << ONE_BITS) - 1) + one
         self.at_two = ((self.last * 40503 ^ self.before * 30011) >> 4 & (1 << TWO_BITS) - 1) + two
-        self.e_one, self.e_two = self.one.take(self.at_one), self.two.take(self.at_two)
+        self.e_one, self.e_two = self.one.take(self.at_one, mode="clip"), self.two.take(self.at_two, mode="clip")
         self.id_one, self.id_two = self.e_one & 0xFFFF, self.e_two & 0xFFFF
         self.row_two = four + (self.e_two >> 16)
         self.row_one = eight + (self.e_one >> 15 & ~1 | (self.id_one == self.id_two))
-        self.a = [t.take(self.row_two) for t in self.by_two]
-        self.b = [t.take(self.row_one) for t in self.by_one]
+        two, one = self.by_two.take(self.row_two, mode="clip"), self.by_one.take(self.row_one, mode="clip")
+        self.a, self.b = [two & PAIR_MASK, two >> PAIR], [one & PAIR_MASK, one >> PAIR]
         p, q = (b + ((a - b) * self.weight >> WEIGHT_BITS) for a, b in zip(self.a, self.b))
         return p, p + 1 + ((TOTAL - 2 - p) * q >> BITS)
 
@@ -62,12 +64,13 @@ class _Model:
         """hit_two: order 2 was right; hit_one: order 1 was right and order 2 was not."""
         better = np.where(hit_two, self.a[0] > self.b[0], self.a[0] < self.b[0])
         self.weight += (better.astype(np.int32) << WEIGHT_BITS) - self.weight >> WEIGHT_RATE
+        aim_two, aim_one, learns = _AIM.take(hit_two.view(np.int8), mode="clip"), _AIM.take(hit_one.view(np.int8), mode="clip"), ~hit_two
         for table, row, own in ((self.by_two, self.row_two, self.a), (self.by_one, self.row_one, self.b)):
-            table[0][row] = own[0] + (np.where(hit_two, TOTAL - LEAST, LEAST) - own[0] >> RATE)
-            table[1][row] = np.where(hit_two, own[1], own[1] + (np.where(hit_one, TOTAL - LEAST, LEAST) - own[1] >> RATE))
+            table.put(row, own[0] + (aim_two - own[0] >> RATE) | own[1] + (aim_one - own[1] >> RATE) * learns << PAIR, mode="clip")
+        fresh = ids + SURE
         for table, at, e, old in ((self.one, self.at_one, self.e_one, self.id_one), (self.two, self.at_two, self.e_two, self.id_two)):
-            other = np.where(e >= 2 * SURE, e - SURE, ids + SURE)
-            table[at] = np.where(old == ids, np.minimum(e + SURE, old + MOST_SURE * SURE), other)
+            other = np.where(e >= 2 * SURE, e - SURE, fresh)
+            table.put(at, np.where(old == ids, np.minimum(e + SURE, old + MOST_SURE * SURE), other), mode="clip")
         self.before, self.last = self.last, ids.astype(np.int64)
 
 
@@ -120,8 +123,8 @@ def _encode_blocks(grid: np.ndarray, lengths: np.ndarray, share: np.ndarray) ->
         low[:n] += unit * start.astype(_U)
         own = unit * (stop - start).astype(_U)
         unit = own >> _U(ZERO_BITS)
-        low[:n] += np.where(hit, _U(0), unit * begin.take(ids))
-        span[:n] = np.where(hit, own, unit * width.take(ids))
+        low[:n] += np.where(hit, _U(0), unit * begin.take(ids, mode="clip"))
+        span[:n] = np.where(hit, own, unit * width.take(ids, mode="clip"))
         while shift(n):
             pass
         model.learn(ids, hit_two, hit_one)
@@ -166,8 +169,8 @@ def _decode_blocks(streams: np.ndarray, start: np.ndarray, lengths: np.ndarray,
         unit = own >> _U(ZERO_BITS)
         place = code // np.maximum(unit, _U(1))
         ids = named.take(np.minimum(place, _U(ZERO_TOTAL - 1)).astype(np.int64), mode="clip")
-        code = np.where(missed, code - unit * begin.take(ids), code)
-        span = np.where(missed, unit * width.take(ids), own)
+        code = np.where(missed, code - unit * begin.take(ids, mode="clip"), code)
+        span = np.where(missed, unit * width.take(ids, mode="clip"), own)
         while (short := span < _NARROW).any():
             code = np.where(short, code << _U(16) | streams.take(at_word, mode="clip"), code)
             span = np.where(short, span << _U(16), span)

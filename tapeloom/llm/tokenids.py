@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ END, SEGMENT, HELD, CHUNK = 1, BLOCK * LANES, 200_000, 1 << 21
 SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
 #: Bytes that are no printable Latin-1 characters go by the characters from 256 on.
 _NAMED = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+_NAMES = "".join(chr(_NAMED.get(b, b)) for b in range(256))
 
 
 def _kinds() -> np.ndarray:
@@ -154,19 +156,22 @@ class WordIds:
         """Ids of distinct words, little-endian."""
         self.words.turn()
         known, old = self.words, self.words.old
-        found = [known.get(w) or old.get(w) for w in words]
-        whole = [i for i, f in enumerate(found) if f is None and odd[i]]
+        found = list(map(known.get, words))
+        new = [i for i, f in enumerate(found) if f is None]
+        for i in new:
+            found[i] = old.get(words[i])
+        whole = [i for i in new if found[i] is None and odd[i]]
         for a in range(0, len(whole), 4096):
             some = whole[a : a + 4096]
             for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i].decode() for i in some], add_special_tokens=False)):
                 found[i] = struct.pack(f"<{len(e.ids)}H", *e.ids)
         tokenize = self.tokenizer.model.tokenize
-        for i, f in enumerate(found):
+        for i in new:
+            w, f = words[i], found[i]
             if f is None:
-                w = words[i]
-                ids = [t.id for t in tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(_NAMED))]
+                ids = [t.id for t in tokenize(w.decode() if w.isascii() else charmap_decode(w, "strict", _NAMES)[0])]
                 f = found[i] = struct.pack(f"<{len(ids)}H", *ids)
-            known[words[i]] = f
+            known[w] = f
         return found
 
 

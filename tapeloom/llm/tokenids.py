@@ -21,12 +21,14 @@ from .common import ship, stored, table, trim
 from .idcoder import BLOCK, LANES, read_segment, write_segment
 from .shingles import run_hashes
 
-END, SEGMENT, HELD, CHUNK = 1, BLOCK * LANES, 200_000, 1 << 21
+END, SEGMENT, HELD, CHUNK = 1, BLOCK * LANES, 400_000, 1 << 21
 SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
 #: Bytes that are no printable Latin-1 characters go by the characters from 256 on.
 _NAMED = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 _NAMES = "".join(chr(_NAMED.get(b, b)) for b in range(256))
 
+_HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n of eight bytes
+
 
 def _kinds() -> np.ndarray:
     """What a byte of a lower-case text is to the tokenizer.  Apostrophes and "<" begin what it treats in ways of their own; the
@@ -75,11 +77,16 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.words = Tokenizer.from_file(path), Memory(HELD)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path} has more than 65536 ids")
+        # where the last piece of a word is marked, its model takes many words as one text of lines
+        self.bare, self.last = Tokenizer(self.tokenizer.model), np.zeros(1 << 16, bool)
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        if mark := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            self.last[[i for w, i in self.tokenizer.get_vocab(False).items() if w.endswith(mark)]] = True
         ids, counts = self._whole(PROBE)
         own, sizes = self._by_word(PROBE)
         self.by_word = np.array_equal(counts, sizes) and np.array_equal(ids, own)
@@ -141,11 +148,14 @@ class WordIds:
         first[code[::-1]] = np.arange(len(code))[::-1]
         n = end - start
         model = first.take(code)
-        wrong = n != n.take(model)
-        size = np.where(wrong, 0, n)
-        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        differs = b.take(place + np.repeat(start, size)) != b.take(place + np.repeat(start.take(model), size))
-        if wrong.any() or differs.any():  # two words of one hash: tell all words apart by their bytes
+        eights = np.ndarray(len(b), "<u8", np.concatenate((b, np.zeros(8, np.uint8))).data, strides=(1,))
+        head = eights[start] & _HEADS.take(n, mode="clip")
+        differs = (n != n.take(model)).any() or (head != head.take(model)).any()
+        if not differs and len(long := np.flatnonzero(n > 8)):
+            size, model = n.take(long) - 8, model.take(long)
+            place = np.arange(8, 8 + int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            differs = (b.take(place + np.repeat(start.take(long), size)) != b.take(place + np.repeat(start.take(model), size))).any()
+        if differs:  # two words of one hash: tell all words apart by their bytes
             data = b.tobytes()
             code, _ = pd.factorize(np.array([data[s:e] for s, e in zip(start.tolist(), end.tolist())], object))
             first = np.empty(int(code.max(initial=-1)) + 1, np.int64)
@@ -165,15 +175,26 @@ class WordIds:
             some = whole[a : a + 4096]
             for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i].decode() for i in some], add_special_tokens=False)):
                 found[i] = struct.pack(f"<{len(e.ids)}H", *e.ids)
-        tokenize = self.tokenizer.model.tokenize
+        plain = [i for i in new if found[i] is None]
+        for a in range(0, len(plain), 4096):
+            some = plain[a : a + 4096]
+            for i, f in zip(some, self._plain([words[i].decode() if words[i].isascii() else charmap_decode(words[i], "strict", _NAMES)[0] for i in some])):
+                found[i] = f
         for i in new:
-            w, f = words[i], found[i]
-            if f is None:
-                ids = [t.id for t in tokenize(w.decode() if w.isascii() else charmap_decode(w, "strict", _NAMES)[0])]
-                f = found[i] = struct.pack(f"<{len(ids)}H", *ids)
-            known[w] = f
+            known[words[i]] = found[i]
         return found
 
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the tokenizer's model takes as they are."""
+        if self.last.any():
+            ids = np.array(self.bare.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u2")
+            end = np.flatnonzero(self.last.take(ids)) + 1
+            if len(end) == len(words) and end[-1] == len(ids):
+                data, end = ids.tobytes(), (2 * end).tolist()
+                return [data[a:b] for a, b in zip([0, *end], end)]
+        tokenize = self.tokenizer.model.tokenize
+        return [np.array([t.id for t in tokenize(w)], "<u2").tobytes() for w in words]
+
 
 _tokenizers: dict[str, WordIds] = {}
 

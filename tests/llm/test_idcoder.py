@@ -28,3 +28,38 @@ def test_words_found_before_are_not_written_again():
     before = words.words.writes
     again = words.batch(["some plain words, größer als été 12"])
     assert before and words.words.writes == before and all((a == b).all() for a, b in zip(first, again))
+
+
+def test_last_blocks_of_any_length_and_lone_ids_come_back():
+    rng = np.random.default_rng(7)
+    for n in (1, 31, 33, idcoder.BLOCK - 1, idcoder.BLOCK + 31, idcoder.BLOCK * 2 + 33):
+        for ids in (rng.integers(0, 1 << 16, n), np.minimum(rng.zipf(1.3, n), 65535), np.full(n, 65535), np.zeros(n, int)):
+            ids = ids.astype(np.uint16)
+            assert (idcoder.read_segment(idcoder.write_segment([1], [n], ids))[2] == ids).all()
+
+
+def test_new_words_go_to_the_model_together():
+    """One call of the library for thousands of new words; before, one call each."""
+    words = tokenids.WordIds(tokenids.default_tokenizer())
+    calls, bare = [], words.bare
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return bare.encode_batch_fast(texts, **options)
+
+    words.bare = Counted()
+    rng = np.random.default_rng(3)
+    text = " ".join("".join(map(chr, rng.integers(97, 123, size))) for size in rng.integers(1, 40, 3000)) + " été größe, x-y_z (12)"
+    ids, _ = words.batch([text])
+    assert len(calls) == 1 and ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    words.last[:] = False  # a model that marks no last pieces
+    words.words.clear()
+    assert words.batch([text])[0].tolist() == ids.tolist() and len(calls) == 1
+
+
+def test_words_that_differ_late_stay_apart(monkeypatch):
+    monkeypatch.setattr(tokenids, "run_hashes", lambda b, start, end: (end - start).astype(np.uint64))
+    words = tokenids.WordIds(tokenids.default_tokenizer())
+    for text in ("abcdefghijklmnopqa abcdefghijklmnopqb", "abcdefgh abcdefgi", "abcdefghi abcdefghj", "a b"):
+        assert words.batch([text])[0].tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids + [1]

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import struct
-import zlib
 from codecs import charmap_decode
 from collections.abc import Iterator
 
@@ -256,33 +255,32 @@ def write_ids(docs: DataFrame, path: str | None = None, tokenizer: str | None =
     return stored(coded, path, codec="none")
 
 
-def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for part, first, data in zip(frame["part"], frame["first"], frame["data"]):
-            doc_ids, counts, ids = read_segment(bytes(data))
-            at = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-            raw = ids.astype("<u2")
-            for a in range(0, len(doc_ids), 1024):
-                own = range(a, min(a + 1024, len(doc_ids)))
-                yield pd.DataFrame({"part": part, "doc_id": pd.array(doc_ids[own.start : own.stop], "Int64"), "local": first + at[own.start : own.stop], "ids": [raw[at[i] : at[i + 1]].tobytes() for i in own]})
-    trim()
+def _decode(width: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part, first, data in zip(frame["part"], frame["first"], frame["data"]):
+                doc_ids, counts, ids = read_segment(bytes(data))
+                at = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+                for a in range(0, len(doc_ids), 512):
+                    own = range(a, min(a + 512, len(doc_ids)))
+                    raw, b = ids[at[a] : at[own.stop]].astype(f"<u{width}"), (at[a : own.stop + 1] - at[a]).tolist()
+                    yield pd.DataFrame({"part": part, "doc_id": pd.array(doc_ids[own.start : own.stop], "Int64"), "local": first + at[own.start : own.stop], "ids": [raw[i:j].tobytes() for i, j in zip(b, b[1:])]})
+        trim()
+
+    return run
 
 
-def read_ids(segments: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids (little-endian 16-bit) of each document."""
+def read_ids(segments: DataFrame, width: int = 2) -> DataFrame:
+    """doc_id, start (ids of all documents before it) and ids (little-endian, of *width* bytes: 2, 4 or 8) of each document."""
     ship(segments.sparkSession)
     sizes = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("part", before.alias("offset"))  # one row per part
-    rows = segments.select("part", "first", "data").mapInPandas(_decode, "part int, doc_id bigint, local bigint, ids binary")
+    rows = segments.select("part", "first", "data").mapInPandas(_decode(width), "part int, doc_id bigint, local bigint, ids binary")
     return rows.join(F.broadcast(sizes), "part").select("doc_id", (F.col("offset") + F.col("local")).alias("start"), "ids")
 
 
 def op3_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place and checksum of every document's ids, read back from the files; nulls, empty and long texts and repeats as in write_ids()."""
-    @F.pandas_udf("bigint")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda b: zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes()))
-
-    rows = read_ids(write_ids(table(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "start", (F.octet_length("ids") / 2).cast("bigint").alias("n_tokens"), crc("ids").alias("ids_crc32"))
+    rows = read_ids(write_ids(table(spark, sf_dir, "documents")), width=4)
+    return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

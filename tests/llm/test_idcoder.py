@@ -63,3 +63,10 @@ def test_words_that_differ_late_stay_apart(monkeypatch):
     words = tokenids.WordIds(tokenids.default_tokenizer())
     for text in ("abcdefghijklmnopqa abcdefghijklmnopqb", "abcdefgh abcdefgi", "abcdefghi abcdefghj", "a b"):
         assert words.batch([text])[0].tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_ids_read_back_in_any_width(spark):
+    docs = spark.createDataFrame([(1, "one text"), (2, None), (3, "another, longer text")], "doc_id long, text string")
+    segments = tokenids.write_ids(docs)
+    narrow, wide = ({r.doc_id: r.ids for r in tokenids.read_ids(segments, *w).collect()} for w in ((), (4,)))
+    assert len(narrow) == 3 and {d: np.frombuffer(b, "<u2").tolist() for d, b in narrow.items()} == {d: np.frombuffer(b, "<u4").tolist() for d, b in wide.items()}

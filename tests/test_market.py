@@ -2,6 +2,7 @@
 
 import datetime as dt
 import importlib
+import math
 import random
 import shutil
 import sys
@@ -11,10 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom import market
+from tapeloom import oracles as o
 from tapeloom import queries as core
 from tapeloom.functions import columns as fc
 from tapeloom.market import Market
-from tapeloom.operators import backtest, factors, ledger, quality, research, signals, versions
+from tapeloom.operators import backtest, candidates, factors, ledger, quality, research, signals, versions
 from tapeloom.oracles import OVERRIDES
 from tapeloom.sources import adapters, normalize, store
 
@@ -253,3 +255,40 @@ def test_entry_without_optional_part(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert not [n for n in entry.queries() if n.startswith("op")] and set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 150
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_fixed_text(spark):
+    """Two decimals by a double's exact value, as Python writes them: ties of the shortest decimal, true halves, signs and neighbours."""
+    random.seed(3)
+    ties = [(2 * random.randrange(10**k) + 1) / 200 for k in range(1, 9) for _ in range(60)]
+    values = [1.025, 1.005, 0.125, 0.375, 2.675, 0.005, 0.015, 1e-20, 0.0, -0.0, -0.001, 1e12 + 0.125, 12345678.125, *ties, *[-t for t in ties], *[math.nextafter(t, up) for t in ties for up in (0, 1e9)], *[random.uniform(-200, 200) for _ in range(500)]]
+    got = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", fc.fixed("v").alias("t")).collect()
+    assert [(r.v, r.t) for r in got if r.t != f"{r.v:.2f}"] == []
+    assert spark.range(1).select(fc.fixed(F.lit(None).cast("double")).alias("t")).first().t is None
+
+
+#: What plan_sql reads of a pool.
+POOL = "trade_date date, code string, name string, rank int, strategy_names string, strategy_versions string, active_signal_count bigint, avg_strategy_weight double, recommendations string, risk_flags string, close double, reason string, score double, pct_chg_1d double, pct_chg_5d double, volume_ratio_5 double, close_position_20 double, above_ma5 boolean, above_ma10 boolean, above_ma20 boolean"
+
+
+def planned(spark, rows, columns):
+    """Plans of a hand-made pool by Spark and by the SQL of the plans: rows with these columns."""
+    got = candidates.generate_trade_plan(spark.createDataFrame(rows, POOL)).select("code", *columns)
+    names = [x.split()[0] for x in POOL.split(", ")]
+    kinds = {"string": "VARCHAR", "int": "INT"}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pool (" + ", ".join(f"{n} {kinds.get(t, t)}" for n, t in (x.split() for x in POOL.split(", "))) + ", all_flags VARCHAR)")
+    con.executemany(f"INSERT INTO pool VALUES ({', '.join('?' * (len(names) + 1))})", [[*r, r[names.index("risk_flags")]] for r in rows])
+    want = con.execute(f"SELECT code, {', '.join(columns)} FROM ({o.plan_sql('SELECT * FROM pool')})").fetchall()
+    return sorted(tuple(r) for r in got.collect()), sorted(want)
+
+
+def pool_row(i, close=100.0, weight=1.0, score=10.0, ratio=1.0, place=0.7):
+    return (day(0), f"{i:06d}", "n", 1, "a", "v1", 1, weight, "observe", "", close, "r", score, 0.01, 0.0125, ratio, place, True, True, True)
+
+
+def test_plan_text_ties(spark):
+    """Figures of a plan's reason at ties of the second decimal: 1.025 is less as a double, 0.125 a true half."""
+    rows = [pool_row(i, score=v, ratio=v, place=v) for i, v in enumerate([1.025, 0.125, 0.375, 1.005, 2.675, *[(2 * k + 1) / 200 for k in range(120, 200)]])]
+    got, want = planned(spark, rows, ["plan_reason"])
+    assert got == want and "volume ratio=1.02," in got[0][1]

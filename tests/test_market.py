@@ -279,7 +279,8 @@ def planned(spark, rows, columns):
     con = duckdb.connect()
     con.execute("CREATE TABLE pool (" + ", ".join(f"{n} {kinds.get(t, t)}" for n, t in (x.split() for x in POOL.split(", "))) + ", all_flags VARCHAR)")
     con.executemany(f"INSERT INTO pool VALUES ({', '.join('?' * (len(names) + 1))})", [[*r, r[names.index("risk_flags")]] for r in rows])
-    want = con.execute(f"SELECT code, {', '.join(columns)} FROM ({o.plan_sql('SELECT * FROM pool')})").fetchall()
+    doubles = ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in columns if n.startswith("position_"))
+    want = con.execute(f"SELECT code, {', '.join(columns)} FROM (SELECT *{f' REPLACE ({doubles})' if doubles else ''} FROM ({o.plan_sql('SELECT * FROM pool')}))").fetchall()
     return sorted(tuple(r) for r in got.collect()), sorted(want)
 
 
@@ -292,3 +293,12 @@ def test_plan_text_ties(spark):
     rows = [pool_row(i, score=v, ratio=v, place=v) for i, v in enumerate([1.025, 0.125, 0.375, 1.005, 2.675, *[(2 * k + 1) / 200 for k in range(120, 200)]])]
     got, want = planned(spark, rows, ["plan_reason"])
     assert got == want and "volume ratio=1.02," in got[0][1]
+
+
+def test_plan_ties(spark):
+    """Whole plans whose prices and weights lie at ties, to the last bit: the product of 128.105 and 100 is below 12810.5."""
+    weights = [(2 * k + 1) / 20000 for k in range(4000, 4200)]
+    closes = [128.105, 1.005, 2.675, *[100 + (2 * k + 1) / 200 for k in range(500)]]
+    rows = [pool_row(i, close=v, weight=weights[i % len(weights)]) for i, v in enumerate(closes)]
+    got, want = planned(spark, rows, ["close", "avg_strategy_weight", "entry_low", "entry_high", "stop_loss", "take_profit_1", "take_profit_2", "position_low", "position_high", "plan_reason"])
+    assert got == want and got[0][1] == 128.1

@@ -6,6 +6,7 @@ import math
 import random
 import shutil
 import sys
+import time
 
 import duckdb
 import pytest
@@ -16,7 +17,7 @@ from tapeloom import oracles as o
 from tapeloom import queries as core
 from tapeloom.functions import columns as fc
 from tapeloom.market import Market
-from tapeloom.operators import backtest, candidates, factors, ledger, quality, research, signals, versions
+from tapeloom.operators import backtest, candidates, factors, ledger, orderstats, quality, research, signals, versions
 from tapeloom.oracles import OVERRIDES
 from tapeloom.sources import adapters, normalize, store
 
@@ -302,3 +303,43 @@ def test_plan_ties(spark):
     rows = [pool_row(i, close=v, weight=weights[i % len(weights)]) for i, v in enumerate(closes)]
     got, want = planned(spark, rows, ["close", "avg_strategy_weight", "entry_low", "entry_high", "stop_loss", "take_profit_1", "take_profit_2", "position_low", "position_high", "plan_reason"])
     assert got == want and got[0][1] == 128.1
+
+
+def test_performance_meets_bars_in_buckets(spark):
+    """Reviews and performance are computed from trades and bars in buckets by code: not stored, not shuffled, and the rows of the general operator."""
+    m = Market(spark, DIR, keep=True)
+    columns = ["trade_date", "code", "side", "return_3d", "max_drawdown_5d", "invalid_reason", "performance_comment"]
+    df = m.performance.select(*columns)
+    got = sorted(map(str, df.collect()))
+    assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not {"review", "performance"} & set(m.kept) and "actual_trades" in m.kept
+    assert got and got == sorted(map(str, ledger.trade_performance(m.trades, m.bars, m.review).select(*columns).collect()))
+    m.release()
+
+
+def test_next_bar_order(spark):
+    """First bar after each event, or on its date: before, between and after bars, on a date of one, of a code without bars, without a date."""
+    b = bars(spark, *[(i, i, i, i) for i in range(3)]).withColumn("trade_date", F.expr("date_add(trade_date, cast(open as int))"))  # days 0, 2, 4
+    e = spark.createDataFrame([(day(n), "600000") for n in range(-1, 6)] + [(day(0), "x"), (None, "600000")], "trade_date date, code string")
+    for same, want in ((False, [0, 1, 1, 2, 2, None, None]), (True, [0, 0, 1, 1, 2, 2, None])):
+        got = {(r.trade_date, r.code): r.bar and r.bar.open for r in backtest.next_bar(e, b, ["open"], same_day=same).collect()}
+        assert [got[day(n), "600000"] for n in range(-1, 6)] == want and got[day(0), "x"] is None and got[None, "600000"] == 0
+
+
+def test_shuffle_files_go_with_the_write(spark, tmp_path):
+    """A stored table leaves no shuffle files behind, and the session's setting is what it was."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in (lambda x: [x.apply(i) for i in range(x.size())])(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old, before = files(), spark.conf.get(setting)
+    df = spark.range(20000).select((F.col("id") % 50).alias("code"), F.rand(1).alias("x"))
+    store.bucketed(df.groupBy("code", "x").count(), str(tmp_path / "t"), "code")
+    orderstats.placed(df, ["code", "x"])
+    m = Market(spark, DIR, keep=True)
+    m._stored("t", lambda: df.groupBy("code").agg(F.sum("x")))
+    for _ in range(40):
+        if not files() - old:
+            break
+        time.sleep(0.5)
+    assert not files() - old and spark.conf.get(setting) == before
+    m.release()

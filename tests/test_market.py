@@ -343,3 +343,27 @@ def test_shuffle_files_go_with_the_write(spark, tmp_path):
         time.sleep(0.5)
     assert not files() - old and spark.conf.get(setting) == before
     m.release()
+
+
+def test_period_review_meets_dates(spark, monkeypatch):
+    """Overlapping and empty periods against sums by hand; what meets the periods is a row per date, not per trade."""
+    random.seed(5)
+    rows = [(day(random.randrange(6)), f"{i % 7:06d}", "buy", random.choice(["matched", "no_plan"]), random.choice(["off_plan", "follow_plan", "deviation"]), random.choice(["", "chase_above_entry"]), random.random() < 0.8, random.choice([None, random.uniform(-1, 1)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "trade_date date, code string, side string, plan_match_status string, execution_status string, execution_flags string, is_valid boolean, return_3d double")
+    df = df.withColumns({"return_1d": F.col("return_3d") * 2, "return_5d": F.lit(None).cast("double")})
+    spans = {"a": (0, 2), "b": (1, 5), "c": (2, 2), "none": (30, 40)}
+    periods = spark.createDataFrame([(k, day(x), day(y)) for k, (x, y) in spans.items()], "period string, start_date date, end_date date")
+    met, plain = [], ledger.in_periods
+    monkeypatch.setattr(ledger, "in_periods", lambda d, p: (met.append(d), plain(d, p))[1])
+    got = {r.period: r for r in ledger.period_review(df, df, periods).collect()}
+    assert [d.count() for d in met] == [6, 6]
+    for k, (x, y) in spans.items():
+        own = [r for r in rows if day(x) <= r[0] <= day(y)]
+        counted = [r for r in own if r[6] and r[7] is not None]
+        mean = lambda v: sum(v) / len(v) if v else None
+        want = (len(own) or None, len({r[0] for r in own}) or None, sum(r[6] for r in own) if own else None, sum(r[4] == "off_plan" for r in own) if own else None)
+        r = got[k]
+        assert (r.actual_trade_count, r.trading_days, r.valid_performance_count, r.off_plan_count) == want
+        assert r.avg_return_5d is None and r.best_code == (max((round(v[7], 9), v[1]) for v in counted)[1] if counted else None) and r.worst_code == (min((round(v[7], 9), v[1]) for v in counted)[1] if counted else None)
+        for name, v in (("avg_return_3d", [v[7] for v in counted]), ("avg_return_1d", [2 * v[7] for v in counted]), ("off_plan_avg_return_3d", [v[7] for v in counted if v[4] == "off_plan"]), ("chase_avg_return_3d", [v[7] for v in counted if v[5]])):
+            assert r[name] == (pytest.approx(mean(v)) if v else None)
